@@ -13,11 +13,13 @@ each for itself; an empty table gives an empty result; further columns are ignor
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,6 +80,13 @@ class WordEncoder:
             yield b"".join(map(known.__getitem__, words))
 
 
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, kept from task to task with the words it knows."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core already
+    return WordEncoder(path)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document.
 
@@ -88,17 +97,17 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        encoder = WordEncoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        encode = encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
         end, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch["doc_id"], encoder(batch["text"].tolist())):
+            for doc_id, ids in zip(batch["doc_id"], encode(batch["text"].tolist())):
                 ids += end
                 out += [(doc_id, i, i * capacity, len(part) // 4, zlib.crc32(part)) for i, part in enumerate(ids[a : a + step] for a in range(0, len(ids), step))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # ids are taken as nullable integers through a string-free path: pandas would turn a null id into NaN
+    # pandas would turn a null id, and with it all ids, into floating point
     nulls = chosen.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text")
     cut = nulls.mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return cut.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(-(2**63))))
