@@ -56,10 +56,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         ids = F.transform("recipe", lambda c: c["id"])
     else:  # an unverified identifier somewhere: the digests, verified by their own length, name all chunks
         ids = F.transform("recipe", lambda c: c["digest"])
-    listed = made.withColumn("ids", ids).drop("recipe")
+    listed = made.withColumn("ids", ids).drop("recipe").withColumn("hash", F.xxhash64("ids"))
     best = F.struct(F.col("n_points"), (-F.col("doc_id")).alias("low"))
     groups = listed.groupBy("ids").agg(F.count("*").alias("group_size"), F.max_by("doc_id", best).alias("keep_id"), F.max("n_points").alias("most"))
-    return listed.join(groups, "ids").select(
+    # joined on the hash as well, both sides are dealt anew, and Spark can split the rows of a large group
+    return listed.join(groups.withColumn("hash", F.xxhash64("ids")), ["hash", "ids"]).select(
         "doc_id",
         "keep_id",
         "group_size",
