@@ -44,14 +44,14 @@ def hms(seconds: Column | str) -> Column:
 
 def term_pattern(term: Column | str) -> Column:
     """Pattern of a term: a Latin term may not stand inside a longer Latin word, any other matches as it is."""
-    quoted = F.regexp_replace(col(term), "([^A-Za-z0-9\\s\\p{L}])", "\\\\\\\\$1")
+    quoted = F.regexp_replace(col(term), "([^A-Za-z0-9\\s\\p{L}])", "\\\\$1")
     bounded = F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))
     return F.when(col(term).rlike("^[A-Za-z0-9 ._\\-]+$"), bounded).otherwise(F.concat(F.lit("(?iu)"), quoted))
 
 
 def quote_replacement(c: Column | str) -> Column:
     """A replacement in which nothing stands for a group."""
-    return F.regexp_replace(col(c), "([\\\\$])", "\\\\\\\\$1")
+    return F.regexp_replace(col(c), "([\\\\$])", "\\\\$1")
 
 
 def tokens(c: Column | str) -> Column:

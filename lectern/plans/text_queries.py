@@ -223,7 +223,7 @@ def f23(spark: SparkSession, d: str) -> DataFrame:
     return SL.subtitle_band_filter(f, boxes(spark, d))
 
 
-TERMS = [("and", "AND"), ("thand", "T$H"), ("第一", "D1")]
+TERMS = [("第一", "D1"), ("and", "AND"), ("the", "T$H")]
 
 
 def terms(spark: SparkSession) -> DataFrame:
@@ -241,8 +241,8 @@ def _hits(t: str, term: str) -> str:
     return f"len(regexp_extract_all(regexp_replace({t}, '([^A-Za-z0-9])', '\\1\\1', 'g'), '(?i)(^|[^A-Za-z0-9]){term}([^A-Za-z0-9]|$)'))"
 
 
-CORRECTED = f"""a AS (SELECT *, {_latin("text", "thand", "T$H")} AS t1, {_hits("text", "thand")} AS h1 FROM paras),
-    b AS (SELECT *, {_latin("t1", "and", "AND")} AS t2, {_hits("t1", "and")} AS h2 FROM a),
+CORRECTED = f"""a AS (SELECT *, {_latin("text", "and", "AND")} AS t1, {_hits("text", "and")} AS h1 FROM paras),
+    b AS (SELECT *, {_latin("t1", "the", "T$H")} AS t2, {_hits("t1", "the")} AS h2 FROM a),
     corrected AS (SELECT video_id, para_idx, replace(t2, '第一', 'D1') AS text, CAST(h1 + h2 + len(regexp_extract_all(t2, '第一')) AS INT) AS hits FROM b)"""
 
 
