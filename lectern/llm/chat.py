@@ -47,7 +47,7 @@ def _segment(text: Column, loss: Column) -> Column:
 
 def format_chats(rows: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """conv_id, segments (array of text and loss) and formatted, the segments' texts in one string."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     places = F.sequence(F.lit(1), F.size("turns"))
     starts = F.filter(places, lambda i: (i == 1) | (F.get("turns", i - 1)["role"] != F.get("turns", i - 2)["role"]))

@@ -36,26 +36,25 @@ NAMES = re.compile(r"""(?is)\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'(
 #: A paragraph's end tag may be left out before these.
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-#: The labelled table: words, link density, the same of the block before and after, framed (1: inside the page's
-#: frame), place (2: inside the article, 1: the page marks no article, 0: outside of it), main text or not.
-EXAMPLES = [
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (6, 1.0, 4, 1.0, 5, 1.0, 1, 1, 0), (9, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0),
-    (40, 0.0, 6, 0.0, 60, 0.0, 1, 0, 0), (25, 0.2, 80, 0.0, 12, 0.0, 1, 2, 0), (120, 0.0, 90, 0.0, 70, 0.0, 1, 2, 0),
-    (15, 0.0, 200, 0.0, 0, 0.0, 1, 1, 0), (60, 0.0, 10, 1.0, 5, 1.0, 1, 1, 0), (3, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0),
-    (8, 0.0, 1, 1.0, 50, 0.0, 0, 2, 1), (90, 0.0, 8, 0.0, 70, 0.0, 0, 2, 1), (1, 0.0, 40, 0.0, 1, 0.0, 0, 2, 1),
-    (2, 0.0, 1, 0.0, 0, 0.0, 0, 2, 1), (12, 1.0, 60, 0.0, 80, 0.0, 0, 2, 1), (300, 0.1, 5, 0.0, 4, 0.0, 0, 2, 1),
-    (5, 0.5, 0, 0.0, 3, 0.0, 0, 2, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0, 2, 1),
-    (6, 0.0, 8, 0.0, 9, 0.0, 0, 0, 0), (30, 0.0, 5, 0.0, 100, 0.0, 0, 0, 0), (80, 0.0, 70, 0.0, 2, 0.0, 0, 0, 0),
-    (4, 1.0, 2, 1.0, 6, 1.0, 0, 0, 0), (200, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0),
-    (5, 1.0, 3, 1.0, 4, 1.0, 0, 1, 0), (7, 0.9, 60, 0.0, 2, 1.0, 0, 1, 0), (30, 0.8, 4, 1.0, 5, 1.0, 0, 1, 0),
-    (3, 0.0, 4, 1.0, 5, 1.0, 0, 1, 0), (6, 0.0, 2, 0.0, 3, 0.0, 0, 1, 0), (4, 0.0, 0, 0.0, 2, 1.0, 0, 1, 0),
-    (50, 0.0, 5, 1.0, 70, 0.0, 0, 1, 1), (25, 0.1, 60, 0.0, 90, 0.0, 0, 1, 1), (120, 0.2, 4, 0.0, 3, 1.0, 0, 1, 1),
-    (6, 0.0, 5, 1.0, 80, 0.0, 0, 1, 1), (8, 0.0, 70, 0.0, 90, 0.0, 0, 1, 1), (5, 0.0, 60, 0.0, 2, 0.0, 0, 1, 1),
-    (35, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1),
+#: The labelled table. Blocks whose label does not depend on what is next to them: words, link density, framed
+#: (1: inside the page's frame), place (2: inside the article, 1: the page marks no article, 0: outside of it),
+#: main text or not. Each stands beside each of NEIGHBOURS (words and link density before and after).
+ALIKE = [
+    (1, 1.0, 1, 0, 0), (9, 0.0, 1, 0, 0), (60, 0.1, 1, 0, 0), (1, 1.0, 1, 1, 0), (12, 0.0, 1, 1, 0), (90, 0.0, 1, 1, 0),
+    (2, 1.0, 1, 2, 0), (14, 0.0, 1, 2, 0), (120, 0.0, 1, 2, 0), (3, 1.0, 0, 0, 0), (8, 0.0, 0, 0, 0), (150, 0.0, 0, 0, 0),
+    (1, 0.0, 0, 2, 1), (9, 0.4, 0, 2, 1), (12, 1.0, 0, 2, 1), (40, 0.0, 0, 2, 1), (300, 0.1, 0, 2, 1),
+    (1, 1.0, 0, 1, 0), (8, 0.8, 0, 1, 0), (45, 0.7, 0, 1, 0), (28, 0.0, 0, 1, 1), (60, 0.2, 0, 1, 1), (200, 0.0, 0, 1, 1),
 ]
+NEIGHBOURS = [(0, 0.0, 0, 0.0), (3, 1.0, 4, 1.0), (70, 0.0, 90, 0.0), (80, 0.1, 2, 1.0), (6, 0.0, 60, 0.0)]
+#: Short blocks of pages that mark no article: main text between long ones, else not.
+SHORT = [
+    (6, 0.0, 5, 1.0, 80, 0.0, 0, 1, 1), (8, 0.0, 70, 0.0, 90, 0.0, 0, 1, 1), (5, 0.0, 60, 0.0, 2, 0.0, 0, 1, 1), (11, 0.0, 45, 0.0, 50, 0.0, 0, 1, 1), (2, 0.0, 90, 0.0, 70, 0.0, 0, 1, 1),
+    (3, 0.0, 4, 1.0, 5, 1.0, 0, 1, 0), (6, 0.0, 2, 0.0, 3, 0.0, 0, 1, 0), (4, 0.0, 0, 0.0, 2, 1.0, 0, 1, 0), (5, 0.0, 6, 0.0, 8, 0.0, 0, 1, 0), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0), (9, 0.0, 7, 0.0, 0, 0.0, 0, 1, 0),
+]
+EXAMPLES = [(w, d, *n, framed, place, label) for w, d, framed, place, label in ALIKE for n in NEIGHBOURS] + SHORT
 
 
-def grow_tree(rows: np.ndarray, depth: int = 7) -> tuple | int:
+def grow_tree(rows: np.ndarray, depth: int = 12) -> tuple | int:
     """A tree of (feature, threshold, at or below, above) with labels as leaves, by Gini impurity; label last in rows."""
     labels = rows[:, -1]
     if depth == 0 or (labels == labels[0]).all():
