@@ -129,9 +129,9 @@ def assign_to_chapters(slides: DataFrame, chapters: DataFrame, paras: DataFrame,
     return placed.select("video_id", F.col("ch").alias("chapter"), "k", "para_index", "file", "t", t_str.alias("t_str"), caption.alias("caption"), F.substring("text", 1, 120).alias("ocr"))
 
 
-def figure_free(figures: DataFrame, gate: DataFrame) -> DataFrame:
-    """figures of the videos that the gate lets have them."""
-    return figures.join(gate.filter("skip_reason IS NULL").select("video_id"), "video_id", "left_semi")
+def figure_free(slides: DataFrame, gate: DataFrame) -> DataFrame:
+    """slides of the videos that the gate lets have figures."""
+    return slides.join(gate.filter("skip_reason IS NULL").select("video_id"), "video_id", "left_semi")
 
 
 def last_before(rows: DataFrame, candidates: DataFrame, time: str, value: Column) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import deque
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -21,27 +20,40 @@ def detect_chrome(frames: DataFrame, ratio: float = 0.4, gram_ratio: float = 0.6
     An n-gram of Han characters that is frequent enough holds only shortest ones that are; these are counted
     first, and longer ones only where all shortest ones in them have passed.
     """
-    rows = frames.select("video_id", "index", F.coalesce("text", F.lit("")).alias("text")).repartition("video_id")
-    count = rows.groupBy("video_id").agg(F.count("*").alias("n"))
-    words = rows.select("video_id", F.explode(T.tokens("text")).alias("item"))
-    words = _frequent(words, count, ratio).filter((F.length("item") > 1) | F.col("item").rlike("^[\\x00-\\x7f]*$")).select("video_id", F.lower("item").alias("item"))
+    rows = frames.select("video_id", F.coalesce("text", F.lit("")).alias("text"))
+    runs = F.regexp_extract_all("text", F.lit(f"{fixed.HAN}{{{gram_min},}}"), F.lit(0))
     alone = F.filter(F.split("text", T.BLANKS), lambda w: w.rlike(f"^{fixed.HAN}$"))
-    isolated = _frequent(rows.select("video_id", F.explode(alone).alias("item")), count, isolated_ratio)
-    runs = rows.withColumn("runs", F.regexp_extract_all("text", F.lit(f"{fixed.HAN}{{{gram_min},}}"), F.lit(0)))
-    shortest = _frequent(runs.select("video_id", F.explode(F.array_distinct(F.flatten(F.transform("runs", lambda r: _grams(r, gram_min))))).alias("item")), count, gram_ratio)
-    passed = shortest.groupBy("video_id").agg(F.collect_set("item").alias("passed"))
-    held = runs.join(passed, "video_id").withColumn("marked", F.transform("runs", lambda r: F.struct(r.alias("run"), _marks(r, gram_min).alias("marks"))))
-    longer = held.select("video_id", F.explode(F.array_distinct(F.flatten(F.transform("marked", lambda m: _longer(m["run"], m["marks"], gram_min, gram_max))))).alias("item"))
-    items = reduce(DataFrame.unionByName, [words, isolated, shortest, _frequent(longer, count, gram_ratio)])
-    sets = items.groupBy("video_id").agg(F.collect_set("item").alias("items"))
-    usual = F.array(*map(F.lit, fixed.CHROME_WORDS))
-    every = count.select("video_id").join(sets, "video_id", "left")
-    return every.select("video_id", F.array_sort(F.array_union(usual, F.coalesce("items", F.array().cast("array<string>")))).alias("chrome"))
-
-
-def _frequent(items: DataFrame, count: DataFrame, ratio: float) -> DataFrame:
-    seen = items.groupBy("video_id", "item").agg(F.count("*").alias("seen"))
-    return seen.join(count, "video_id").filter(F.col("seen") >= F.col("n") * ratio).select("video_id", "item")
+    shortest = F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, gram_min))))
+    frame = F.array(F.struct(F.lit("frame").alias("kind"), F.lit("").alias("item")))
+    items = F.concat(frame, _of_kind("word", T.tokens("text")), _of_kind("alone", alone), _of_kind("gram", shortest))
+    seen = _counted(rows.select("video_id", F.explode(items).alias("i")).select("video_id", "i.kind", "i.item"))
+    ratios = F.create_map(*[F.lit(x) for x in ("frame", 0.0, "word", ratio, "alone", isolated_ratio, "gram", gram_ratio)])
+    counts = seen.filter("kind = 'frame'").select("video_id", F.col("seen").alias("n"))
+    often = seen.join(counts, "video_id").filter(F.col("seen") >= F.col("n") * ratios[F.col("kind")])
+    often = often.filter((F.col("kind") != "word") | (F.length("item") > 1) | F.col("item").rlike("^[\\x00-\\x7f]*$"))
+    found = often.groupBy("video_id").agg(
+        F.first("n").alias("n"),
+        F.collect_set(F.when(F.col("kind") == "gram", F.col("item"))).alias("passed"),
+        F.collect_set(F.when(F.col("kind") == "word", F.lower("item")).when(F.col("kind") == "alone", F.col("item"))).alias("others"),
+    )
+    held = rows.join(found.filter(F.size("passed") > 0).select("video_id", "passed"), "video_id")
+    marked = held.withColumn("marked", F.transform(runs, lambda r: F.struct(r.alias("run"), _marks(r, gram_min).alias("marks"))))
+    longer = F.array_distinct(F.flatten(F.transform("marked", lambda m: _longer(m["run"], m["marks"], gram_min, gram_max))))
+    counted = _counted(marked.select("video_id", F.explode(longer).alias("item")))
+    long_often = counted.join(found.select("video_id", "n"), "video_id").filter(F.col("seen") >= F.col("n") * gram_ratio)
+    long_sets = long_often.groupBy("video_id").agg(F.collect_set("item").alias("long"))
+    usual, none = F.array(*map(F.lit, fixed.CHROME_WORDS)), F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(usual, "others", "passed", F.coalesce("long", none)))
+    return found.join(long_sets, "video_id", "left").select("video_id", F.array_sort(every).alias("chrome"))
+
+
+def _of_kind(kind: str, items: Column) -> Column:
+    return F.transform(items, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("item")))
+
+
+def _counted(items: DataFrame) -> DataFrame:
+    """items with seen. Counted on all columns, where a large video is many groups, and before anything is moved."""
+    return items.groupBy(*items.columns).agg(F.count("*").alias("seen"))
 
 
 def _grams(run: Column, size: int) -> Column:

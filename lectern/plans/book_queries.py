@@ -20,6 +20,7 @@ from lectern.plans.adapters import with_views
 from lectern.plans.catalog import query
 from lectern.plans.chapter_queries import TOC, by_time
 from lectern.plans.text_queries import part_title_sql, tidy_sql, ui_sql
+from lectern.sources.stages import keep
 
 # slides: frames three seconds long, so that they overlap the segments of the video with the same number
 SLIDES = f"""slides AS MATERIALIZED (SELECT video_id, index * 3.0::DOUBLE AS t0, index * 3.0::DOUBLE + 3 AS t1, file, substr(text, 1, 200) AS text, {tidy_sql("substr(text, 1, 200)")} AS title, 0.0::DOUBLE AS dup_to_prev FROM frames)"""
@@ -365,7 +366,8 @@ def mark(spark: SparkSession, d: str) -> DataFrame:
 @query("wb_slides_to_figures")
 def wb(spark: SparkSession, d: str) -> DataFrame:
     """From frames by decoration, representatives, speech and gate to figures."""
-    picks = SL.select_representatives(SL.clean_frames(A.frames(spark, d)))
-    said = AL.attach_speech(picks, A.segments(spark, d))
+    picks = keep(SL.select_representatives(SL.clean_frames(A.frames(spark, d))))
+    said = keep(AL.attach_speech(picks, A.segments(spark, d)))
     gate = AL.talking_head_gate(A.frames(spark, d).select("video_id").distinct(), said)
-    return AL.figure_free(AL.to_figures(said, by_minutes(spark, d), A.paragraphs(spark, d)), gate)
+    free = AL.figure_free(said, gate)
+    return AL.to_figures(free, keep(by_minutes(spark, d)), A.paragraphs(spark, d))
