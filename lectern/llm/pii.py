@@ -50,18 +50,22 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
 
-def _starts(gaps: str, sizes: str) -> Column:
-    """Start of each match, from the lengths of what stands before the matches and of the matches; sums by runs first."""
+def _starts(gaps: str, sizes: str, places: Column | None = None) -> Column:
+    """Starts of the matches at places (from 0, all if None), from the lengths of what stands before each match and of the matches.
+
+    Lengths are added up by runs of RUN first, so that a start is the sum of few numbers.
+    """
     n, steps = F.size(sizes), F.zip_with(F.slice(gaps, 1, F.size(sizes)), F.col(sizes), lambda g, s: g + s)
+    wanted = F.sequence(F.lit(0), n - 1) if places is None else places
 
     def of(packed: Column) -> Column:  # packed: the steps and their sums by runs, made once
         return F.transform(
-            F.sequence(F.lit(0), n - 1),
+            wanted,
             lambda i: _total(F.slice(packed["sums"], 1, F.floor(i / RUN).cast("int"))) + _total(F.slice(packed["steps"], F.floor(i / RUN).cast("int") * RUN + 1, i % RUN)) + F.get(gaps, i),
         )
 
-    runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), lambda r: _total(F.slice(steps, r * RUN + 1, RUN)))
-    packed = F.array(F.struct(steps.alias("steps"), runs.alias("sums")))
+    by_runs = lambda t: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), lambda r: _total(F.slice(t, r * RUN + 1, RUN)))
+    packed = F.transform(F.array(steps), lambda t: F.struct(t.alias("steps"), by_runs(t).alias("sums")))
     return F.when(n > 0, F.flatten(F.transform(packed, of))).otherwise(F.array().cast("array<int>"))
 
 
@@ -134,7 +138,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, min_texts: int = 3, gener
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
     entities = base.select("key", F.explode(F.array_distinct("near.value")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    seen = _words(docs, pairs.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_term"))
+    seen = _document_counts(docs, pairs.select("term").distinct())
     n_docs = F.lit(float(base.count()))
     told = pairs.join(entities, "entity").join(seen, "term")
     given = F.log(n_docs * F.col("n_pair") / (F.col("n_term") * F.col("n_entity"))) / F.log(n_docs / F.col("n_entity"))
@@ -152,12 +156,12 @@ def _bit_map(terms: DataFrame) -> Column:
     return lambda word: F.substring(F.lit(bytes(bits)), F.pmod(F.xxhash64(word), F.lit(MAP_BITS)).cast("int") + 1, 1) == F.lit(b"\x01")
 
 
-def _words(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row for each document and each of terms that it holds."""
+def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_term: in how many documents each of terms, and any other word with a bit of theirs, stands."""
     maybe = _bit_map(terms)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
     found = docs.select(F.explode(words).alias("term")).filter(maybe(F.col("term")))
-    return found.join(terms, "term", "left_semi")
+    return found.groupBy("term").agg(F.count("*").alias("n_term"))
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -166,12 +170,18 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, key long, terms array<struct<start:int,end:int,value:string,action:string>>")
     maybe = _bit_map(terms)
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    hit = named.filter(F.exists(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), maybe))
     words = F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), F.when(maybe(F.lower(w)), F.lower(w)).alias("term")))
-    hit = named.withColumn("words", words).filter(F.exists("words", lambda w: w["term"].isNotNull()))
-    placed = hit.withColumns({"gaps": F.transform(F.split("text", TERM, -1), F.length), "sizes": F.transform("words", lambda w: w["n"])})
-    placed = placed.select("doc_id", "key", "words", "gaps", "sizes").withColumn("starts", _starts("gaps", "sizes"))
-    spans = F.zip_with("starts", "words", lambda s, w: F.struct(s.alias("start"), (s + w["n"]).alias("end"), w["term"].alias("term")))
-    each = placed.select("doc_id", "key", F.explode(F.filter(spans, lambda s: s["term"].isNotNull())).alias("s")).select("doc_id", "key", "s.*")
+    placed = hit.withColumn("words", words).withColumns(
+        {
+            "gaps": F.transform(F.split("text", TERM, -1), F.length),
+            "sizes": F.transform("words", lambda w: w["n"]),
+            "places": F.filter(F.transform("words", lambda w, i: F.when(w["term"].isNotNull(), i)), lambda i: i.isNotNull()),
+        }
+    )
+    placed = placed.select("doc_id", "key", "words", "gaps", "sizes", "places").withColumn("starts", _starts("gaps", "sizes", F.col("places")))
+    spans = F.zip_with("starts", "places", lambda s, i: F.struct(s.alias("start"), (s + F.get("words", i)["n"]).alias("end"), F.get("words", i)["term"].alias("term")))
+    each = placed.select("doc_id", "key", F.explode(spans).alias("s")).select("doc_id", "key", "s.*")
     known = each.join(terms.select("term", "action"), "term").distinct()
     return known.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("term").alias("value"), "action"))).alias("terms"))
 
