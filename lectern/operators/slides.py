@@ -79,7 +79,9 @@ def _longer(run: Column, marks: Column, least: int, most: int) -> Column:
 
 def clean_frames(frames: DataFrame, **ratios: float) -> DataFrame:
     """frames with clean, their text without the video's decoration."""
-    return frames.join(detect_chrome(frames, **ratios), "video_id").withColumn("clean", T.clean_slide("text", "chrome")).drop("chrome")
+    joined = frames.join(detect_chrome(frames, **ratios), "video_id")
+    # exploding one value keeps Spark from copying the long expression into each later use of it
+    return joined.select(*frames.columns, F.explode(F.array(T.clean_slide("text", "chrome"))).alias("clean"))
 
 
 def _islands(cleaned: DataFrame, sim: float) -> DataFrame:
@@ -118,7 +120,7 @@ class Grouped:
         self.video_id, self.sim, self.seg, self.tokens = video_id, sim, -1, None
 
     def step(self, row: dict[str, Any]) -> list[dict[str, Any]]:
-        tokens, out = set(row["toks"]), []
+        tokens, out = set(row["toks"].split()), []
         if self.tokens is not None:
             every = self.tokens | tokens
             alike = len(self.tokens & tokens) / len(every) if every else 1.0
@@ -139,7 +141,7 @@ class Grouped:
 
 def group_slides(frames: DataFrame, min_chars: int = 20, min_span: float = 5.0, sim: float = 0.5, tail: float = 10.0) -> DataFrame:
     """video_id, seg, t, file, text, chars, span, n_frames of slides with text enough; the frame with most characters stands for one."""
-    rows = frames.select("video_id", "index", "t", "file", F.coalesce("text", F.lit("")).alias("text"), "chars").withColumn("toks", T.tokens_lower("text"))
+    rows = frames.select("video_id", "index", "t", "file", F.coalesce("text", F.lit("")).alias("text"), "chars").withColumn("toks", F.array_join(T.tokens_lower("text"), " "))
     schema = "video_id string, seg int, t double, file string, text string, chars int, first_t double, last_t double, n_frames int"
     slides = fold_by_key(rows, "video_id", ["index"], lambda v: Grouped(v, sim), schema)
     span = F.col("last_t") - F.col("first_t") + tail
@@ -184,13 +186,14 @@ def visual_baseline(signatures: DataFrame, max_img_sim: float = 0.66) -> DataFra
 class Picked:
     """Representative frames of one video: unlike each of the last few that were picked."""
 
-    def __init__(self, video_id: Any, max_sim: float, tail: float, window: int):
-        self.video_id, self.max_sim, self.tail = video_id, max_sim, tail
+    def __init__(self, video_id: Any, max_sim: float, tail: float, window: int, size: int):
+        self.video_id, self.max_sim, self.tail, self.size = video_id, max_sim, tail, size
         self.recent: deque = deque(maxlen=window)
         self.last, self.pick = None, 0
 
     def step(self, row: dict[str, Any]) -> list[dict[str, Any]]:
-        grams, sig = set(row["grams"]), row["sig"]
+        kept, sig = row["kept"], row["sig"]
+        grams = {kept[i : i + self.size] for i in range(len(kept) - self.size + 1)}
         dup = max((len(grams & g) / max(1, len(grams | g)) for g, _ in self.recent), default=0.0)
         if self.recent and dup > self.max_sim:
             return []
@@ -212,20 +215,21 @@ class Picked:
         return self.close(self.last["t0"] + self.tail) if self.last else []
 
 
-def select_representatives(cleaned: DataFrame, signatures: DataFrame | None = None, max_sim: float = 0.35, min_chars: int = 8, tail: float = 10.0, window: int = 4, max_img_sim: float = 0.66) -> DataFrame:
+def select_representatives(cleaned: DataFrame, signatures: DataFrame | None = None, max_sim: float = 0.35, min_chars: int = 8, tail: float = 10.0, window: int = 4, max_img_sim: float = 0.66, size: int = 4) -> DataFrame:
     """video_id, pick, t0, t1, file, text, title, chars, dup_to_prev, img_dup of frames unlike the last ones picked.
 
-    Frames with little text or a program's frame are left out before; signatures: video_id, index, sig.
+    Frames with little text or a program's frame are left out before; signatures: video_id, index, sig. The
+    n-grams of size are made in the fold, from one string a frame, as arrays of them cost more to hand over.
     """
-    rows = cleaned.filter((F.length("clean") >= min_chars) & ~T.looks_like_ui_chrome("clean")).withColumn("grams", T.char_ngrams("clean")).filter(F.size("grams") > 0)
-    rows = rows.select("video_id", "index", "t", "file", "clean", "grams")
+    rows = cleaned.filter((F.length("clean") >= min_chars) & ~T.looks_like_ui_chrome("clean")).withColumn("kept", T.gram_chars("clean")).filter(F.length("kept") >= size)
+    rows = rows.select("video_id", "index", "t", "file", "clean", "kept")
     if signatures is None:
         rows = rows.withColumns({"sig": F.lit(None).cast("array<double>"), "threshold": F.lit(max_img_sim)})
     else:
         rows = rows.join(signatures.select("video_id", "index", "sig"), ["video_id", "index"], "left")
         rows = rows.join(visual_baseline(signatures, max_img_sim).select("video_id", "threshold"), "video_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(max_img_sim)))
     schema = "video_id string, pick int, t0 double, t1 double, file string, text string, dup_to_prev double, img_dup double"
-    picks = fold_by_key(rows, "video_id", ["index"], lambda v: Picked(v, max_sim, tail, window), schema)
+    picks = fold_by_key(rows, "video_id", ["index"], lambda v: Picked(v, max_sim, tail, window, size), schema)
     return picks.withColumn("title", T.tidy_title("text")).withColumn("chars", F.length("text"))
 
 
