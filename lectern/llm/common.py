@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.stages import keep
+
 #: A word is a run of anything but these white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage is cut and it survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: What is cut off from its lineage is written to the folder in spark.checkpoint.dir and read again.
+durable = keep
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

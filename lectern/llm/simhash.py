@@ -139,4 +139,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     least = roots.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", "fp", "component_id")
+    # on two keys, both sides are dealt anew, and Spark can split the rows of a fingerprint with many copies
+    low = F.col("fp").bitwiseAND(0xFFFF)
+    return prints.withColumn("low", low).join(every.withColumn("low", low), ["low", "fp"]).select("doc_id", "fp", "component_id")
