@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators.fold import fold_by_key
+from lectern.sources.stages import keep
 
 
 def detect_chrome(frames: DataFrame, ratio: float = 0.4, gram_ratio: float = 0.6, gram_min: int = 2, isolated_ratio: float = 0.3, gram_max: int = 8) -> DataFrame:
@@ -24,25 +25,29 @@ def detect_chrome(frames: DataFrame, ratio: float = 0.4, gram_ratio: float = 0.6
     runs = F.regexp_extract_all("text", F.lit(f"{fixed.HAN}{{{gram_min},}}"), F.lit(0))
     alone = F.filter(F.split("text", T.BLANKS), lambda w: w.rlike(f"^{fixed.HAN}$"))
     shortest = F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, gram_min))))
-    frame = F.array(F.struct(F.lit("frame").alias("kind"), F.lit("").alias("item")))
-    items = F.concat(frame, _of_kind("word", T.tokens("text")), _of_kind("alone", alone), _of_kind("gram", shortest))
+    items = F.concat(_of_kind("word", T.tokens("text")), _of_kind("alone", alone), _of_kind("gram", shortest))
     seen = _counted(rows.select("video_id", F.explode(items).alias("i")).select("video_id", "i.kind", "i.item"))
-    ratios = F.create_map(*[F.lit(x) for x in ("frame", 0.0, "word", ratio, "alone", isolated_ratio, "gram", gram_ratio)])
-    counts = seen.filter("kind = 'frame'").select("video_id", F.col("seen").alias("n"))
+    ratios = F.create_map(*[F.lit(x) for x in ("word", ratio, "alone", isolated_ratio, "gram", gram_ratio)])
+    counts = rows.groupBy("video_id").agg(F.count("*").alias("n"))
     often = seen.join(counts, "video_id").filter(F.col("seen") >= F.col("n") * ratios[F.col("kind")])
     often = often.filter((F.col("kind") != "word") | (F.length("item") > 1) | F.col("item").rlike("^[\\x00-\\x7f]*$"))
-    found = often.groupBy("video_id").agg(
-        F.first("n").alias("n"),
+    sets = often.groupBy("video_id").agg(
         F.collect_set(F.when(F.col("kind") == "gram", F.col("item"))).alias("passed"),
         F.collect_set(F.when(F.col("kind") == "word", F.lower("item")).when(F.col("kind") == "alone", F.col("item"))).alias("others"),
     )
-    held = rows.join(found.filter(F.size("passed") > 0).select("video_id", "passed"), "video_id")
-    marked = held.withColumn("marked", F.transform(runs, lambda r: F.struct(r.alias("run"), _marks(r, gram_min).alias("marks"))))
+    none = F.array().cast("array<string>")
+    # kept, as it is read three times below and small beside the frames
+    found = keep(counts.join(sets, "video_id", "left").select("video_id", "n", F.coalesce("passed", none).alias("passed"), F.coalesce("others", none).alias("others")))
+    # one string of all that passed is searched faster than an array
+    listed = F.concat(F.lit("|"), F.array_join("passed", "|"), F.lit("|"))
+    held = rows.join(found.filter(F.size("passed") > 1).select("video_id", listed.alias("passed")), "video_id")
+    marks = F.transform(runs, lambda r: F.struct(r.alias("run"), _marks(r, gram_min).alias("marks")))
+    marked = held.withColumn("marked", F.filter(marks, lambda m: F.contains(m["marks"], F.lit("11"))))
     longer = F.array_distinct(F.flatten(F.transform("marked", lambda m: _longer(m["run"], m["marks"], gram_min, gram_max))))
     counted = _counted(marked.select("video_id", F.explode(longer).alias("item")))
     long_often = counted.join(found.select("video_id", "n"), "video_id").filter(F.col("seen") >= F.col("n") * gram_ratio)
     long_sets = long_often.groupBy("video_id").agg(F.collect_set("item").alias("long"))
-    usual, none = F.array(*map(F.lit, fixed.CHROME_WORDS)), F.array().cast("array<string>")
+    usual = F.array(*map(F.lit, fixed.CHROME_WORDS))
     every = F.array_distinct(F.concat(usual, "others", "passed", F.coalesce("long", none)))
     return found.join(long_sets, "video_id", "left").select("video_id", F.array_sort(every).alias("chrome"))
 
@@ -63,7 +68,7 @@ def _grams(run: Column, size: int) -> Column:
 
 def _marks(run: Column, size: int) -> Column:
     """A 1 for each place at which the shortest n-gram has passed, else a 0."""
-    return F.array_join(F.transform(_grams(run, size), lambda g: F.when(F.array_contains("passed", g), "1").otherwise("0")), "")
+    return F.array_join(F.transform(_grams(run, size), lambda g: F.when(F.contains(F.col("passed"), F.concat(F.lit("|"), g, F.lit("|"))), "1").otherwise("0")), "")
 
 
 def _longer(run: Column, marks: Column, least: int, most: int) -> Column:
