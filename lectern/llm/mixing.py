@@ -30,7 +30,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     """source, source_size, docs, target of each source: words by weight, no target above PASSES times its size.
 
     Ascending by how far a source's limit is for its weight, sources stop at their limit as long as the
-    share of what is left for them reaches it; the rest share what is left by weight.
+    share of what is left for them reaches it; the rest share what is left by weight. The table has one row a
+    source, not a document, and is put in order in one task.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
