@@ -41,7 +41,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as frames of one video a document, ten seconds apart, every other with a page number."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")).filter("line <> ''")
     numbered = rows.withColumn("index", F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - 1)
-    text = F.concat(F.translate(F.substring("line", 1, 300), LATIN, HAN), F.when(F.col("index") % 2 == 0, F.format_string(" %d / 120 ", F.col("index") + 1)).otherwise(""))
+    text = F.concat(F.translate("line", LATIN, HAN), F.when(F.col("index") % 2 == 0, F.format_string(" %d / 120 ", F.col("index") + 1)).otherwise(""))
     return numbered.select(F.col("doc_id").cast("string").alias("video_id"), "index", F.format_string("f_%05d.jpg", "index").alias("file"), ((F.col("index") + F.lit(0.5)) * 10).alias("t"), text.alias("text"), F.length(text).alias("chars"))
 
 
@@ -55,9 +55,13 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short frames as slides."""
-    text = F.when(F.col("index") % 3 == 0, F.substring("text", 1, 30)).otherwise(F.substring("text", 1, 60))
-    return frames(spark, sf_dir).select("video_id", F.col("index").alias("seg"), "t", text.alias("text"), F.length(text).alias("chars"))
+    """Frames parted into short slides, so many words each, all words; the slides of a frame share its ten seconds."""
+    rows = frames(spark, sf_dir).select("video_id", "index", "t", F.split("text", " ", -1).alias("words"), F.when(F.col("index") % 3 == 0, 4).otherwise(8).alias("size"))
+    last = F.floor((F.size("words") - 1) / F.col("size")).cast("int")
+    texts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("words", i * F.col("size") + 1, F.col("size")), " "))
+    runs = rows.select("video_id", "index", "t", (last + 1).alias("n"), F.posexplode(texts).alias("run", "text")).filter("text <> ''")
+    seg = F.row_number().over(W.partitionBy("video_id").orderBy("index", "run")) - 1
+    return runs.select("video_id", seg.alias("seg"), (F.col("t") + F.col("run") * F.lit(10.0) / F.col("n")).alias("t"), "text", F.length("text").alias("chars"))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:

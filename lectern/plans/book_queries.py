@@ -28,8 +28,8 @@ SPOKEN = """spoken AS MATERIALIZED (SELECT * FROM (SELECT s.*, coalesce((SELECT
 
 
 def slides(spark: SparkSession, d: str) -> DataFrame:
-    text, t0 = F.substring("text", 1, 200), F.col("index") * F.lit(3.0)
-    return A.frames(spark, d).select("video_id", t0.alias("t0"), (t0 + 3).alias("t1"), "file", text.alias("text"), T.tidy_title(text).alias("title"), F.lit(0.0).alias("dup_to_prev"))
+    t0 = F.col("index") * F.lit(3.0)
+    return A.frames(spark, d).select("video_id", t0.alias("t0"), (t0 + 3).alias("t1"), "file", "text", T.tidy_title("text").alias("title"), F.lit(0.0).alias("dup_to_prev"))
 
 
 def spoken(spark: SparkSession, d: str) -> DataFrame:
