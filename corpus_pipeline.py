@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact, mixing, packing, quality, simhash
+from lectern.llm import exact, minhash, mixing, packing, quality, simhash
 from lectern.llm.common import durable, read
 
 THRESHOLD = 0.3
@@ -26,8 +26,16 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id_")).distinct()
+    """Keeps the document with the smallest doc_id of each group of near-duplicates.
+
+    Near are fingerprints as in op3_simhash, and whole sets of five-word shingles with a similarity of 0.8 or
+    more, which mostly differ in more bits than fingerprints may.
+    """
+    id_ = F.coalesce("doc_id", F.lit(-(2**63))).alias("id_")
+    roots = durable(simhash.near_duplicates(docs).select(id_, F.coalesce("component_id", F.lit(-(2**63))).alias("root_")).distinct())
+    near = minhash.similar_roots(docs.select(id_, "text").join(roots, "id_"))
+    tops = roots.join(near.withColumnsRenamed({"node": "root_", "root": "top_"}), "root_", "left")
+    found = tops.filter(F.col("id_") == F.coalesce("top_", "root_")).select("id_").distinct()
     named = docs.withColumn("id_", F.coalesce("doc_id", F.lit(-(2**63))))
     return named.join(found, "id_", "left_semi").drop("id_")
 
