@@ -306,10 +306,12 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def s4(spark: SparkSession, d: str) -> DataFrame:
-    few = A.parts(spark, d).filter("pos < 50")
+    # a raw page holds so many parts, so that no JSON value grows with its series
+    size = 100
+    few = A.parts(spark, d).withColumn("sheet", F.floor(F.col("pos") / size))
     page = F.struct("pos", F.col("index").alias("page"), F.col("title").alias("part"), "duration", F.col("doc_id").alias("cid"))
-    entry = F.struct("pos", "title", "duration", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("u"), F.col("pos").cast("string"))).otherwise("").alias("url"))
-    rows = few.groupBy("series_id").agg(F.array_sort(F.collect_list(page)).alias("pages"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    entry = F.struct("pos", F.col("index").alias("playlist_index"), "title", "duration", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("u"), F.col("pos").cast("string"))).otherwise("").alias("url"))
+    rows = few.groupBy("series_id", "sheet").agg(F.array_sort(F.collect_list(page)).alias("pages"), F.array_sort(F.collect_list(entry)).alias("entries"))
     api = F.to_json(F.struct(F.struct(F.col("pages").alias("pages")).alias("data")))
     raw = rows.select("series_id", F.concat(F.lit("http://v/"), "series_id", F.lit("?x=1")).alias("url"), F.when(F.col("series_id") < "src5", api).otherwise(F.to_json(F.struct("entries"))).alias("json"))
-    return SE.list_parts(raw)
+    return SE.list_parts(raw).withColumn("pos", F.col("index") - 1)

@@ -41,3 +41,11 @@ def test_frames_and_segs_hold_all_characters(spark, sf_dir):
         words = [w for (v, _), t in sorted(frames.items()) if v == video for w in t.split(" ") if w]
         assert [w for s in segs if s["video_id"] == video for w in s["text"].split(" ") if w] == words
     assert max(len(s["text"].split(" ")) for s in segs) <= 8
+
+
+def test_all_parts_are_listed(spark, tmp_path, sf_dir, same):
+    same(QUERIES["s4_list_parts"](spark, sf_dir), whole("s4_list_parts", {" WHERE pos < 50": ""}))
+    docs = spark.range(460).selectExpr("id AS doc_id", "concat('part ', id) AS text", "if(id < 230, 'src1', 'src7') AS source", "10L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["s4_list_parts"](spark, str(tmp_path)).collect()
+    assert sorted((r["series_id"], r["pos"], r["index"]) for r in rows) == [(s, i, i + 1) for s in ("src1", "src7") for i in range(230)]
