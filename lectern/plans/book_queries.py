@@ -284,7 +284,7 @@ def w11_figures(spark: SparkSession, d: str) -> DataFrame:
     parts = SE.select_parts(A.parts(spark, d))
     paras = series_paragraphs(spark, d)
     named = parts.select("series_id", "part", F.col("doc_id").cast("string").alias("video_id"))
-    figures = A.frames(spark, d).filter("index % 4 = 1").join(named, "video_id").select("series_id", "part", F.col("index").alias("para_index"), "file")
+    figures = A.frames(spark, d).join(named, "video_id").select("series_id", "part", F.col("index").alias("para_index"), "file")
     return SE.merge_figures(parts, SE.merge_paragraphs(parts, paras)[1], figures)
 
 
@@ -299,7 +299,7 @@ def w11_figures(spark: SparkSession, d: str) -> DataFrame:
 def a7(spark: SparkSession, d: str) -> DataFrame:
     parts = A.parts(spark, d)
     total = parts.groupBy("series_id").agg(F.count("*").alias("total_parts"))
-    return SE.series_summary(SE.select_parts(parts, limit=7), total).withColumn("minutes", F.round("minutes", 6))
+    return SE.series_summary(SE.select_parts(parts), total).withColumn("minutes", F.round("minutes", 6))
 
 
 NAME, EXT = "regexp_extract(path, '([^/]*)$', 1)", r"lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '[^.](\.[^.]*)$', 1))"

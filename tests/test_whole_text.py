@@ -49,3 +49,8 @@ def test_all_parts_are_listed(spark, tmp_path, sf_dir, same):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = QUERIES["s4_list_parts"](spark, str(tmp_path)).collect()
     assert sorted((r["series_id"], r["pos"], r["index"]) for r in rows) == [(s, i, i + 1) for s in ("src1", "src7") for i in range(230)]
+
+
+def test_series_take_all_parts_and_figures(spark, sf_dir, same):
+    same(QUERIES["a7_series_summary"](spark, sf_dir), whole("a7_series_summary", {" WHERE index <= 7": ""}))
+    same(QUERIES["w11_merge_figures"](spark, sf_dir), whole("w11_merge_figures", {" WHERE index % 4 = 1": ""}))
