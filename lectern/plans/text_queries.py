@@ -202,7 +202,7 @@ def a5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
-    words = A.frames(spark, d).select("video_id", F.col("index").alias("frame"), F.posexplode(F.slice(F.split("text", " ", -1), 1, 6)).alias("box_no", "text"))
+    words = A.frames(spark, d).select("video_id", F.col("index").alias("frame"), F.posexplode(F.split("text", " ", -1)).alias("box_no", "text"))
     y = F.pmod(F.col("box_no") * 137 + F.col("frame") * 31, F.lit(500)).cast("double")
     return words.withColumn("box", F.array(F.array(F.lit(0.0), y), F.array(F.lit(9.0), y), F.array(F.lit(9.0), y + 21), F.array(F.lit(0.0), y + 21)))
 
@@ -269,7 +269,7 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
     SELECT item_id, unnest(range(len(w))) AS i, unnest(w) AS term, 'to ' || unnest(w) AS replacement FROM (SELECT item_id, string_split(text, ' ')[1:6] AS w FROM benchmark))""",
 )
 def s5(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.split("text", " ", -1), 1, 6)
+    words = F.split("text", " ", -1)
     raw = A.table(spark, d, "benchmark").select("item_id", F.to_json(F.transform(words, lambda w: F.array(w, F.concat(F.lit("to "), w)))).alias("json"))
     # one file an item: its rows are numbered within it
     pairs = F.from_json("json", "array<array<string>>")

@@ -54,3 +54,9 @@ def test_all_parts_are_listed(spark, tmp_path, sf_dir, same):
 def test_series_take_all_parts_and_figures(spark, sf_dir, same):
     same(QUERIES["a7_series_summary"](spark, sf_dir), whole("a7_series_summary", {" WHERE index <= 7": ""}))
     same(QUERIES["w11_merge_figures"](spark, sf_dir), whole("w11_merge_figures", {" WHERE index % 4 = 1": ""}))
+
+
+def test_boxes_and_terms_of_all_words(spark, sf_dir, same):
+    words = {"string_split(text, ' ')[1:6]": "string_split(text, ' ')"}
+    same(QUERIES["f23_subtitle_band"](spark, sf_dir), whole("f23_subtitle_band", FRAMES_CUTS | words))
+    same(QUERIES["s5_term_map"](spark, sf_dir), whole("s5_term_map", words))
