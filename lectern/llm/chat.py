@@ -6,8 +6,8 @@ one block, their texts apart by a separator mark, so that they can be told apart
     <|im_start|>role NEWLINE text <|im_sep|> text <|im_end|> NEWLINE
 
 Control strings inside texts and roles are escaped: a backslash is doubled, then <| becomes <\\|; in a role a
-newline becomes \\n as well. The output is kept as segments, each with its place in the loss mask: the
-texts of the trained role are under it, marks and other roles are not.
+newline becomes \\n as well. The loss mask has one flag for each text of the formatted string, in order: those
+of the trained role are under it, marks and other roles are not.
 
 One row is one conversation, so the longest conversation has to fit in a row, as its formatted text does.
 
@@ -36,17 +36,13 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # a single backslash before n is an escaped newline; an escaped backslash is two
-    apart = F.replace(role, F.lit("\\\\"), F.lit("\0\0"))
-    return unescape(F.replace(F.replace(apart, F.lit("\\n"), F.lit("\n")), F.lit("\0\0"), F.lit("\\\\")))
-
-
-def _segment(text: Column, loss: Column) -> Column:
-    return F.struct(text.alias("text"), loss.alias("loss"))
+    # split at doubled backslashes, from the left: a single one that is left belongs to a newline or a mark
+    parts = F.transform(F.split(role, r"\\\\", -1), lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("<\\|"), F.lit("<|")))
+    return F.array_join(parts, "\\")
 
 
 def format_chats(rows: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """conv_id, segments (array of text and loss) and formatted, the segments' texts in one string."""
+    """conv_id, formatted and loss, an array with a flag for each text of formatted."""
     turn = F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     places = F.sequence(F.lit(1), F.size("turns"))
@@ -55,23 +51,11 @@ def format_chats(rows: DataFrame, trained_role: str = "assistant") -> DataFrame:
 
     def block(start: Column, k: Column) -> Column:
         after = F.coalesce(F.get("starts", k + 1), F.size("turns") + 1)
-        role = F.get("turns", start - 1)["role"]
-        texts = F.transform(F.slice("turns", start, after - start), lambda t: _segment(escape(t["text"]), role == trained_role))
-        parted = F.flatten(F.transform(texts, lambda t: F.array(_segment(F.lit(SEPARATOR), F.lit(False)), t)))
-        return F.struct(role.alias("role"), F.slice(parted, 2, F.size(parted)).alias("texts"))
-
-    merged = started.withColumn("blocks", F.transform("starts", block))
-    segments = F.flatten(
-        F.transform(
-            "blocks",
-            lambda b: F.concat(
-                F.array(_segment(F.concat(F.lit(START), escape_role(b["role"]), F.lit("\n")), F.lit(False))),
-                b["texts"],
-                F.array(_segment(F.lit(END), F.lit(False))),
-            ),
-        )
-    )
-    return merged.select("conv_id", segments.alias("segments")).withColumn("formatted", F.array_join("segments.text", ""))
+        texts = F.array_join(F.transform(F.slice("turns", start, after - start), lambda t: escape(t["text"])), SEPARATOR)
+        return F.concat(F.lit(START), escape_role(F.get("turns", start - 1)["role"]), F.lit("\n"), texts, F.lit(END))
+
+    loss = F.transform("turns", lambda t: t["role"] == trained_role)
+    return started.select("conv_id", F.array_join(F.transform("starts", block), "").alias("formatted"), loss.alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -86,6 +70,6 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(F.slice(blocks, 2, F.size(blocks)), turns))
 
 
-def read_loss(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def read_loss(formatted: Column, loss: Column) -> Column:
+    """All text of formatted under the loss mask, unescaped."""
+    return F.array_join(F.filter(read_turns(formatted)["text"], lambda t, i: F.get(loss, i)), "")

@@ -10,7 +10,9 @@ shuffled order, of some thousand rows each, and the order of finish times into r
 and of ranges are added up first, and rows within them afterwards.
 
 Defined results: a null text has size 0; null is a source of its own, last in order; a repeated row is a
-document of its own; a document of size 0 takes no words; an empty table gives an empty result.
+document of its own; a document of size 0 takes no words; documents of equal places in the shuffled order
+follow by doc_id, then size; a document longer than its source's target is taken at most as the budget
+allows, texts of any length being counted whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,25 +56,29 @@ def _shuffled() -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), bucket_rows: int = 2048) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of each row: in the mix it stands copies times."""
-    sized = durable(docs.select("doc_id", "source", word_count("text").alias("size"), _shuffled().alias("place")))
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), bucket_rows: int = 2048, row: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of each row: in the mix it stands copies times.
+
+    row: columns that tell rows apart, returned as well; ties of place and doc_id are then broken by them.
+    """
+    row = row or []
+    sized = durable(docs.select("doc_id", "source", word_count("text").alias("size"), _shuffled().alias("place"), *row))
     sources = durable(source_targets(sized, weights))
     budget = F.sum("source_size").over(W.partitionBy()).alias("budget")
     buckets_of = F.greatest(F.lit(1), F.ceil(F.col("docs") / bucket_rows))
     bucket = F.floor(F.col("place") / F.lit(float(1 << 60)) * F.col("buckets")).cast("long")
     named = sources.select("source", "source_size", "target", buckets_of.alias("buckets"), budget).withColumn("same", F.xxhash64("source"))
     rows = sized.withColumn("same", F.xxhash64("source")).alias("r").join(named.alias("s"), F.expr("r.same = s.same AND r.source <=> s.source"))
-    rows = rows.select("doc_id", "r.source", "size", "place", "source_size", "target", "buckets", "budget").withColumn("bucket", bucket)
+    rows = rows.select("doc_id", "r.source", "size", "place", *row, "source_size", "target", "buckets", "budget").withColumn("bucket", bucket)
     # within a source: sums of buckets, then rows within a bucket
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("given"))
     at = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("given").over(at), F.lit(0)).alias("start"))
     key = F.xxhash64("source", "bucket")
-    inner = W.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = W.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", *row).rowsBetween(W.unboundedPreceding, W.currentRow)
     within = rows.withColumn("within", F.sum("size").over(inner)).withColumn("key", key)
     placed = within.alias("r").join(starts.withColumn("key", key).alias("s"), F.expr("r.key = s.key AND r.source <=> s.source AND r.bucket = s.bucket"))
-    placed = durable(placed.select("doc_id", "r.source", "size", "place", "source_size", "target", "budget", (F.col("start") + F.col("within")).alias("given")))
+    placed = durable(placed.select("doc_id", "r.source", "size", "place", *row, "source_size", "target", "budget", (F.col("start") + F.col("within")).alias("given")))
     passes = placed.filter("size > 0").withColumn("pass", F.explode(F.array(*[F.lit(k) for k in range(PASSES)])))
     finish = (F.col("pass") * F.col("source_size") + F.col("given")) / F.col("target")
     queued = passes.withColumn("finish", finish).withColumn("range", F.least(F.lit(RANGES - 1), F.floor(F.col("finish") * (RANGES // 2)).cast("long")))
@@ -80,11 +86,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), bucket_rows: int
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = queued.groupBy("range").agg(F.sum("size").alias("sum")).withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0)))
     dealt = queued.join(F.broadcast(ranges.select("range", "start")), "range")
-    line = W.partitionBy("range").orderBy("finish", F.col("source").asc_nulls_last(), "place", "doc_id", "size", "pass").rowsBetween(W.unboundedPreceding, W.currentRow)
+    line = W.partitionBy("range").orderBy("finish", F.col("source").asc_nulls_last(), "place", "doc_id", "size", *row, "pass").rowsBetween(W.unboundedPreceding, W.currentRow)
     # a range that ends within the budget is taken whole, one that starts beyond it not at all
     reached = dealt.filter("start < budget").withColumn("reached", F.col("start") + F.sum("size").over(line))
-    taken = reached.filter("reached <= budget").groupBy("doc_id", "source", "place", "given", "size").agg(F.count("*").alias("copies"))
-    same = F.expr("r.key = t.key AND r.doc_id <=> t.doc_id AND r.source <=> t.source AND r.given = t.given AND r.size = t.size")
-    key = F.xxhash64("doc_id", "source", "given", "size")
+    taken = reached.filter("reached <= budget").groupBy("doc_id", "source", "place", "given", "size", *row).agg(F.count("*").alias("copies"))
+    same = F.expr(" AND ".join(["r.key = t.key AND r.doc_id <=> t.doc_id AND r.source <=> t.source AND r.given = t.given AND r.size = t.size", *[f"r.{c} = t.{c}" for c in row]]))
+    key = F.xxhash64("doc_id", "source", "given", "size", *row)
     out = placed.withColumn("key", key).alias("r").join(taken.withColumn("key", key).alias("t"), same, "left")
-    return out.select("r.doc_id", "r.source", "r.size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"), (F.coalesce("copies", F.lit(0)) * F.col("r.size")).alias("taken"))
+    return out.select("r.doc_id", "r.source", "r.size", *[f"r.{c}" for c in row], "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"), (F.coalesce("copies", F.lit(0)) * F.col("r.size")).alias("taken"))

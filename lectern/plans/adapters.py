@@ -102,7 +102,7 @@ VIEWS = {
     "frames": (
         [],
         f"""SELECT *, length(text) AS chars FROM (SELECT CAST(doc_id AS VARCHAR) AS video_id, CAST(i AS INT) AS index, printf('f_%05d.jpg', i) AS file, (CAST(i AS DOUBLE) + 0.5::DOUBLE) * 10 AS t,
-    translate(substr(line, 1, 300), '{LATIN}', '{HAN}') || CASE WHEN i % 2 = 0 THEN printf(' %d / 120 ', i + 1) ELSE '' END AS text
+    translate(line, '{LATIN}', '{HAN}') || CASE WHEN i % 2 = 0 THEN printf(' %d / 120 ', i + 1) ELSE '' END AS text
   FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i
     FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) WHERE line <> ''))""",
     ),
@@ -113,7 +113,9 @@ VIEWS = {
     ),
     "segs": (
         ["frames"],
-        "SELECT *, length(text) AS chars FROM (SELECT video_id, index AS seg, t, CASE WHEN index % 3 = 0 THEN substr(text, 1, 30) ELSE substr(text, 1, 60) END AS text FROM frames)",
+        """SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY index, run) - 1 AS INT) AS seg, t + run * 10.0::DOUBLE / n AS t, text, length(text) AS chars
+  FROM (SELECT video_id, index, t, n, unnest(range(n)) AS run, unnest(list_transform(range(n), lambda i: array_to_string(words[i * size + 1 : i * size + size], ' '))) AS text
+    FROM (SELECT *, (len(words) - 1) // size + 1 AS n FROM (SELECT video_id, index, t, string_split(text, ' ') AS words, CASE WHEN index % 3 = 0 THEN 4 ELSE 8 END AS size FROM frames))) WHERE text <> ''""",
     ),
     "parts": (
         [],

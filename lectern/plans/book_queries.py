@@ -23,7 +23,7 @@ from lectern.plans.text_queries import part_title_sql, tidy_sql, ui_sql
 from lectern.sources.stages import keep
 
 # slides: frames three seconds long, so that they overlap the segments of the video with the same number
-SLIDES = f"""slides AS MATERIALIZED (SELECT video_id, index * 3.0::DOUBLE AS t0, index * 3.0::DOUBLE + 3 AS t1, file, substr(text, 1, 200) AS text, {tidy_sql("substr(text, 1, 200)")} AS title, 0.0::DOUBLE AS dup_to_prev FROM frames)"""
+SLIDES = f"""slides AS MATERIALIZED (SELECT video_id, index * 3.0::DOUBLE AS t0, index * 3.0::DOUBLE + 3 AS t1, file, text, {tidy_sql("text")} AS title, 0.0::DOUBLE AS dup_to_prev FROM frames)"""
 SPOKEN = """spoken AS MATERIALIZED (SELECT * FROM (SELECT s.*, coalesce((SELECT string_agg(trim(g.text), '' ORDER BY g.seq) FROM segments g WHERE g.video_id = s.video_id AND g."end" > s.t0 AND g.start < s.t1), '') AS speech FROM slides s) WHERE length(speech) >= 20)"""
 
 
@@ -279,7 +279,7 @@ def w11_chapters(spark: SparkSession, d: str) -> DataFrame:
     return SE.merge_paragraphs(SE.select_parts(A.parts(spark, d)), series_paragraphs(spark, d))[1]
 
 
-@query("w11_merge_figures", with_views(["frames", "parts"], f", {SERIES} SELECT series_id, part, file, CAST(base + index AS INT) AS para_index, part AS chapter, printf('part-%03d', part) || '/frames/' || file AS rel FROM sb JOIN frames f ON f.video_id = CAST(sb.doc_id AS VARCHAR) WHERE index % 4 = 1"))
+@query("w11_merge_figures", with_views(["frames", "parts"], f", {SERIES} SELECT series_id, part, file, CAST(base + index AS INT) AS para_index, part AS chapter, printf('part-%03d', part) || '/frames/' || file AS rel FROM sb JOIN frames f ON f.video_id = CAST(sb.doc_id AS VARCHAR)"))
 def w11_figures(spark: SparkSession, d: str) -> DataFrame:
     parts = SE.select_parts(A.parts(spark, d))
     paras = series_paragraphs(spark, d)
@@ -292,7 +292,7 @@ def w11_figures(spark: SparkSession, d: str) -> DataFrame:
     "a7_series_summary",
     with_views(
         ["parts"],
-        r""", s AS (SELECT series_id, min_by(title, index) AS first, count(*) AS selected, sum(duration) / 60 AS minutes FROM parts WHERE index <= 7 GROUP BY series_id), a AS (SELECT series_id, count(*) AS total_parts FROM parts GROUP BY series_id)
+        r""", s AS (SELECT series_id, min_by(title, index) AS first, count(*) AS selected, sum(duration) / 60 AS minutes FROM parts GROUP BY series_id), a AS (SELECT series_id, count(*) AS total_parts FROM parts GROUP BY series_id)
     SELECT series_id, coalesce(nullif(regexp_replace(first, '^[^\p{L}\p{N}_]+', ''), ''), '合集') AS title, printf('%d 集合集 · 共 %d 个分 P · 约 %d 分钟', selected, total_parts, CAST(round_even(minutes, 0) AS BIGINT)) AS subtitle, selected, total_parts, round(minutes, 6) AS minutes FROM s JOIN a USING (series_id)""",
     ),
 )

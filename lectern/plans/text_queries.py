@@ -112,9 +112,9 @@ def f9(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("video_id", "index", T.jaccard("a", "b").alias("jaccard"), T.jaccard_strict("a", "b").alias("strict"))
 
 
-@query("f12_tidy_title", with_views(["frames"], f"SELECT video_id, index, {tidy_sql('text')} AS title, {tidy_sql("'&l500 12 Geno ' || substr(text, 1, 30)")} AS short FROM frames"))
+@query("f12_tidy_title", with_views(["frames"], f"SELECT video_id, index, {tidy_sql('text')} AS title, {tidy_sql("'&l500 12 Geno ' || text")} AS led FROM frames"))
 def f12(spark: SparkSession, d: str) -> DataFrame:
-    return A.frames(spark, d).select("video_id", "index", T.tidy_title("text").alias("title"), T.tidy_title(F.concat(F.lit("&l500 12 Geno "), F.substring("text", 1, 30))).alias("short"))
+    return A.frames(spark, d).select("video_id", "index", T.tidy_title("text").alias("title"), T.tidy_title(F.concat(F.lit("&l500 12 Geno "), "text")).alias("led"))
 
 
 @query("f13_f14_marks", with_views(["frames"], f"SELECT video_id, index, regexp_matches(text, '{MARK}') AS title_mark, {ui_sql('text')} AS ui FROM frames"))
@@ -211,7 +211,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     "f23_subtitle_band",
     with_views(
         ["frames"],
-        """, b AS (SELECT video_id, index AS frame, unnest(range(len(l))) AS box_no, unnest(l) AS text FROM (SELECT video_id, index, string_split(text, ' ')[1:6] AS l FROM frames)),
+        """, b AS (SELECT video_id, index AS frame, unnest(range(len(l))) AS box_no, unnest(l) AS text FROM (SELECT video_id, index, string_split(text, ' ') AS l FROM frames)),
     y AS (SELECT *, CAST((box_no * 137 + frame * 31) % 500 AS DOUBLE) + 10.5::DOUBLE > 0.78::DOUBLE * 540 AS low FROM b)
     SELECT f.video_id, f.index, f.file, round((f.index + 0.5::DOUBLE) * 10.0::DOUBLE, 1) AS t, coalesce(string_agg(trim(y.text), ' ' ORDER BY box_no) FILTER (NOT low AND trim(y.text) <> ''), '') AS text,
       CAST(coalesce(sum(length(trim(y.text))) FILTER (NOT low), 0) AS INT) AS chars, CAST(count(*) FILTER (low) AS INT) AS dropped
@@ -266,7 +266,7 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "s5_term_map",
     """SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY -length(term), i) - 1 AS INT) AS ord, term, replacement FROM (
-    SELECT item_id, unnest(range(len(w))) AS i, unnest(w) AS term, 'to ' || unnest(w) AS replacement FROM (SELECT item_id, string_split(text, ' ')[1:6] AS w FROM benchmark))""",
+    SELECT item_id, unnest(range(len(w))) AS i, unnest(w) AS term, 'to ' || unnest(w) AS replacement FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark))""",
 )
 def s5(spark: SparkSession, d: str) -> DataFrame:
     words = F.split("text", " ", -1)
@@ -302,16 +302,16 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     with_views(
         ["parts"],
         """SELECT series_id, pos, index, title, duration, CASE WHEN series_id < 'src5' THEN doc_id END AS cid,
-    CASE WHEN series_id < 'src5' THEN 'http://v/' || series_id || '?p=' || index WHEN pos % 2 = 0 THEN 'u' || pos ELSE 'http://v/' || series_id || '?x=1' END AS url FROM parts WHERE pos < 50""",
+    CASE WHEN series_id < 'src5' THEN 'http://v/' || series_id || '?p=' || index WHEN pos % 2 = 0 THEN 'u' || pos ELSE 'http://v/' || series_id || '?x=1' END AS url FROM parts""",
     ),
 )
 def s4(spark: SparkSession, d: str) -> DataFrame:
     # a raw page holds so many parts, so that no JSON value grows with its series
     size = 100
-    few = A.parts(spark, d).withColumn("sheet", F.floor(F.col("pos") / size))
+    paged = A.parts(spark, d).withColumn("sheet", F.floor(F.col("pos") / size))
     page = F.struct("pos", F.col("index").alias("page"), F.col("title").alias("part"), "duration", F.col("doc_id").alias("cid"))
     entry = F.struct("pos", F.col("index").alias("playlist_index"), "title", "duration", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("u"), F.col("pos").cast("string"))).otherwise("").alias("url"))
-    rows = few.groupBy("series_id", "sheet").agg(F.array_sort(F.collect_list(page)).alias("pages"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    rows = paged.groupBy("series_id", "sheet").agg(F.array_sort(F.collect_list(page)).alias("pages"), F.array_sort(F.collect_list(entry)).alias("entries"))
     api = F.to_json(F.struct(F.struct(F.col("pages").alias("pages")).alias("data")))
     raw = rows.select("series_id", F.concat(F.lit("http://v/"), "series_id", F.lit("?x=1")).alias("url"), F.when(F.col("series_id") < "src5", api).otherwise(F.to_json(F.struct("entries"))).alias("json"))
     return SE.list_parts(raw).withColumn("pos", F.col("index") - 1)

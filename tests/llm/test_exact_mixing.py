@@ -1,5 +1,6 @@
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,10 +30,27 @@ def test_chunks_keep_the_text(spark):
     assert "".join(got["c"]) == got["text"] and max(map(len, got["c"])) <= 8194 and len(got["c"]) > 4
 
 
+@pytest.mark.parametrize("script", ["abcdefghijklmnopqrstuvwxyz ", (0x4E00, 0x9FFF), (0x621, 0x64A), (0xAC00, 0xD7A3), (0x400, 0x4FF), (0x3041, 0x3096), (0x905, 0x939), (0x20000, 0x2A6DF)])
+def test_chunks_of_all_scripts_follow_their_content(spark, script):
+    letters = script if isinstance(script, str) else list(map(chr, range(*script)))
+    text = "".join(random.Random(3).choices(letters, k=60000))
+    made = spark.createDataFrame([(text,), (letters[0] + text,)], "text string")
+    one, two = (Counter(r["c"]) for r in made.select(F.regexp_extract_all("text", F.lit(exact.CHUNK), F.lit(0)).alias("c")).collect())
+    assert (one & two).total() > 0.8 * one.total() and one.total() > 20
+
+
+def test_exact_rows_told_apart(spark):
+    rows = [(None, "a", 0), (None, "a", 1), (-(2**63), "b c", 2), (7, "b  c", 3), (7, "b  c", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    kept = {r["row"]: r["kept"] for r in exact.exact_groups(df, ["row"]).collect()}
+    assert kept == {0: True, 1: False, 2: False, 3: True, 4: False}
+    assert [r["kept"] for r in exact.exact_groups(df).collect()].count(True) == 4
+
+
 def test_clashing_identifiers_are_found_and_replaced(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "abc" * (i % 3 + 1)) for i in range(9)], "doc_id long, text string")
     real = exact.recipes
-    monkeypatch.setattr(exact, "recipes", lambda d: real(d).withColumn("recipe", F.transform("recipe", lambda c: F.struct(F.lit(7).cast("long").alias("id"), c["digest"].alias("digest")))))
+    monkeypatch.setattr(exact, "recipes", lambda d, row=None: real(d, row).withColumn("recipe", F.transform("recipe", lambda c: F.struct(F.lit(7).cast("long").alias("id"), c["digest"].alias("digest")))))
     assert {r["doc_id"]: r["keep_id"] for r in exact.exact_groups(docs).collect()} == {i: i % 3 for i in range(9)}
 
 
@@ -73,5 +91,7 @@ def test_mix(docs, request):
         assert target[s] == pytest.approx(want[s])
         assert abs(taken[s] - target[s]) <= longest
     assert sum(taken.values()) <= sum(sizes.values())
+    numbered = mixing.mix(df.withColumn("row", F.monotonically_increasing_id()), bucket_rows=16, row=["row"])
+    assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in numbered.collect()) == sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rows)
     again = sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in mixing.mix(df.repartition(3), bucket_rows=16).collect())
     assert again == sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rows)

@@ -57,11 +57,12 @@ def test_chat_reads_back(spark):
     rows = [
         (1, 0, "user", NASTY, ""), (1, 1, "assistant", NASTY, ""), (1, 2, "assistant", None, ""), (1, 2, "assistant", "again", ""), (1, None, "user", "last", ""),
         (2, 0, "we\nird\\n<|r", "t", ""), (None, 5, None, "no conversation", ""), (3, 0, "assistant", "long " * 50000, ""), (4, 0, "user", "", ""),
+        (5, 0, "a\0\0b", "t", ""), (5, 1, "a\\", "t", ""), (5, 2, "\\n\n\\\n<\\|<|", "t", ""), (5, 3, "assistant", "x", ""),
     ]
     df = spark.createDataFrame(rows, ROWS)
-    got = chat.format_chats(df).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("loss")).collect()
+    got = chat.format_chats(df).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss")).collect()
     by = {r["conv_id"]: r for r in got}
-    for conv in (1, 2, None, 3, 4):
+    for conv in (1, 2, None, 3, 4, 5):
         mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1], r[2] or "", r[3] or ""))
         assert [tuple(t) for t in by[conv]["turns"]] == [(r[2] or "", r[3] or "") for r in mine]
         assert by[conv]["loss"] == "".join(r[3] or "" for r in mine if r[2] == "assistant")
