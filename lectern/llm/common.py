@@ -19,6 +19,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a column of numbers that tell its rows apart, and its name; written, so that a row's number stays."""
+    row = free_name(df, "row")
+    return durable(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; an id of null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
