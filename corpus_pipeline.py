@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality, exact and near duplicates, mixing, packing, each stage on what the last one kept."""
+"""The corpus pipeline: quality, exact and near duplicates, mixing, packing, each stage on what the last one kept.
+
+Defined results, of all stages: a null text counts as the empty one; rows are told apart by their place, not by
+doc_id, so that null and repeated ids are documents of their own; further columns, whatever their names, are kept by
+all but the last stage; an empty table gives an empty result. Of rows repeated whole, exact dedup keeps one.
+"""
 
 from __future__ import annotations
 
@@ -6,50 +11,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import exact, minhash, mixing, packing, quality, simhash
-from lectern.llm.common import durable, read
+from lectern.llm.common import durable, free_name, numbered, read
 
 THRESHOLD = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects. It is fitted on its input's labelled rows."""
+    """Drops the documents that the quality classifier rejects. It is fitted on its input's labelled rows.
+
+    Without labelled rows of both classes nothing is rejected; empty texts are scored like any other.
+    """
     model = quality.learn_quality(docs, read(spark, sf_dir, "labels"))
-    return docs.withColumn("score_", model.score("text")).filter(F.col("score_") >= THRESHOLD).drop("score_")
+    return docs.filter(model.score("text") >= THRESHOLD)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts; a row repeated whole stays once."""
-    kept = exact.exact_groups(docs).filter("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id_"), F.col("text_sha256").alias("sha_")).distinct()
-    named = docs.withColumn("id_", F.coalesce("doc_id", F.lit(-(2**63))))
-    named = named.withColumn("sha_", F.sha2(exact.squeezed("text"), 256))
-    return named.join(kept, ["id_", "sha_"], "left_semi").dropDuplicates(["id_", "sha_"]).drop("id_", "sha_")
+    """Keeps one document of each group of equal texts: the most code points, then smallest doc_id, then first row.
+
+    Only what is dropped is joined with the documents, so that their texts stay where they are as long as
+    that is small enough for Spark to broadcast it.
+    """
+    rows, row = numbered(docs)
+    dropped = exact.exact_groups(rows, [row]).filter("NOT kept").select(row)
+    return rows.join(durable(dropped), row, "left_anti").drop(row)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates.
+    """Keeps the document with the smallest doc_id (null last, then the first row) of each group of near-duplicates.
 
     Near are fingerprints as in op3_simhash, and whole sets of five-word shingles with a similarity of 0.8 or
-    more, which mostly differ in more bits than fingerprints may.
+    more, which mostly differ in more bits than fingerprints may. Texts without words are one group.
     """
-    id_ = F.coalesce("doc_id", F.lit(-(2**63))).alias("id_")
-    roots = durable(simhash.near_duplicates(docs).select(id_, F.coalesce("component_id", F.lit(-(2**63))).alias("root_")).distinct())
-    near = minhash.similar_roots(docs.select(id_, "text").join(roots, "id_"))
+    rows, row = numbered(docs)
+    texts = rows.select(F.col(row).alias("doc_id"), "text")
+    roots = durable(simhash.near_duplicates(texts).select(F.col("doc_id").alias("id_"), F.col("component_id").alias("root_")))
+    near = minhash.similar_roots(texts.withColumnRenamed("doc_id", "id_").join(roots, "id_"))
     tops = roots.join(near.withColumnsRenamed({"node": "root_", "root": "top_"}), "root_", "left")
-    found = tops.filter(F.col("id_") == F.coalesce("top_", "root_")).select("id_").distinct()
-    named = docs.withColumn("id_", F.coalesce("doc_id", F.lit(-(2**63))))
-    return named.join(found, "id_", "left_semi").drop("id_")
+    tops = tops.select("id_", F.coalesce("top_", "root_").alias("top"))
+    # what stands alone stays: only rows of larger groups are looked up
+    groups = tops.groupBy("top").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = durable(tops.join(groups, "top"))
+    ids = rows.select(F.col(row).alias("id_"), "doc_id")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "id_")
+    first = members.join(ids, "id_").groupBy("top").agg(F.min(order).alias("first")).select(F.col("first.id_").alias("id_"))
+    dropped = durable(members.join(first, "id_", "left_anti").select(F.col("id_").alias(row)))
+    return rows.join(dropped, row, "left_anti").drop(row)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that the sources' words come near their targets; those without words stay."""
-    copies = mixing.mix(docs).filter("copies > 0 OR size = 0").groupBy("doc_id").agg(F.max(F.greatest("copies", F.lit(1))).cast("int").alias("copies_"))
-    copies = copies.withColumn("id_", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id")
-    named = docs.withColumn("id_", F.coalesce("doc_id", F.lit(-(2**63)))).join(copies, "id_")
-    return named.withColumn("copy_", F.explode(F.array_repeat(F.lit(0), F.col("copies_")))).drop("id_", "copies_", "copy_")
+    """Repeats or drops documents so that the sources' words come near their targets; those without words stay once."""
+    rows, row = numbered(docs)
+    copies = mixing.mix(rows, row=[row]).select(row, F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("n"))
+    n = free_name(rows, "copies")
+    changed = durable(copies.filter("n <> 1").withColumnRenamed("n", n))
+    times = F.array_repeat(F.lit(0), F.coalesce(n, F.lit(1)))
+    return rows.join(changed, row, "left").withColumn(n, F.explode(times)).drop(row, n)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
+    """The pieces of all documents with their sequences and offsets; an empty text is one piece, repeated rows are each packed."""
     return packing.pack_documents(docs)
 
 
