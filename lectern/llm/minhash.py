@@ -3,7 +3,10 @@
 BANDS keys of ROWS minima each find the candidates: a pair at 0.8 shares a key with probability 0.998, a
 more similar one with more. Pairs that meet are verified on the whole sets, so nothing below 0.8 is linked.
 Documents that are in one component already are not compared. At each key, all are first compared with the
-smallest one there; only where components still differ after that, every pair across them is.
+smallest one there. Documents that stand at keys where components still differ after that go through an exact
+prefix filter: with shingles in ascending order of how many of these documents hold them, two sets that are
+similar enough share one of their first few, which are their rarest. Only those that do are verified, so a
+large group of documents that are alike, but not enough, makes no pairs of all its members.
 
 Defined results: shingles are the XXH64 of words joined by a space, case ignored for ASCII; a text of fewer
 words than a shingle is one shingle; null and empty texts have none and are not linked.
@@ -77,9 +80,9 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("id_", F.pandas_udf(each, "array<long>")(F.coalesce("text", F.lit(""))).alias("set"))
 
 
-def _mixed(keyed: DataFrame) -> DataFrame:
+def _mixed(keyed: DataFrame, key: str = "key") -> DataFrame:
     """The rows of keys at which components differ."""
-    at = W.partitionBy("key")
+    at = W.partitionBy(key)
     return keyed.withColumns({"low_": F.min("root_").over(at), "high_": F.max("root_").over(at)}).filter("low_ <> high_").drop("low_", "high_")
 
 
@@ -90,6 +93,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.filter(shared >= F.lit(least) * (F.size("s") + F.size("t") - shared)).select("a", "b").distinct()
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """x, y, a, b of all pairs of nodes (id_, root_, n) of different roots that may be similar enough.
+
+    Sets of sizes n <= m share at least c = 2 least / (1 + least) n shingles, and least m, if they are. Whatever
+    the order, one of the shared ones is among the first n - c + 1 of the smaller and m - least m + 1 of the larger.
+    """
+    held = sets.join(nodes, "id_").select("id_", "root_", "n", F.explode("set").alias("shingle"))
+    seen = held.groupBy("shingle").agg(F.count("*").alias("held_by"))
+    place = F.row_number().over(W.partitionBy("id_").orderBy("held_by", "shingle"))
+    first = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
+    placed = held.join(seen, "shingle").withColumn("place", place).filter(F.col("place") <= first(least)).filter("held_by > 1")
+    kept = durable(_mixed(placed.withColumn("early", F.col("place") <= first(2 * least / (1 + least))).drop("place", "held_by"), "shingle"))
+    x = kept.filter("early").select("shingle", F.col("id_").alias("x"), F.col("root_").alias("a"), F.col("n").alias("n_x"))
+    y = kept.select("shingle", F.col("id_").alias("y"), F.col("root_").alias("b"), F.col("n").alias("n_y"))
+    met = x.join(y, "shingle").filter("a <> b AND (n_x < n_y OR n_x = n_y AND x < y)").filter(F.col("n_x") >= F.lit(least) * F.col("n_y"))
+    return met.select("x", "y", "a", "b").distinct()
+
+
 def similar_roots(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """node, root of the components of docs (id_, unique; root_; text) that similarity joins with others."""
     first = durable(_mixed(_keyed(docs)))
@@ -101,7 +122,6 @@ def similar_roots(docs: DataFrame, least: float = 0.8) -> DataFrame:
     joined = durable(_verified(stars, sets, least))
     moved = durable(connected_components(joined))
     now = first.join(moved.withColumnsRenamed({"node": "root_", "root": "top_"}), "root_", "left").withColumn("root_", F.coalesce("top_", "root_")).drop("top_")
-    rest = durable(_mixed(now))
-    x, y = rest.withColumnsRenamed({"id_": "x", "root_": "a", "n": "n_x"}), rest.withColumnsRenamed({"id_": "y", "root_": "b", "n": "n_y"})
-    across = x.join(y, "key").filter("a < b").filter(sized(F.col("n_x"), F.col("n_y"))).select("x", "y", "a", "b").distinct()
+    rest = durable(_mixed(now).select("id_", "root_", "n").distinct())
+    across = _prefix_pairs(rest, sets, least)
     return connected_components(joined.unionByName(moved.select(F.col("node").alias("a"), F.col("root").alias("b"))).unionByName(_verified(across, sets, least)))

@@ -64,3 +64,27 @@ def test_keys(text):
     hashes = minhash.shingles(text)
     assert len(hashes) == len(shingle_set(text))
     assert len(minhash.band_keys(hashes, minhash._permutations())) == (minhash.BANDS if text else 0)
+
+
+def test_prefixes_lose_no_similar_pair_and_make_few_others(spark):
+    rows = planted()
+    sets = {i: shingle_set(t) for i, t, *_ in rows}
+    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    nodes = spark.createDataFrame([(i, i, len(s)) for i, s in sets.items()], "id_ long, root_ long, n int")
+    made = minhash._sets(spark.createDataFrame([(i, t) for i, t, *_ in rows], "id_ long, text string"))
+    got = {tuple(sorted((r["x"], r["y"]))) for r in minhash._prefix_pairs(nodes, made, 0.8).collect()}
+    assert want <= got
+
+
+def test_a_large_group_below_0_8_makes_few_pairs(spark):
+    random.seed(6)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    base, rows = [word() for _ in range(200)], []
+    for i in range(300):
+        copy = list(base)
+        for j in random.sample(range(0, 200, 10), 9):
+            copy[j] = word()
+        rows.append((i, " ".join(copy)))
+    made = minhash._sets(spark.createDataFrame(rows, "id_ long, text string"))
+    nodes = spark.createDataFrame([(i, i, len(shingle_set(t))) for i, t in rows], "id_ long, root_ long, n int")
+    assert minhash._prefix_pairs(nodes, made, 0.8).count() < 300
