@@ -12,7 +12,10 @@ candidates' documents, one finds the places of the terms. The last two look word
 size before the exact join, so that most words go no further.
 
 Defined results: null counts as the empty text; a match that fails its check is dropped without a retry;
-repeated rows are returned each and counted each, but are one text; an empty table gives an empty result.
+repeated rows are returned each, and all four numbers count rows, but repeats are one text for min_texts; terms
+beside an entity are whole words, up to the next match of its kind, without those in email addresses; a null doc_id
+is an id like any other; texts are read whole, in the memory of one task; further columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import durable
+from lectern.llm.common import durable, free_name
 
 #: Fixed patterns of the kinds, in the order of results.
 KINDS = {
@@ -85,6 +88,22 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _gaps(kind: str, parts: Column, context: int) -> Column:
+    """Length of each part of a text between two matches of a kind, its first and its last context terms."""
+
+    def ends(terms: Column) -> Column:
+        first = F.greatest(F.lit(1), F.size(terms) - context + 1)
+        return F.struct(F.slice(terms, 1, context).alias("head"), F.slice(terms, first, context).alias("tail"))
+
+    def gap(part: Column) -> Column:
+        # of all kinds, only addresses hold letters; in an array of one, so that terms are looked for once
+        plain = part if kind == "email" else F.regexp_replace(part, LINEAR["email"], " ")
+        held = F.get(F.transform(F.array(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))), ends), F.lit(0))
+        return F.struct(F.length(part).alias("n"), held.alias("terms"))
+
+    return F.transform(parts, gap)
+
+
 def base_spans(docs: DataFrame, context: int = 6) -> DataFrame:
     """doc_id, key and, for each kind, an array of start, end, value; near: value and the terms beside it."""
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
@@ -92,29 +111,27 @@ def base_spans(docs: DataFrame, context: int = 6) -> DataFrame:
     for kind, pattern in LINEAR.items():
         parts = F.split("text", pattern, -1)
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        gaps = F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(160)).alias("tail"), F.left(p, F.lit(160)).alias("head")))
+        gaps = _gaps(kind, parts, context)
         raw.append(F.when(F.col("text").rlike(NEEDS[kind]), F.struct(gaps.alias("gaps"), found.alias("found"))).alias(kind))
-    return durable(_spans(durable(named.select("doc_id", "key", F.xxhash64("text").alias("text_key"), *raw)), context))
+    return durable(_spans(durable(named.select("doc_id", "key", F.xxhash64("text").alias("text_key"), *raw))))
 
 
 def _checked(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda s: _valid(kind, s["value"]))
 
 
-def _near(kind: str, context: int) -> Column:
-    """Each valid match of a kind with up to context terms on either side."""
+def _near(kind: str) -> Column:
+    """Each valid match of a kind with the terms on either side."""
 
     def beside(value: Column, i: Column) -> Column:
-        before = F.regexp_extract_all(F.get(f"{kind}.gaps", i)["tail"], F.lit(TERM), F.lit(0))
-        after = F.regexp_extract_all(F.get(f"{kind}.gaps", i + 1)["head"], F.lit(TERM), F.lit(0))
-        first = F.greatest(F.lit(1), F.size(before) - context + 1)
-        terms = F.array_distinct(F.transform(F.concat(F.slice(before, first, context), F.slice(after, 1, context)), F.lower))
+        before, after = F.get(f"{kind}.gaps", i)["terms"]["tail"], F.get(f"{kind}.gaps", i + 1)["terms"]["head"]
+        terms = F.array_distinct(F.transform(F.concat(before, after), F.lower))
         return F.struct(F.concat(F.lit(f"{kind}:"), F.lower(value)).alias("value"), F.when(_valid(kind, value), terms).alias("terms"))
 
     return F.filter(F.transform(f"{kind}.found", beside), lambda n: n["terms"].isNotNull())
 
 
-def _spans(raw: DataFrame, context: int) -> DataFrame:
+def _spans(raw: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     nothing = F.array().cast("array<struct<value:string,terms:array<string>>>")
     out, nears = raw, []
@@ -123,7 +140,7 @@ def _spans(raw: DataFrame, context: int) -> DataFrame:
         starts = F.coalesce(_starts("gaps_", "sizes_"), F.array().cast("array<int>"))
         spans = F.zip_with(starts, F.coalesce(f"{kind}.found", F.array().cast("array<string>")), lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))
 
-        nears.append(F.coalesce(_near(kind, context), nothing))
+        nears.append(F.coalesce(_near(kind), nothing))
         out = out.withColumn(f"{kind}_spans", F.coalesce(_checked(kind, spans), empty)).drop("gaps_", "sizes_")
     out = out.withColumn("near", F.concat(*nears)).drop(*KINDS)
     return out.select("doc_id", "key", "text_key", *[F.col(f"{k}_spans").alias(k) for k in KINDS], "near")
@@ -131,8 +148,9 @@ def _spans(raw: DataFrame, context: int) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, min_texts: int = 3, generalise_from: float = 0.75, remove_from: float = 0.9) -> DataFrame:
     """term, disclosure, action of each term that tells too much of some entity."""
-    beside = base.select("key", "text_key", F.explode("near").alias("n")).select("key", "text_key", F.col("n.value").alias("entity"), F.explode("n.terms").alias("term"))
-    pairs = beside.groupBy("entity", "term").agg(F.count_distinct("key").alias("n_pair"), F.count_distinct("text_key").alias("texts"))
+    told = F.flatten(F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["value"].alias("entity"), t.alias("term")))))
+    beside = base.select("text_key", F.explode(F.array_distinct(told)).alias("p")).select("text_key", "p.*")
+    pairs = beside.groupBy("entity", "term").agg(F.count("*").alias("n_pair"), F.count_distinct("text_key").alias("texts"))
     pairs = durable(pairs.filter(F.col("texts") >= min_texts).drop("texts"))
     schema = "term string, disclosure double, action string"
     if pairs.isEmpty():
@@ -204,14 +222,17 @@ def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
         *[_marks(k, lambda s, mark=f"[{k}]": F.lit(mark)) for k in KINDS],
         _marks("terms", lambda s: F.when(s["action"] == "remove", "").otherwise("[term]")),
     )
-    held = found.filter(F.size(marks) > 0).select(F.col("doc_id").alias("id_"), "key", F.array_sort(marks).alias("marks")).dropDuplicates(["id_", "key"])
-    named = docs.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    joined = named.join(held, (named["key"] == held["key"]) & named["doc_id"].eqNullSafe(held["id_"]), "left").drop(held["key"])
+    held = found.filter(F.size(marks) > 0).select("doc_id", "key", F.array_sort(marks).alias("marks")).dropDuplicates(["doc_id", "key"])
+    # docs may have columns of any name: what is joined gets free ones
+    id_, key, found_ = (free_name(docs, n) for n in ("marked_id", "marked_key", "marks"))
+    held = held.withColumnsRenamed({"doc_id": id_, "key": key, "marks": found_})
+    same = (F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == F.col(key)) & docs["doc_id"].eqNullSafe(F.col(id_))
+    joined = docs.join(held, same, "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, m: Column) -> Column:
         rest = F.substr(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), m["start"] - a["at"]))
         return F.struct(F.greatest(a["at"], m["end"]).alias("at"), F.when(m["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(rest, m["mark"]))).alias("out"))
 
-    clean = F.aggregate("marks", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("text"), a["at"] + 1)))
-    return joined.withColumn("text", F.when(F.col("marks").isNull(), F.col("text")).otherwise(clean)).drop("marks", "id_", "key")
+    clean = F.aggregate(found_, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("text"), a["at"] + 1)))
+    return joined.withColumn("text", F.when(F.col(found_).isNull(), F.col("text")).otherwise(clean)).drop(id_, key, found_)

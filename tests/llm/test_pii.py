@@ -106,3 +106,26 @@ def test_starts_over_many_runs(spark):
     text = "abc  " * 1000
     row = spark.createDataFrame([(text,)], "text string").select(F.transform(F.split("text", pii.TERM, -1), F.length).alias("gaps"), F.transform(F.regexp_extract_all("text", F.lit(pii.TERM), F.lit(0)), F.length).alias("sizes"))
     assert row.withColumn("s", pii._starts("gaps", "sizes")).first()["s"] == [5 * i for i in range(1000)]
+
+
+def test_repeats_change_no_term(spark):
+    docs = planted()
+    for times in (1, 3):
+        df = spark.createDataFrame(docs * times, "doc_id long, text string")
+        found = {r["term"]: round(r["disclosure"], 9) for r in pii.disclosing_terms(df, pii.base_spans(df)).collect()}
+        assert found == {k: round(v, 9) for k, v in brute_terms(docs).items()}
+
+
+def test_terms_are_whole_words_and_no_parts_of_addresses(spark):
+    long = "q" * 200
+    docs = [(i, f"plain words only {i}") for i in range(50)] + [(50 + i, f"{long} server mail to zed@hidden.org 10.1.2.3 box {i}") for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    near = {n["value"]: n["terms"] for r in pii.base_spans(df).filter("doc_id = 50").collect() for n in r["near"]}
+    assert near == {"email:zed@hidden.org": [long, "server", "mail", "box"], "ip:10.1.2.3": [long, "server", "mail", "box"]}
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    rows = [(1, "write to a@b.cc", "k", "m"), (None, None, "k", "m"), (1, "write to a@b.cc", "k", "m"), (None, "x@y.zz", "k", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, marks string")
+    got = sorted(map(tuple, pii.sanitise(df, pii.find_personal_data(df)).collect()), key=str)
+    assert got == sorted([(1, "write to [email]", "k", "m"), (None, None, "k", "m"), (1, "write to [email]", "k", "m"), (None, "[email]", "k", "m")], key=str)
