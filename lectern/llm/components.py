@@ -14,7 +14,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     seen = both if large else both.filter("b < a")
     least = seen.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("low", "a"))
     kept = seen.filter("b > a") if large else seen
-    linked = kept.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    # on two keys, both sides are dealt anew, and Spark can split the rows of a node with many neighbours
+    same = F.col("a").bitwiseAND(0xFFFF)
+    linked = kept.withColumn("same", same).join(least.withColumn("same", same), ["same", "a"]).select(F.col("b").alias("a"), F.col("low").alias("b"))
     if not large:
         linked = linked.unionByName(least.select("a", F.col("low").alias("b")))
     return linked.filter("a <> b").distinct()
