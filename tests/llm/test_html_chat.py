@@ -24,6 +24,7 @@ def test_tree_fits_its_table():
         ("<article><p>Main.</p><div class='comments'><p>I like it very much indeed, thanks for that.</p></div><aside>Side</aside><form>Name <input></form></article>", "Main."),
         ('<div class="ad">Buy now and save.</div><article><script>var t="</p>";</script><style>p{}</style><p>Only &#233;&#x41;&nbsp;this.</p>', "Only éA this."),
         ("<article><p>cut off &am", "cut off &am"),
+        ("<html><head><meta charset=utf-8><title>T</title><style>p{}</style><body><article><p>Body", "Body"),
         ("<article><p>ends in a tag</p><p cla", "ends in a tag"),
         ("<!-- <p>no</p> --><main><p>a < b and c > d</p></main>", "a < b and c > d"),
         ("<div id=cookie-banner>We use cookies on this site, accept them all please.</div><div><p>" + "A long paragraph of plain text without any links in it, " * 4 + "</p></div><ul><li><a href=x>one</a><li><a href=y>two</a></ul>", ("A long paragraph of plain text without any links in it, " * 4).strip()),
