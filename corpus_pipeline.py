@@ -19,7 +19,8 @@ THRESHOLD = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects. It is fitted on its input's labelled rows.
 
-    Without labelled rows of both classes nothing is rejected; empty texts are scored like any other.
+    Without labelled rows of both classes each document scores the share of good ones (0.5 without any label);
+    empty texts are scored like any other.
     """
     model = quality.learn_quality(docs, read(spark, sf_dir, "labels"))
     return docs.filter(model.score("text") >= THRESHOLD)
