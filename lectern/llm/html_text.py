@@ -2,7 +2,9 @@
 
 A page is cut into flat blocks at its block-level tags. A block is described by its number of words and
 link density, those of its neighbours, and what stands around it; a decision tree, trained on the small
-labelled table EXAMPLES when the operator is set up, tells main text from the rest.
+labelled table EXAMPLES when the operator is set up, tells main text from the rest. In the table, lists of links
+are no main text even in an article, long text with few links is, even outside of it, and what stands around a
+block settles the rest: short blocks, and long ones of the page's frame such as comments.
 
 Defined results: null, empty and markup-only pages give an empty text; broken or cut markup is read as far
 as it goes; text of any length is kept whole; repeated rows are read each; an empty table gives an empty result.
@@ -36,22 +38,32 @@ NAMES = re.compile(r"""(?is)\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'(
 #: A paragraph's end tag may be left out before these.
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-#: The labelled table. Blocks whose label does not depend on what is next to them: words, link density, framed
-#: (1: inside the page's frame), place (2: inside the article, 1: the page marks no article, 0: outside of it),
-#: main text or not. Each stands beside each of NEIGHBOURS (words and link density before and after).
+#: The labelled table: words and link density of a block, of the one before and of the one after, framed (1: inside the
+#: page's frame), place (2: inside the article, 1: the page marks no article, 0: outside of it), main text or not.
+#: Blocks (words, link density) whose label holds beside each of BESIDE (the same of the neighbours), for the given
+#: values of framed and places.
+BESIDE = [(0, 0.0, 0, 0.0), (3, 1.0, 4, 1.0), (70, 0.0, 90, 0.0), (80, 0.1, 2, 1.0), (6, 0.0, 60, 0.0)]
+BETWEEN_LINKS = [(0, 0.0, 1, 1.0), (2, 1.0, 3, 1.0), (1, 1.0, 9, 0.0), (6, 0.9, 70, 0.0), (90, 0.0, 2, 1.0)]
 ALIKE = [
-    (1, 1.0, 1, 0, 0), (9, 0.0, 1, 0, 0), (60, 0.1, 1, 0, 0), (1, 1.0, 1, 1, 0), (12, 0.0, 1, 1, 0), (90, 0.0, 1, 1, 0),
-    (2, 1.0, 1, 2, 0), (14, 0.0, 1, 2, 0), (120, 0.0, 1, 2, 0), (3, 1.0, 0, 0, 0), (8, 0.0, 0, 0, 0), (150, 0.0, 0, 0, 0),
-    (1, 0.0, 0, 2, 1), (9, 0.4, 0, 2, 1), (12, 1.0, 0, 2, 1), (40, 0.0, 0, 2, 1), (300, 0.1, 0, 2, 1),
-    (1, 1.0, 0, 1, 0), (8, 0.8, 0, 1, 0), (45, 0.7, 0, 1, 0), (28, 0.0, 0, 1, 1), (60, 0.2, 0, 1, 1), (200, 0.0, 0, 1, 1),
+    # lists of links, wherever they stand
+    ([(1, 1.0), (2, 1.0), (3, 1.0), (5, 1.0), (8, 0.9), (15, 0.8), (40, 0.7)], BETWEEN_LINKS, (0, 1), (0, 1, 2), 0),
+    # long text with few links; it must be longer where another part of the page is the article
+    ([(28, 0.0), (45, 0.1), (90, 0.0), (200, 0.2), (400, 0.1)], BESIDE, (0,), (1, 2), 1),
+    ([(200, 0.0), (400, 0.1), (900, 0.0)], BESIDE, (0,), (0,), 1),
+    ([(8, 0.0), (28, 0.0), (45, 0.1), (90, 0.0)], BESIDE, (0,), (0,), 0),
+    # headings, captions, short paragraphs of an article
+    ([(1, 0.0), (4, 0.0), (9, 0.4), (15, 0.0)], BESIDE, (0,), (2,), 1),
+    # a linked line of an article between long paragraphs
+    ([(5, 1.0), (12, 1.0)], [(70, 0.0, 90, 0.0), (40, 0.1, 60, 0.0), (90, 0.0, 6, 0.0), (30, 0.0, 30, 0.0), (120, 0.0, 15, 0.0)], (0,), (2,), 1),
+    # slogans, small print, comments of readers
+    ([(9, 0.0), (60, 0.1), (120, 0.0), (400, 0.0)], BESIDE, (1,), (0, 1, 2), 0),
 ]
-NEIGHBOURS = [(0, 0.0, 0, 0.0), (3, 1.0, 4, 1.0), (70, 0.0, 90, 0.0), (80, 0.1, 2, 1.0), (6, 0.0, 60, 0.0)]
-#: Short blocks of pages that mark no article: main text between long ones, else not.
+#: Short blocks of pages that mark no article: main text between long ones or above one, else not.
 SHORT = [
-    (6, 0.0, 5, 1.0, 80, 0.0, 0, 1, 1), (8, 0.0, 70, 0.0, 90, 0.0, 0, 1, 1), (5, 0.0, 60, 0.0, 2, 0.0, 0, 1, 1), (11, 0.0, 45, 0.0, 50, 0.0, 0, 1, 1), (2, 0.0, 90, 0.0, 70, 0.0, 0, 1, 1),
-    (3, 0.0, 4, 1.0, 5, 1.0, 0, 1, 0), (6, 0.0, 2, 0.0, 3, 0.0, 0, 1, 0), (4, 0.0, 0, 0.0, 2, 1.0, 0, 1, 0), (5, 0.0, 6, 0.0, 8, 0.0, 0, 1, 0), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0), (9, 0.0, 7, 0.0, 0, 0.0, 0, 1, 0),
+    (6, 0.0, 5, 1.0, 80, 0.0, 0, 1, 1), (8, 0.0, 70, 0.0, 90, 0.0, 0, 1, 1), (5, 0.0, 60, 0.0, 2, 0.0, 0, 1, 1), (11, 0.0, 45, 0.0, 50, 0.0, 0, 1, 1), (2, 0.0, 90, 0.0, 70, 0.0, 0, 1, 1), (9, 0.0, 8, 0.0, 40, 0.0, 0, 1, 1),
+    (3, 0.0, 4, 1.0, 5, 1.0, 0, 1, 0), (6, 0.0, 2, 0.0, 3, 0.0, 0, 1, 0), (4, 0.0, 0, 0.0, 2, 1.0, 0, 1, 0), (5, 0.0, 6, 0.0, 8, 0.0, 0, 1, 0), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0), (9, 0.0, 7, 0.0, 0, 0.0, 0, 1, 0), (9, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0), (6, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0),
 ]
-EXAMPLES = [(w, d, *n, framed, place, label) for w, d, framed, place, label in ALIKE for n in NEIGHBOURS] + SHORT
+EXAMPLES = [(*b, *n, framed, place, label) for sizes, near, frames, places, label in ALIKE for b in sizes for n in near for framed in frames for place in places] + SHORT
 
 
 def grow_tree(rows: np.ndarray, depth: int = 12) -> tuple | int:
@@ -120,7 +132,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
         elif tag == "br":
             text.append(" ")
         elif tag in INLINE:
-            if not end and tag != "img" and FRAME_WORDS.search(_names(m)):
+            # amid a block's text, a word of the frame is only a name
+            if not end and tag not in ("img", "wbr") and not "".join(text).strip() and FRAME_WORDS.search(_names(m)):
                 flush()
                 stack.append((tag, True, bool(stack and stack[-1][2])))
             elif end and stack and stack[-1][0] == tag:
@@ -138,9 +151,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
                 stack.pop()
             if tag not in VOID and tag not in ("html", "body"):
                 framed, inside = stack[-1][1:] if stack else (False, False)
-                article = tag in ("article", "main")
+                # main ends the frame around it, such as a wrapper named for its sidebar; an article's header holds its headline
+                framed = framed and tag != "main" or tag in FRAME_TAGS and not (inside and tag == "header") or bool(FRAME_WORDS.search(_names(m)))
+                article = tag in ("article", "main") and not framed
                 marked |= article
-                framed = framed or tag in FRAME_TAGS or bool(FRAME_WORDS.search(_names(m)))
                 stack.append((tag, framed, inside or article))
     if at < len(page) and not re.match(r"<[a-zA-Z/!]", page[at:]):
         text.append(page[at:])

@@ -1,5 +1,7 @@
 import html
 import re
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import chat, html_text, queries
 
+LONG = ("A long paragraph of plain text without any links in it, " * 20).strip()
 TREE = html_text.grow_tree(np.array(html_text.EXAMPLES, float))
 
 
@@ -24,6 +27,13 @@ def test_tree_fits_its_table():
         ("<article><p>Main.</p><div class='comments'><p>I like it very much indeed, thanks for that.</p></div><aside>Side</aside><form>Name <input></form></article>", "Main."),
         ('<div class="ad">Buy now and save.</div><article><script>var t="</p>";</script><style>p{}</style><p>Only &#233;&#x41;&nbsp;this.</p>', "Only éA this."),
         ("<article><p>cut off &am", "cut off &am"),
+        ('<article><p>See <span class="tags">alpha</span> here</p></article>', "See alpha here"),
+        ("<article><header><h1>Headline</h1></header><p>Text of it.</p></article>", "Headline\n\nText of it."),
+        (f"<div><p>{LONG}</p></div><article><p>A card.</p></article><div><p>Short and outside.</p></div>", f"{LONG}\n\nA card."),
+        (f"<article><p>{LONG}</p><ul><li><a href=a>one</a></li><li><a href=b>two more</a></li><li><a href=c>three</a></li></ul></article>", LONG),
+        (f"<article><p>{LONG}</p><p><a href=a>a linked line</a></p><p>{LONG}</p></article>", f"{LONG}\n\na linked line\n\n{LONG}"),
+        (f"<h1>Title of it</h1><p>{LONG}</p><div class=comments><article class=comment><p>{LONG}</p></article></div>", f"Title of it\n\n{LONG}"),
+        ("<div class='page has-sidebar'><main><p>Body here.</p></main><div class=sidebar>x y z</div></div>", "Body here."),
         ("<html><head><meta charset=utf-8><title>T</title><style>p{}</style><body><article><p>Body", "Body"),
         ("<article><p>ends in a tag</p><p cla", "ends in a tag"),
         ("<!-- <p>no</p> --><main><p>a < b and c > d</p></main>", "a < b and c > d"),
@@ -44,6 +54,73 @@ def test_all_given_pages(spark, sf_dir):
         assert r["text"] == "\n\n".join(filter(None, want)) and r["n_chars"] == len(r["text"])
 
 
+def test_main_text_without_marks(spark, sf_dir):
+    """Words and link density find the text of pages whose article tags and class names are gone: recall and precision of words."""
+    both = wanted = given = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        bare = re.sub(r"</?article\b[^>]*>|\sclass=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", r["html"])
+        want, got = (Counter(html_text.main_text(p, TREE).split()) for p in (r["html"], bare))
+        both, wanted, given = both + (want & got).total(), wanted + want.total(), given + got.total()
+    assert both / wanted > 0.95 and both / given > 0.95
+
+
+class Flat(HTMLParser):
+    """Blocks of well-formed markup once more: the words between block-level tags and the share of their characters in links."""
+
+    def __init__(self):
+        super().__init__()
+        self.found, self.pieces, self.linked, self.off = [], [], False, False
+
+    def flush(self):
+        words = "".join(t for t, _ in self.pieces).split()
+        if words:
+            links = sum(len("".join(t.split())) for t, linked in self.pieces if linked)
+            self.found.append((" ".join(words), links / sum(map(len, words))))
+        self.pieces = []
+
+    def handle_starttag(self, tag, attrs):
+        self.off = self.off or tag in ("script", "style", "title")
+        if tag == "a":
+            self.linked = True
+        elif tag == "br":
+            self.handle_data(" ")
+        elif tag not in html_text.INLINE:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        self.off = self.off and tag not in ("script", "style", "title")
+        if tag == "a":
+            self.linked = False
+        elif tag not in html_text.INLINE:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.off:
+            self.pieces.append((data, self.linked))
+
+
+def test_blocks_against_html_parser(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        page = r["html"] + "</p>"  # lets the parser give the end of a cut page
+        plain = Flat()
+        plain.feed(page)
+        plain.close()
+        plain.flush()
+        assert [(b[0], b[2] / b[1]) for b in html_text.blocks(page)] == plain.found
+
+
+def test_root_of_tree_is_the_best_split():
+    rows = html_text.EXAMPLES
+    feature, threshold, *_ = TREE
+
+    def impurity(f, at):
+        sides = [r[-1] for r in rows if r[f] <= at], [r[-1] for r in rows if r[f] > at]
+        return sum(len(s) * (sum(s) / len(s)) * (1 - sum(s) / len(s)) for s in sides if s)
+
+    every = [impurity(f, at) for f in range(8) for at in {r[f] for r in rows}]
+    assert abs(impurity(feature, threshold) - min(every)) < 1e-9 and feature == 1  # link density
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None), (2, "<p>" * 20000 + "deep"), (3, "<article>" + "x" * 300000), (4, "<" * 5000), (5, '<a href="' + "y" * 5000)]
     got = {r["id"]: r["t"] for r in spark.createDataFrame(rows, "id int, html string").select("id", html_text.extract("html").alias("t")).collect()}
