@@ -43,7 +43,7 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 #: Blocks (words, link density) whose label holds beside each of BESIDE (the same of the neighbours), for the given
 #: values of framed and places.
 BESIDE = [(0, 0.0, 0, 0.0), (3, 1.0, 4, 1.0), (70, 0.0, 90, 0.0), (80, 0.1, 2, 1.0), (6, 0.0, 60, 0.0)]
-BETWEEN_LINKS = [(0, 0.0, 1, 1.0), (2, 1.0, 3, 1.0), (1, 1.0, 9, 0.0), (6, 0.9, 70, 0.0), (90, 0.0, 2, 1.0)]
+BETWEEN_LINKS = [(0, 0.0, 1, 1.0), (2, 1.0, 3, 1.0), (1, 1.0, 9, 0.0), (6, 0.9, 70, 0.0), (90, 0.0, 2, 1.0), (250, 0.0, 2, 1.0)]
 ALIKE = [
     # lists of links, wherever they stand
     ([(1, 1.0), (2, 1.0), (3, 1.0), (5, 1.0), (8, 0.9), (15, 0.8), (40, 0.7)], BETWEEN_LINKS, (0, 1), (0, 1, 2), 0),
