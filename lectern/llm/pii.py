@@ -3,8 +3,9 @@
 Patterns find the protected entities: addresses, numbers and cards. Terms beside an entity may reveal it as
 well. How strongly is estimated from the whole corpus: with N documents, n(e) that hold entity e, n(t) that
 hold term t and n(t, e) that hold t beside e, the information that t gives on e is
-log(N n(t,e) / (n(t) n(e))), and of it the share of all information on e, log(N / n(e)), is disclosed. Terms
-beside one entity in at least min_texts different texts whose disclosure reaches generalise_from are spans
+log(N n(t,e) / (n(t) n(e))), and of it the share of all information on e, log(N / n(e)), is disclosed. Protected
+is each entity by its value and by its class, which many rare values share: the domain of an address, the network
+of an ip, the issuer of a card, the area of a phone number. Terms beside one entity in at least min_texts different texts whose disclosure reaches generalise_from are spans
 too: to be generalised, or removed from remove_from on.
 
 Texts are never shuffled: one pass keeps the patterns' matches and the words around them, one counts the
@@ -146,16 +147,28 @@ def _spans(raw: DataFrame) -> DataFrame:
     return out.select("doc_id", "key", "text_key", *[F.col(f"{k}_spans").alias(k) for k in KINDS], "near")
 
 
+def _protected(value: Column) -> Column:
+    """An entity's value and its class: domain, first two numbers of an ip, first six digits of a card, first five of a phone number."""
+    kind, digits = F.substring_index(value, ":", 1), F.regexp_replace(value, "[^0-9]", "")
+    of_class = (
+        F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(value, "@", -1)))
+        .when(kind == "ip", F.substring_index(F.substring(value, 4, 1 << 30), ".", 2))
+        .otherwise(F.substring(digits, 1, F.when(kind == "card", 6).otherwise(5)))
+    )
+    return F.array(value, F.concat(kind, F.lit(" class:"), of_class))
+
+
 def disclosing_terms(docs: DataFrame, base: DataFrame, min_texts: int = 3, generalise_from: float = 0.75, remove_from: float = 0.9) -> DataFrame:
     """term, disclosure, action of each term that tells too much of some entity."""
-    told = F.flatten(F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["value"].alias("entity"), t.alias("term")))))
+    of_near = lambda n: F.flatten(F.transform(_protected(n["value"]), lambda e: F.transform(n["terms"], lambda t: F.struct(e.alias("entity"), t.alias("term")))))
+    told = F.flatten(F.transform("near", of_near))
     beside = base.select("text_key", F.explode(F.array_distinct(told)).alias("p")).select("text_key", "p.*")
     pairs = beside.groupBy("entity", "term").agg(F.count("*").alias("n_pair"), F.count_distinct("text_key").alias("texts"))
     pairs = durable(pairs.filter(F.col("texts") >= min_texts).drop("texts"))
     schema = "term string, disclosure double, action string"
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
-    entities = base.select("key", F.explode(F.array_distinct("near.value")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = base.select("key", F.explode(F.array_distinct(F.flatten(F.transform("near", lambda n: _protected(n["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     seen = _document_counts(docs, pairs.select("term").distinct())
     n_docs = F.lit(float(base.count()))
     told = pairs.join(entities, "entity").join(seen, "term")
