@@ -271,10 +271,7 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
 def s5(spark: SparkSession, d: str) -> DataFrame:
     words = F.split("text", " ", -1)
     raw = A.table(spark, d, "benchmark").select("item_id", F.to_json(F.transform(words, lambda w: F.array(w, F.concat(F.lit("to "), w)))).alias("json"))
-    # one file an item: its rows are numbered within it
-    pairs = F.from_json("json", "array<array<string>>")
-    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct((-F.length(p[0])).alias("n"), i.alias("i"), p[0].alias("term"), p[1].alias("replacement"))))
-    return raw.select("item_id", F.posexplode(placed).alias("ord", "e")).select("item_id", "ord", "e.term", "e.replacement")
+    return FI.term_rows(raw)  # one file an item
 
 
 @query("s7_timed_lines", with_views(["paras"], "SELECT video_id, para_idx, '[' || t || '] ' || text AS line FROM paras"))

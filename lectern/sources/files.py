@@ -15,7 +15,10 @@ def _video(part: int) -> Column:
 
 
 def _arrays(spark: SparkSession, path: str, schema: str, place: str) -> DataFrame:
-    rows = spark.read.text(path, wholetext=True).select(_video(2).alias("video_id"), F.from_json("value", f"array<struct<{schema}>>").alias("rows"))
+    """Rows of the files' arrays; a file that holds none, such as one cut short, fails the job and is named."""
+    broken = F.raise_error(F.concat(F.lit("no JSON array: "), F.col("_metadata.file_path")))
+    parsed = F.coalesce(F.from_json("value", f"array<struct<{schema}>>"), broken)
+    rows = spark.read.text(path, wholetext=True).select(_video(2).alias("video_id"), parsed.alias("rows"))
     return rows.select("video_id", F.posexplode("rows").alias(place, "row")).select("video_id", place, "row.*")
 
 
@@ -32,7 +35,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def term_rows(raw: DataFrame) -> DataFrame:
     """ord, term, replacement of raw (json): an object, an object under map, or a list of pairs; long terms first, else as given.
 
-    A file's terms are one small list; ord is its place after sorting.
+    A file's terms are one small list; ord is its place after sorting. Other columns of raw stay before them.
     """
     pairs = F.from_json("json", "array<array<string>>")
     under, plain = F.from_json("json", "struct<map:map<string,string>>")["map"], F.from_json("json", "map<string,string>")
@@ -40,8 +43,9 @@ def term_rows(raw: DataFrame) -> DataFrame:
         F.transform(F.map_entries(F.when(under.isNotNull(), under).otherwise(plain)), lambda e: F.struct(e["key"].alias("term"), e["value"].alias("replacement")))
     )
     placed = F.transform(entries, lambda e, i: F.struct((-F.length(e["term"])).alias("n"), i.alias("i"), e["term"].alias("term"), e["replacement"].alias("replacement")))
-    rows = raw.select(F.posexplode(F.array_sort(placed)).alias("ord", "e"))
-    return rows.select("ord", "e.term", "e.replacement")
+    others = [c for c in raw.columns if c != "json"]
+    rows = raw.select(*others, F.posexplode(F.array_sort(placed)).alias("ord", "e"))
+    return rows.select(*others, "ord", "e.term", "e.replacement")
 
 
 def load_term_map(spark: SparkSession, path: str | None) -> DataFrame:

@@ -153,10 +153,32 @@ def test_files(spark, tmp_path):
         (tmp_path / f"t{i}.json").write_text(text)
         assert [r["term"] for r in FI.load_term_map(spark, f"{tmp_path}/t{i}.json").orderBy("ord").collect()] == ["GPT-4o", "GPT"]
     assert FI.load_term_map(spark, None).count() == 0
+    (folder / "frames_ocr.json").write_text('[{"index": 0, "file": "f.jpg", "t": 5.0, "te')
+    with pytest.raises(Exception, match="no JSON array.*frames_ocr"):
+        FI.read_frames(spark, f"{tmp_path}/*/frames_ocr.json").collect()
     FI.write_timed_text(paras(spark, 3), f"{tmp_path}/out", 2)
     assert spark.read.text(f"{tmp_path}/out").filter("value like '[00:00:00]%'").count() == 3
 
 
+def test_stage_reads_back_by_video(spark, tmp_path):
+    rows = [(f"v{i % 7}", i, f"text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "video_id string, seq int, text string")
+    for form, buckets in (("parquet", 4), ("json", None)):
+        for _ in range(2):  # a rerun replaces the stage
+            FI.write_stage(df, f"{tmp_path}/{form}", buckets, form)
+        back = spark.read.schema(df.schema).format(form).load(f"{tmp_path}/{form}")
+        assert sorted(map(tuple, back.collect())) == sorted(rows)
+        places = back.select("video_id", "_metadata.file_path").distinct().collect()
+        assert len({r["video_id"] for r in places}) == len(places) == 7
+
+
+def test_chapter_table_reads_back(spark, tmp_path):
+    toc = spark.createDataFrame([("v", 0, 'a "title", 一'), ("v", 1, "b")], "video_id string, chapter int, title string")
+    FI.write_chapter_table(toc, f"{tmp_path}/toc")
+    back = spark.read.csv(f"{tmp_path}/toc", header=True, schema=toc.schema, escape="\\")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, toc.collect()))
+
+
 @pytest.mark.parametrize("operator", [S.to_paragraphs, S.dropped_fillers])
 def test_empty(spark, operator):
     assert operator(spark.createDataFrame([], SEG)).count() == 0
