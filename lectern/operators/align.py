@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.fold import fold_by_key
+from lectern.operators.ordered import as_of, in_index_range, in_time_range
 
 
 def attach_speech(slides: DataFrame, segments: DataFrame, min_speech: int = 20, bin_seconds: float = 60.0) -> DataFrame:
@@ -53,12 +54,11 @@ def chapter_times(chapters: DataFrame, paras: DataFrame) -> DataFrame:
 
 def figure_paragraphs(figures: DataFrame, paras: DataFrame, time: str) -> DataFrame:
     """figures with para_index: the last paragraph, counted from lo on while starts do not pass the time, else lo."""
-    p = paras.select(F.col("video_id").alias("v"), "para_idx", "start")
-    late = (F.col("v") == F.col("video_id")) & (F.col("para_idx") >= F.col("lo")) & (F.col("para_idx") < F.col("hi")) & (F.col("start") > F.col(time))
-    keys = ["video_id", "ch", "k"]
-    stop = figures.join(p, late, "left").groupBy(*keys).agg(F.min("para_idx").alias("stop"))
-    index = F.greatest(F.coalesce(F.col("stop"), F.col("hi")) - 1, F.col("lo"))
-    return figures.join(stop, keys).withColumn("para_index", index.cast("int")).drop("stop")
+    chapters = figures.select("video_id", "ch", "lo", "hi").distinct()
+    told = in_index_range(chapters, paras.select("video_id", "para_idx", "start"), "lo", "hi").select("video_id", "ch", "para_idx", "start")
+    stopped = as_of(figures, told, ["video_id", "ch"], time, "start", F.min("other.para_idx"), later=True, strict=True)
+    index = F.greatest(F.coalesce(F.col("found"), F.col("hi")) - 1, F.col("lo"))
+    return stopped.withColumn("para_index", index.cast("int")).drop("found")
 
 
 class Unused:
@@ -89,8 +89,8 @@ def to_figures(slides: DataFrame, chapters: DataFrame, paras: DataFrame, most: i
     """Figures of slides with speech: at most so many a chapter, each slide in one chapter only, before the paragraph that begins it."""
     times = chapter_times(chapters, paras).filter("lo < n").select("video_id", "ch", "lo", "hi", "t_lo", "t_hi")
     titled = slides.filter(F.length("title") >= min_title)
-    s = titled.select(F.col("video_id").alias("v"), "t0")
-    inside = times.join(s, (F.col("v") == F.col("video_id")) & (F.col("t0") >= F.col("t_lo") - early) & (F.col("t0") <= F.col("t_hi"))).select("video_id", "ch", "t0")
+    from_early = times.withColumn("since", F.col("t_lo") - early)
+    inside = in_time_range(from_early, titled.select("video_id", "t0"), "since", "t_hi", "t0").select("video_id", "ch", "t0")
     picked = fold_by_key(inside, "video_id", ["ch", "t0"], lambda v: Unused(v, most), "video_id string, ch int, k int, t0 double")
     placed = figure_paragraphs(picked.join(times, ["video_id", "ch"]), paras, "t0").join(titled, ["video_id", "t0"])
     t_str = T.hms("t0")
@@ -120,8 +120,7 @@ def assign_to_chapters(slides: DataFrame, chapters: DataFrame, paras: DataFrame,
     whole = counts.join(chapters, "video_id", "left_anti").select("video_id", F.lit(1).alias("ch"), F.lit(0).alias("from_idx"), F.col("n").alias("to_idx"))
     every = chapters.select("video_id", "ch", "from_idx", "to_idx").unionByName(whole)
     times = chapter_times(every, paras).select("video_id", "ch", "lo", "hi", F.coalesce("t_lo", F.lit(0.0)).alias("t_lo"), F.coalesce("t_hi", F.lit(1e9)).alias("t_hi"))
-    s = slides.select(F.col("video_id").alias("v"), "t", "file", "text")
-    inside = times.join(s, (F.col("v") == F.col("video_id")) & F.col("t").between(F.col("t_lo"), F.col("t_hi"))).drop("v")
+    inside = in_time_range(times, slides.select("video_id", "t", "file", "text"), "t_lo", "t_hi", "t")
     thin = even_thin(inside, ["video_id", "ch"], ["t"], most)
     placed = figure_paragraphs(thin.withColumn("k", F.row_number().over(W.partitionBy("video_id", "ch").orderBy("t"))), paras, "t")
     t_str = T.hms("t")
@@ -132,12 +131,3 @@ def assign_to_chapters(slides: DataFrame, chapters: DataFrame, paras: DataFrame,
 def figure_free(slides: DataFrame, gate: DataFrame) -> DataFrame:
     """slides of the videos that the gate lets have figures."""
     return slides.join(gate.filter("skip_reason IS NULL").select("video_id"), "video_id", "left_semi")
-
-
-def last_before(rows: DataFrame, candidates: DataFrame, time: str, value: Column) -> DataFrame:
-    """rows with found: value of the last candidate at or before a row's time, by one union and window."""
-    r = rows.withColumns({"t_": F.col(time), "kind_": F.lit(1), "value_": F.lit(None).cast("string")})
-    c = candidates.select("video_id", F.col("t").alias("t_"), F.lit(0).alias("kind_"), value.alias("value_"))
-    order = W.partitionBy("video_id").orderBy("t_", "kind_").rowsBetween(W.unboundedPreceding, 0)
-    both = r.unionByName(c, allowMissingColumns=True).withColumn("found", F.last("value_", ignorenulls=True).over(order))
-    return both.filter("kind_ = 1").drop("t_", "kind_", "value_")

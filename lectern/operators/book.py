@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.ordered import in_index_range
 
 
 def first_mention(glossary: DataFrame, paras: DataFrame) -> DataFrame:
@@ -56,13 +57,13 @@ def book_lines(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures:
     timed = F.when(F.col("stamp") != "-", F.concat(F.lit("> 视频时间点："), F.col("stamp"), F.lit(" 起"), jump))
     parts.append(_lines(opened, 3, F.col("ch"), F.lit(-1), F.array(F.format_string("# 第%d章 %s", "ch", "title"), F.lit(""), timed, F.when(timed.isNotNull(), ""))))
     c = chapters.select("video_id", "ch", "from_idx", "to_idx")
-    within = lambda df, idx: df.join(c, "video_id").filter((F.col(idx) >= F.col("from_idx")) & (F.col(idx) < F.col("to_idx")))
-    parts.append(_lines(within(paras.select("video_id", "para_idx", "text"), "para_idx"), 3, F.col("ch"), F.col("para_idx") * 4 + 1, F.array("text", F.lit(""))))
+    within = lambda df: in_index_range(c, df, "from_idx", "to_idx")
+    parts.append(_lines(within(paras.select("video_id", "para_idx", "text")), 3, F.col("ch"), F.col("para_idx") * 4 + 1, F.array("text", F.lit(""))))
     # figures of one paragraph and side follow in order of k
-    shown = within(figures.select("video_id", "para_index", "pos", "k", "caption", "rel"), "para_index")
+    shown = within(figures.select("video_id", F.col("para_index").alias("para_idx"), "pos", "k", "caption", "rel"))
     image = F.concat(F.lit("!["), "caption", F.lit("]("), "rel", F.lit("){width=6.5in}"))
-    ordered = shown.groupBy("video_id", "ch", "para_index", "pos").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", image.alias("line")))), lambda x: F.array(x["line"], F.lit("")))).alias("lines"))
-    parts.append(_lines(ordered, 3, F.col("ch"), F.col("para_index") * 4 + F.when(F.col("pos") == "before", 0).otherwise(2), F.col("lines")))
+    ordered = shown.groupBy("video_id", "ch", "para_idx", "pos").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", image.alias("line")))), lambda x: F.array(x["line"], F.lit("")))).alias("lines"))
+    parts.append(_lines(ordered, 3, F.col("ch"), F.col("para_idx") * 4 + F.when(F.col("pos") == "before", 0).otherwise(2), F.col("lines")))
     terms = first_mention(glossary, paras)
     for part, rows, title, lines in (
         (4, terms, ["# 附录A · 术语表", "", "| 术语 | 说明 | 出现位置 |", "|---|---|---|"], F.format_string("| %s | %s | %s |", "term", "desc", "at")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.functions import text as T
+from lectern.operators.ordered import as_of, in_index_range
 
 
 def parse_description(videos: DataFrame) -> DataFrame:
@@ -25,10 +26,10 @@ def _bounds(marks: DataFrame, paras: DataFrame, order: str) -> DataFrame:
     """marks with lo and hi: the first paragraph that ends at t or later, and the first that starts at the next mark or later."""
     until = marks.withColumn("until", F.lead("t").over(W.partitionBy("video_id").orderBy(order)))
     counts = paras.groupBy("video_id").agg(F.count("*").cast("int").alias("n"))
-    joined = until.join(paras.select("video_id", "para_idx", "start", "end"), "video_id")
-    first = lambda cond: F.min(F.when(cond, F.col("para_idx")))
-    found = joined.groupBy("video_id", order).agg(first(F.col("end") >= F.col("t")).alias("lo"), first(F.col("start") >= F.col("until")).alias("hi"))
-    return until.join(found, ["video_id", order]).join(counts, "video_id").withColumns({"lo": F.coalesce("lo", "n"), "hi": F.coalesce("hi", "n")})
+    p, first = paras.select("video_id", "para_idx", "start", "end"), F.min("other.para_idx")
+    begun = as_of(until, p, ["video_id"], "t", "end", first, later=True).withColumnRenamed("found", "lo")
+    both = as_of(begun, p, ["video_id"], "until", "start", first, later=True).withColumnRenamed("found", "hi")
+    return both.join(counts, "video_id").withColumns({"lo": F.coalesce("lo", "n"), "hi": F.coalesce("hi", "n")})
 
 
 def _numbered(chapters: DataFrame, order: str) -> DataFrame:
@@ -65,9 +66,8 @@ def chapters_by_time(paras: DataFrame, titles: DataFrame | None = None, minutes:
         titled = ranges.withColumn("title", number)
     else:
         marked = titles.filter(T.is_title_mark("text")).select("video_id", "seg", "t", F.col("text").alias("said"))
-        last = F.max_by("said", F.struct("seg")).alias("said")
-        found = ranges.join(marked, "video_id").filter(F.col("t") <= F.col("start")).groupBy("video_id", "k").agg(last)
-        titled = ranges.join(found, ["video_id", "k"], "left").withColumn("title", F.when(F.col("said").isNull(), number).otherwise(T.tidy_title("said")))
+        last = F.max_by("other.said", "other.seg")
+        titled = as_of(ranges, marked, ["video_id"], "start", "t", last).withColumnRenamed("found", "said").withColumn("title", F.when(F.col("said").isNull(), number).otherwise(T.tidy_title("said")))
     return _numbered(titled.withColumn("auto", F.lit("time")), "k")
 
 
@@ -93,8 +93,8 @@ def choose_chapters(paras: DataFrame, videos: DataFrame, segs: DataFrame, cards:
 
 def chapter_toc(chapters: DataFrame, paras: DataFrame, part: Column | None = None) -> DataFrame:
     """video_id, ch, title, stamp, chars of each chapter: its first paragraph's time, - without one, and its length."""
-    # a paragraph is looked up by its index: to each chapter its paragraphs by a range within the video
-    p = paras.select(F.col("video_id").alias("v"), "para_idx", "t", "text")
-    inside = (F.col("v") == F.col("video_id")) & (F.col("para_idx") >= F.col("from_idx")) & (F.col("para_idx") < F.col("to_idx"))
-    sums = chapters.join(p, inside, "left").groupBy("video_id", "ch", "title").agg(F.min_by("t", "para_idx").alias("first"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
-    return sums.select("video_id", "ch", "title", F.coalesce("first", F.lit("-")).alias("stamp"), "chars")
+    p = paras.select("video_id", "para_idx", "t", F.length("text").alias("n"))
+    met = in_index_range(chapters.select("video_id", "ch", "from_idx", "to_idx"), p, "from_idx", "to_idx")
+    sums = met.groupBy("video_id", "ch").agg(F.min_by("t", "para_idx").alias("first"), F.sum("n").alias("chars"))
+    every = chapters.select("video_id", "ch", "title").join(sums, ["video_id", "ch"], "left")
+    return every.select("video_id", "ch", "title", F.coalesce("first", F.lit("-")).alias("stamp"), F.coalesce("chars", F.lit(0).cast("long")).alias("chars"))

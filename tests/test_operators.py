@@ -1,5 +1,7 @@
 """Folds, chapters, alignment and books on small made-up videos."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from lectern.operators import align as AL
 from lectern.operators import book as B
 from lectern.operators import chapters as C
 from lectern.operators import hygiene as H
+from lectern.operators import ordered as O
 from lectern.operators import segments as S
 from lectern.operators import slides as SL
 from lectern.sources import files as FI
@@ -119,11 +122,43 @@ def test_gate(spark):
     assert {r["video_id"]: r["skip_reason"] for r in AL.talking_head_gate(videos, slides).collect()} == {"v": None, "w": "talking_head"}
 
 
-def test_last_before_is_the_last_candidate(spark):
-    rows = spark.createDataFrame([("v", 1, 5.0), ("v", 2, 20.0)], "video_id string, ch int, start double")
-    cands = spark.createDataFrame([("v", 5.0, "a"), ("v", 10.0, "b"), ("v", 30.0, "c")], "video_id string, t double, text string")
-    got = AL.last_before(rows, cands, "start", F.col("text")).orderBy("ch").collect()
-    assert [r["found"] for r in got] == ["a", "b"]
+def random_rows(n, seed):
+    rng = random.Random(seed)
+    return [(rng.choice("vw"), i, rng.choice([None, *map(float, range(0, 300, 7))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("later", [False, True])
+@pytest.mark.parametrize("strict", [False, True])
+def test_as_of_meets_what_a_full_join_meets(spark, later, strict):
+    rows, others = random_rows(80, 1), random_rows(90, 2)
+    left = spark.createDataFrame(rows, "video_id string, id int, t double")
+    right = spark.createDataFrame(others, "video_id string, para_idx int, at double")
+    got = {r["id"]: r["found"] for r in O.as_of(left, right, ["video_id"], "t", "at", F.min("other.para_idx"), later, strict).collect()}
+    fits = lambda a, t: None not in (a, t) and (a != t or not strict) and (a >= t if later else a <= t)
+    assert got == {i: min((j for w, j, a in others if w == v and fits(a, t)), default=None) for v, i, t in rows}
+
+
+def test_ranges_meet_what_a_full_join_meets(spark):
+    rng = random.Random(3)
+    ranges = [(rng.choice("vw"), i, *[rng.randrange(0, 400) for _ in "ab"]) for i in range(40)] + [("v", 98, 5, None), ("w", 99, 0, 10**9)]
+    points = [(v, i, t) for v, i, t in random_rows(300, 4)]
+    df = spark.createDataFrame(ranges, "video_id string, ch int, lo int, hi int")
+    met = O.in_index_range(df, spark.createDataFrame(points, "video_id string, para_idx int, t double"), "lo", "hi")
+    want = sorted((c, i) for v, c, lo, hi in ranges for w, i, _ in points if v == w and hi is not None and lo <= i < hi)
+    assert sorted((r["ch"], r["para_idx"]) for r in met.collect()) == want
+    times = df.select("video_id", "ch", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    met = O.in_time_range(times, spark.createDataFrame(points, "video_id string, id int, t double"), "lo", "hi", "t")
+    want = sorted((c, i) for v, c, lo, hi in ranges for w, i, t in points if v == w and None not in (hi, t) and lo <= t <= hi)
+    assert sorted((r["ch"], r["id"]) for r in met.collect()) == want
+
+
+def test_a_very_long_video(spark):
+    """50,000 paragraphs and 5,000 marks of one video: pairs would be 250 million."""
+    p = spark.range(50000).select(F.lit("v").alias("video_id"), F.col("id").cast("int").alias("para_idx"), (F.col("id") * 10.0).alias("start"), (F.col("id") * 10.0 + 10).alias("end"), F.lit("00:00:00").alias("t"), F.lit("text").alias("text"))
+    marks = spark.range(5000).select(F.lit("v").alias("video_id"), F.col("id").alias("mark"), (F.col("id") * 100.0 + 1).alias("t"), F.lit("a title").alias("title"))
+    chapters = C.marks_to_ranges(marks, p)
+    assert chapters.filter("from_idx = (ch - 1) * 10 AND to_idx = least(ch * 10 + 1, 50000)").count() == 5000
+    assert C.chapter_toc(chapters, p).filter("chars = 44 OR ch = 5000 AND chars = 40").count() == 5000
 
 
 def test_coverage_counts_escaped_prefixes_as_lost(spark):
