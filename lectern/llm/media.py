@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -368,13 +369,25 @@ def feature_of(rgb: np.ndarray) -> str:
     return f"{rgb.shape[1]}x{rgb.shape[0]}:" + ",".join(map(str, rgb.reshape(-1, 3).sum(0, dtype=np.int64).tolist()))
 
 
+def _parts(batch: pa.RecordBatch, column: str, rows: int = 512, held: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most so many rows and bytes of a column, by which files and tensors grow; a longer value stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and (total + size > held or i - start == rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if sizes:
+        yield batch.slice(start)
+
+
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media, the JPEG file, of each row's text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch, "text"):
                 texts = part.column("text").to_pylist()
                 files = pa.array([encode(payload_of(t)) for t in texts], pa.binary())
                 sizes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
@@ -389,8 +402,7 @@ def decode_media(files: DataFrame, tensors: bool = True) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch, "media"):
                 payloads, shapes, features, rgbs = [], [], [], []
                 for media in part.column("media").to_pylist():
                     parts, quant, factors, shape, size = coefficients(media)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import media, queries
@@ -165,3 +166,11 @@ def test_chroma_is_upsampled():
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         media.coefficients(b"\xff\xd8" + media._segment(0xC0, bytes(9)) + b"\xff\xd9")
+
+
+def test_parts_hold_bounded_bytes():
+    texts = ["a" * n for n in (3, 3, 9, 20, 1, 0, 0, 0, 0)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [p.column("text").to_pylist() for p in media._parts(batch, "text", 4, 10)]
+    assert sum(parts, []) == texts and [len(p) for p in parts] == [2, 1, 1, 4, 2]
+    assert list(media._parts(batch.slice(0, 0), "text")) == []
