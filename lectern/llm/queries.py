@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, exact, html_text, langid, media, mixing, packing, pii, quality, simhash
-from lectern.llm.common import id_remainder, read
+from lectern.llm import chat, exact, html_text, langid, media, mixing, packing, pii, quality, runs, simhash, tokencount, trie
+from lectern.llm.common import WORD, id_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,8 +96,38 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each tenth document, by its id's crc32, the words from some place on are repeated with a period first; a null id has none."""
+    docs, h = read(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    again = runs.repeat_words(F.col("text"), lambda n: g % n, lambda n, a: 1 + F.floor((n - a) / (3 + g % 8)))
+    changed = docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").rlike(WORD), again).otherwise(F.col("text")))
+    found = runs.periodic_runs(changed).withColumn("best", runs.best_run(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_nodes(trie.with_shared_heads(trie.conversation_turns(read(spark, sf_dir, "conversations"))))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokencount.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack, op2_language, op3_simhash, op4_media, op5_quality, op6_exact, op7_pii, op8_html, op9_mix, op10_chat)}
+    every = (op1_pack, op2_language, op3_simhash, op4_media, op5_quality, op6_exact, op7_pii, op8_html, op9_mix, op10_chat, op11_runs, op12_trie, op13_tokens)
+    return {f.__name__: f for f in every}
 
 
 OP6 = r"""
@@ -162,5 +192,35 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(copies, 0) * size AS BIG
 """
 
 
+#: crc32 bit by bit: a byte of the text is mixed in by xor, and each -1 after it moves the sum by one bit.
+CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({}, ''), lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda i: -1::BIGINT))))), lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END), 4294967295::BIGINT)"
+
+OP12 = rf"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id AS c, list({{'id': id, 'words': words}} ORDER BY i) AS turns FROM t GROUP BY conv_id
+), rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.turns[1:h], []), a.turns[h + 1:]) AS turns
+  FROM (SELECT *, {CRC32.format("CAST(c AS VARCHAR)")} % 4 AS h FROM own) a LEFT JOIN own b ON b.c = a.c - a.c % 20
+), begun AS (
+  SELECT c, d, len(turns) = d AS ends, array_to_string(list_transform(turns[1:d], lambda x: x.id), '') AS path, CASE WHEN d > 0 THEN turns[d].words ELSE 0 END AS words
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS MATERIALIZED (
+  SELECT path, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ends_
+  FROM begun GROUP BY path
+), above AS (
+  SELECT substr(path, 1, 64 * up) AS path, depth = up + 1 AS child, (n_convs - 1) * words AS saved, NOT EXISTS (SELECT 1 FROM nodes k WHERE k.depth = n.depth + 1 AND substr(k.path, 1, length(k.path) - 64) = n.path) AS leaf
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM nodes) n
+), sums AS (
+  SELECT path, count(*) FILTER (child) AS n_children, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY path
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(n.ends_) AS ends_sha256
+FROM nodes n JOIN sums USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = substr(n.path, 1, length(n.path) - 64)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact": OP6, "op9_mix": OP9, "op10_chat": OP10}
+    return {"op6_exact": OP6, "op9_mix": OP9, "op10_chat": OP10, "op12_trie": OP12}
