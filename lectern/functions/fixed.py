@@ -35,3 +35,26 @@ RISKY_FOLDER = "(?i)(chrome_|chrome_cap|cookies_work|cookies_copy|User Data|node
 COPYRIGHT_HINT = "(?i)(geekbang|极客时间|付费专栏|专栏导出|课程逐字稿|题库|\\bexam\\b|试卷|内部资料|付费课程)"
 CODE_EXTENSIONS = [".py", ".js", ".ts", ".ps1", ".sh", ".bat", ".java", ".go", ".rs", ".c", ".cpp"]
 TEXT_EXTENSIONS = [".txt", ".md", ".json", ".py", ".ps1", ".js", ".ts", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".csv", ".html", ".xml", ".env", ".sh", ".bat"]
+
+#: Headings and sentences of a book, in their order in it.
+UNTITLED = "未命名"
+LANGUAGE = "zh-CN"
+ABOUT_HEAD = ["# 关于本书", ""]
+NO_FIGURES = "**关于配图**：本片属于口播型视频，全片可用的内容画面只有 %d 个（其余均为软件界面），因此本书不配图。"
+CONTENTS_HEAD = ["# 目录与时间轴", "", "| 章 | 标题 | 视频时间 | 字数 |", "|---|---|---|---|"]
+CHAPTER_HEAD = "# 第%d章 %s"
+TIMED = ["> 视频时间点：", " 起"]
+JUMP = "（[跳转原片]("
+INTRODUCTION = "【本章导读】"
+GLOSSARY_HEAD = ["# 附录A · 术语表", "", "| 术语 | 说明 | 出现位置 |", "|---|---|---|"]
+QUOTES_HEAD = ["# 附录B · 金句集", ""]
+SOURCE_HEAD = ["# 附录C · 版权与来源说明", ""]
+MISSING_IMAGE = "[缺图] "
+
+#: Names of chapters and series.
+OPENING = "开篇"
+NUMBERED_CHAPTER = "第%d章"
+SERIES_TITLE = "合集"
+SERIES_SUBTITLE = "%d 集合集 · 共 %d 个分 P · 约 %d 分钟"
+CAPTION = "图 %d-%d　%s"
+TIMED_CAPTION = "图 %d-%d　视频 %s 处画面"

@@ -135,7 +135,7 @@ def _cut_title(t: Column, max_len: int) -> Column:
     cut = F.substring(t, 1, max_len)
     last_space = F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1
     short = F.when(last_space > max_len * 0.5, F.substr(cut, F.lit(1), last_space)).otherwise(cut)
-    return F.when(t == "", "未命名").when(F.length(t) > max_len, F.concat(F.rtrim(short), F.lit("…"))).otherwise(t)
+    return F.when(t == "", fixed.UNTITLED).when(F.length(t) > max_len, F.concat(F.rtrim(short), F.lit("…"))).otherwise(t)
 
 
 def is_title_mark(c: Column | str) -> Column:
@@ -167,13 +167,13 @@ def clean_part_title(c: Column | str) -> Column:
     t = F.regexp_replace(t, "(?i)[-_]\\s*(高清|标清|超清|AVC|HEVC|AV1)(?![\\p{L}\\p{N}_]).*$", "")
     t = F.regexp_replace(F.regexp_replace(t, "^\\s*[0-9]+[-.][0-9]*[.、\\s]*", ""), "^\\s*[0-9]+[.、\\s]+", "")
     t = F.regexp_replace(t, "^[ \\-_·.]+|[ \\-_·.]+$", "")
-    return F.when(t != "", t).otherwise(strip(F.when(name == "", "未命名").otherwise(name)))
+    return F.when(t != "", t).otherwise(strip(F.when(name == "", fixed.UNTITLED).otherwise(name)))
 
 
 def figure_caption(chapter: Column | str, k: Column | str, title: Column | str, t_str: Column | str) -> Column:
     """Numbered caption: the title, or the time where the title is a program's frame."""
-    timed = F.format_string("图 %d-%d　视频 %s 处画面", col(chapter), col(k), col(t_str))
-    return F.when(looks_like_ui_chrome(title), timed).otherwise(F.format_string("图 %d-%d　%s", col(chapter), col(k), col(title)))
+    timed = F.format_string(fixed.TIMED_CAPTION, col(chapter), col(k), col(t_str))
+    return F.when(looks_like_ui_chrome(title), timed).otherwise(F.format_string(fixed.CAPTION, col(chapter), col(k), col(title)))
 
 
 def jump_link(link: Column | str, seconds: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators.fold import fold_by_key
 from lectern.operators.ordered import as_of, in_index_range, in_time_range
@@ -124,7 +125,7 @@ def assign_to_chapters(slides: DataFrame, chapters: DataFrame, paras: DataFrame,
     thin = even_thin(inside, ["video_id", "ch"], ["t"], most)
     placed = figure_paragraphs(thin.withColumn("k", F.row_number().over(W.partitionBy("video_id", "ch").orderBy("t"))), paras, "t")
     t_str = T.hms("t")
-    caption = F.format_string("图 %d-%d　视频 %s 处画面", F.col("ch"), F.col("k"), t_str)
+    caption = F.format_string(fixed.TIMED_CAPTION, F.col("ch"), F.col("k"), t_str)
     return placed.select("video_id", F.col("ch").alias("chapter"), "k", "para_index", "file", "t", t_str.alias("t_str"), caption.alias("caption"), F.substring("text", 1, 120).alias("ocr"))
 
 

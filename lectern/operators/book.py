@@ -3,21 +3,57 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import fixed
 from lectern.functions import text as T
+from lectern.functions.search import automaton
+from lectern.operators.chapters import chapter_toc
+from lectern.operators.fold import fold_by_key
 from lectern.operators.ordered import in_index_range
 
 
-def first_mention(glossary: DataFrame, paras: DataFrame) -> DataFrame:
-    """video_id, ord, term, desc, at: where none is given, the time of the first paragraph that holds the term's head."""
-    key = T.strip(F.regexp_extract("term", "^([^（(/]*)", 1))
-    g = glossary.withColumn("key", key)
-    held = g.filter("key <> ''").join(paras.select("video_id", "para_idx", "t", "text"), "video_id").filter(F.contains("text", F.col("key")))
-    first = held.groupBy("video_id", "ord").agg(F.min_by("t", "para_idx").alias("first"))
+BLOCK = 256
+SLICE = 20_000
+
+
+class Mentions:
+    """Terms of one video, told first, and the first paragraph of a block that holds each."""
+
+    def __init__(self, video_id: Any):
+        self.video_id, self.ords, self.keys, self.find, self.met = video_id, {}, [], None, set()
+
+    def step(self, row: dict[str, Any]) -> list[dict[str, Any]]:
+        if row["key"] is not None:
+            self.ords.setdefault(row["key"], []).append(row["ord"])
+            return []
+        if self.ords and self.find is None:
+            self.keys = list(self.ords)
+            self.find = automaton(self.keys).iter
+        new = {i for _, i in self.find(row["text"] or "")} - self.met if self.find else ()
+        self.met.update(new)
+        return [{"video_id": self.video_id[0], "ord": o, "para_idx": row["para_idx"], "t": row["t"]} for i in sorted(new) for o in self.ords[self.keys[i]]]
+
+    def end(self) -> list[dict[str, Any]]:
+        return []
+
+
+def first_mention(glossary: DataFrame, paras: DataFrame, block: int = BLOCK) -> DataFrame:
+    """video_id, ord, term, desc, at: where none is given, the time of the first paragraph that holds the term's head.
+
+    Paragraphs are dealt by video and block of indices; each block is told the video's terms and searched for all at once.
+    """
+    g = glossary.withColumn("key", T.strip(F.regexp_extract("term", "^([^（(/]*)", 1)))
+    sought = g.filter("key <> '' AND coalesce(at, '') = ''").select("video_id", "ord", "key")
+    texts = paras.select("video_id", F.floor(F.col("para_idx") / block).alias("block"), "para_idx", "t", "text")
+    told = texts.select("video_id", "block").distinct().join(sought, "video_id")
+    rows = texts.unionByName(told, allowMissingColumns=True)
+    met = fold_by_key(rows, ["video_id", "block"], ["para_idx"], Mentions, "video_id string, ord int, para_idx int, t string")
+    first = met.groupBy("video_id", "ord").agg(F.min_by("t", "para_idx").alias("first"))
     at = F.coalesce(F.nullif("at", F.lit("")), "first", F.lit(""))
     return g.join(first, ["video_id", "ord"], "left").select("video_id", "ord", "term", "desc", at.alias("at"))
 
@@ -37,25 +73,25 @@ def book_lines(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures:
     """video_id, ord, line of each book: head, about, contents, chapters, glossary, quotes, source; empty parts are left out.
 
     meta: video_id, title, subtitle, author, lang, rights, about, source_note, time_link, content_frames (null
-    if the book has figures). figures: video_id, para_index, pos, k, caption, rel, placed already.
+    if the book has figures). chapters may have part, told before times, and intro. figures: video_id, para_index, pos, k, caption, rel, placed already.
     """
     none = F.lit(0)
     quoted = lambda k, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'{k}: "'), F.replace(c, F.lit('"'), F.lit("'")), F.lit('"')))
-    head = F.array(F.lit("---"), quoted("title", F.coalesce("title", F.lit("未命名"))), quoted("subtitle", F.col("subtitle")), quoted("author", F.col("author")), quoted("lang", F.coalesce("lang", F.lit("zh-CN"))), quoted("rights", F.col("rights")), F.lit("---"), F.lit(""))
-    note = F.format_string("**关于配图**：本片属于口播型视频，全片可用的内容画面只有 %d 个（其余均为软件界面），因此本书不配图。", "content_frames")
-    about = F.concat(F.array(F.lit("# 关于本书"), F.lit("")), F.split("about", "\n", -1), F.when(F.col("content_frames").isNotNull(), F.array(F.lit(""), note)).otherwise(F.array().cast("array<string>")), F.array(F.lit("")))
+    head = F.array(F.lit("---"), quoted("title", F.coalesce("title", F.lit(fixed.UNTITLED))), quoted("subtitle", F.col("subtitle")), quoted("author", F.col("author")), quoted("lang", F.coalesce("lang", F.lit(fixed.LANGUAGE))), quoted("rights", F.col("rights")), F.lit("---"), F.lit(""))
+    note = F.format_string(fixed.NO_FIGURES, "content_frames")
+    about = F.concat(F.array(*map(F.lit, fixed.ABOUT_HEAD)), F.split("about", "\n", -1), F.when(F.col("content_frames").isNotNull(), F.array(F.lit(""), note)).otherwise(F.array().cast("array<string>")), F.array(F.lit("")))
     parts = [_lines(meta, 0, none, none, head), _lines(meta.filter("about <> ''"), 1, none, none, about)]
-    from lectern.operators.chapters import chapter_toc
-
     toc = chapter_toc(chapters, paras)
-    parts.append(_lines(meta, 2, F.lit(-1), none, F.array(*map(F.lit, ["# 目录与时间轴", "", "| 章 | 标题 | 视频时间 | 字数 |", "|---|---|---|---|"]))))
+    parts.append(_lines(meta, 2, F.lit(-1), none, F.array(*map(F.lit, fixed.CONTENTS_HEAD))))
     parts.append(_lines(toc, 2, F.col("ch"), none, F.array(F.format_string("| %d | %s | %s | %d |", "ch", "title", "stamp", "chars"))))
     parts.append(_lines(meta, 2, F.lit(2**40), none, F.array(F.lit(""))))
     start = paras.select("video_id", F.col("para_idx").alias("from_idx"), "start")
-    opened = chapters.select("video_id", "ch", "from_idx", "to_idx").join(toc, ["video_id", "ch"]).join(start, ["video_id", "from_idx"], "left").join(meta.select("video_id", "time_link"), "video_id", "left")
-    jump = F.when(F.col("time_link").isNotNull(), F.concat(F.lit("（[跳转原片]("), T.jump_link("time_link", "start"), F.lit(")）"))).otherwise("")
-    timed = F.when(F.col("stamp") != "-", F.concat(F.lit("> 视频时间点："), F.col("stamp"), F.lit(" 起"), jump))
-    parts.append(_lines(opened, 3, F.col("ch"), F.lit(-1), F.array(F.format_string("# 第%d章 %s", "ch", "title"), F.lit(""), timed, F.when(timed.isNotNull(), ""))))
+    intro = F.col("intro") if "intro" in chapters.columns else F.lit(None).cast("string")
+    opened = chapters.select("video_id", "ch", "from_idx", "to_idx", intro.alias("intro")).join(toc, ["video_id", "ch"]).join(start, ["video_id", "from_idx"], "left").join(meta.select("video_id", "time_link"), "video_id", "left")
+    jump = F.when(F.col("time_link").isNotNull(), F.concat(F.lit(fixed.JUMP), T.jump_link("time_link", "start"), F.lit(")）"))).otherwise("")
+    timed = F.when(F.col("stamp") != "-", F.concat(F.lit(fixed.TIMED[0]), F.col("stamp"), F.lit(fixed.TIMED[1]), jump))
+    led = F.when(F.col("intro") != "", F.concat(F.lit(fixed.INTRODUCTION), F.col("intro")))
+    parts.append(_lines(opened, 3, F.col("ch"), F.lit(-1), F.array(F.format_string(fixed.CHAPTER_HEAD, "ch", "title"), F.lit(""), timed, F.when(timed.isNotNull(), ""), led, F.when(led.isNotNull(), ""))))
     c = chapters.select("video_id", "ch", "from_idx", "to_idx")
     within = lambda df: in_index_range(c, df, "from_idx", "to_idx")
     parts.append(_lines(within(paras.select("video_id", "para_idx", "text")), 3, F.col("ch"), F.col("para_idx") * 4 + 1, F.array("text", F.lit(""))))
@@ -66,12 +102,12 @@ def book_lines(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures:
     parts.append(_lines(ordered, 3, F.col("ch"), F.col("para_idx") * 4 + F.when(F.col("pos") == "before", 0).otherwise(2), F.col("lines")))
     terms = first_mention(glossary, paras)
     for part, rows, title, lines in (
-        (4, terms, ["# 附录A · 术语表", "", "| 术语 | 说明 | 出现位置 |", "|---|---|---|"], F.format_string("| %s | %s | %s |", "term", "desc", "at")),
-        (5, quotes, ["# 附录B · 金句集", ""], F.format_string("- %s（%s）", "text", "at")),
+        (4, terms, fixed.GLOSSARY_HEAD, F.format_string("| %s | %s | %s |", "term", "desc", "at")),
+        (5, quotes, fixed.QUOTES_HEAD, F.format_string("- %s（%s）", "text", "at")),
     ):
         held = rows.select("video_id").distinct()
         parts += [_lines(held, part, F.lit(-1), none, F.array(*map(F.lit, title))), _lines(rows, part, F.col("ord"), none, F.array(lines)), _lines(held, part, F.lit(2**40), none, F.array(F.lit("")))]
-    source = F.concat(F.array(F.lit("# 附录C · 版权与来源说明"), F.lit("")), F.split("source_note", "\n", -1), F.array(F.lit("")))
+    source = F.concat(F.array(*map(F.lit, fixed.SOURCE_HEAD)), F.split("source_note", "\n", -1), F.array(F.lit("")))
     parts.append(_lines(meta.filter("source_note <> ''"), 6, none, none, source))
     order = W.partitionBy("video_id").orderBy("part", "at", "sub", "n")
     return reduce(DataFrame.unionByName, parts).select("video_id", F.row_number().over(order).alias("ord"), "line")
@@ -104,7 +140,7 @@ def render_xhtml(books: DataFrame, files: DataFrame | None = None) -> DataFrame:
     shown = (
         F.when(F.col("line") == "", "")
         .when(F.col("image") & F.col("there"), figure)
-        .when(F.col("image"), wrap("p", F.concat(F.lit("[缺图] "), T.escape_html("alt"))))
+        .when(F.col("image"), wrap("p", F.concat(F.lit(fixed.MISSING_IMAGE), T.escape_html("alt"))))
         .when(F.startswith("line", F.lit("> ")), wrap("blockquote", T.escape_html(F.substr("line", F.lit(3)))))
         .otherwise(wrap("p", T.escape_html("line")))
     )
@@ -112,17 +148,46 @@ def render_xhtml(books: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return lines.groupBy("video_id", "ch").agg(F.max(F.when(F.col("n") == 0, T.strip("raw"))).alias("title"), body.alias("body"))
 
 
+class Covered:
+    """Beginnings of one book's paragraphs, told first with their number, and how many of them its documents hold."""
+
+    def __init__(self, video_id: Any):
+        self.video_id, self.waiting, self.covered = video_id, {}, 0
+
+    def step(self, row: dict[str, Any]) -> list[dict[str, Any]]:
+        if row["plain"] is None:
+            if row["prefix"]:
+                self.waiting[row["prefix"]] = row["n"]
+            else:
+                self.covered += row["n"]  # the empty text is held by any
+            return []
+        names = list(self.waiting)
+        for some in (names[i : i + SLICE] for i in range(0, len(names), SLICE)):
+            for k in {i for _, i in automaton(some).iter(row["plain"])}:
+                self.covered += self.waiting.pop(some[k])
+        return []
+
+    def end(self) -> list[dict[str, Any]]:
+        return [{"video_id": self.video_id, "covered": self.covered}]
+
+
 def coverage_audit(paras: DataFrame, rendered: DataFrame, chapters: DataFrame | None = None, prefix: int = 24, least: float = 98.0) -> DataFrame:
-    """video_id, src_chars, paragraphs, covered, coverage, ok: paragraphs whose first characters stand in the rendered text.
+    """video_id, src_chars, paragraphs, covered, coverage, images, ok: paragraphs whose first characters stand in the rendered text.
 
-    rendered: video_id, html, one row a document. Prefixes go to the document, which is read once, unescaped
-    as it is: signs that rendering escapes make a paragraph count as lost.
+    rendered: video_id, html, one row a document, a video's rows being parts of its book. Beginnings are told to the
+    document and searched for all at once, unescaped as it is: signs that rendering escapes make a paragraph
+    count as lost. images: different image files shown. A book without paragraphs, or without a document, has a row, too.
     """
-    sums = paras.groupBy("video_id").agg(F.sum(F.length("text")).alias("src_chars"), F.count("*").alias("paragraphs"), F.collect_list(F.substring("text", 1, prefix)).alias("prefixes"))
-    documents = rendered.select("video_id", T.strip_tags("html").alias("plain"))
-    joined = sums.join(documents, "video_id", "left").withColumn("covered", F.size(F.filter("prefixes", lambda p: F.contains(F.coalesce("plain", F.lit("")), p))))
+    sums = paras.groupBy("video_id").agg(F.sum(F.length("text")).alias("src_chars"), F.count("*").alias("paragraphs"))
+    begun = paras.groupBy("video_id", F.substring(F.coalesce("text", F.lit("")), 1, prefix).alias("prefix")).agg(F.count("*").alias("n"))
+    plain = T.strip_tags(F.coalesce("html", F.lit("")))
+    rows = begun.unionByName(rendered.select("video_id", plain.alias("plain")), allowMissingColumns=True)
+    covered = fold_by_key(rows.withColumn("part", F.col("plain").isNotNull()), "video_id", ["part"], Covered, "video_id string, covered long")
+    shown = rendered.select("video_id", F.explode_outer(F.regexp_extract_all("html", F.lit('<img src="([^"]*)"'), F.lit(1))).alias("src"))
+    images = shown.groupBy("video_id").agg(F.count_distinct("src").alias("images"))
+    joined = covered.join(sums, "video_id", "left").join(images, "video_id", "left").na.fill(0, ["src_chars", "paragraphs", "images"])
     coverage = F.bround(F.col("covered") / F.greatest(F.lit(1), "paragraphs") * 100, 1)
-    out = joined.select("video_id", "src_chars", "paragraphs", F.col("covered").cast("long").alias("covered"), coverage.alias("coverage"), (coverage >= least).alias("ok"))
+    out = joined.select("video_id", "src_chars", "paragraphs", "covered", coverage.alias("coverage"), "images", (coverage >= least).alias("ok"))
     if chapters is not None:
         counts = chapters.groupBy("video_id").agg(F.count("*").alias("chapters"))
         out = out.join(counts, "video_id", "left").withColumn("chapters", F.coalesce("chapters", F.lit(0)))

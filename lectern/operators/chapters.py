@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,7 +50,7 @@ def chapters_from_slides(paras: DataFrame, cards: DataFrame) -> DataFrame:
     cursor = F.coalesce(F.max("hi").over(before), F.lit(0))
     fitted = found.withColumn("cursor", cursor).withColumn("lo", F.greatest("lo", "cursor")).withColumn("hi", F.greatest("hi", "lo")).filter("hi > lo")
     titled = fitted.select("video_id", F.col("seg").cast("long").alias("at"), T.tidy_title("text").alias("title"), "lo", "hi")
-    opening = titled.groupBy("video_id").agg(F.min_by("lo", "at").alias("hi")).filter("hi > 0").select("video_id", F.lit(-1).cast("long").alias("at"), F.lit("开篇").alias("title"), F.lit(0).alias("lo"), "hi")
+    opening = titled.groupBy("video_id").agg(F.min_by("lo", "at").alias("hi")).filter("hi > 0").select("video_id", F.lit(-1).cast("long").alias("at"), F.lit(fixed.OPENING).alias("title"), F.lit(0).alias("lo"), "hi")
     return _numbered(opening.unionByName(titled).withColumn("auto", F.lit("slides")), "at")
 
 
@@ -61,7 +61,7 @@ def chapters_by_time(paras: DataFrame, titles: DataFrame | None = None, minutes:
     chunk = F.floor(F.col("para_idx") / F.col("size"))
     chunks = paras.join(sums.withColumn("size", size), "video_id").groupBy("video_id", chunk.cast("int").alias("k"))
     ranges = chunks.agg(F.min("para_idx").alias("lo"), (F.max("para_idx") + 1).alias("hi"), F.min_by("start", "para_idx").alias("start"))
-    number = F.format_string("第%d章", F.col("k") + 1)
+    number = F.format_string(fixed.NUMBERED_CHAPTER, F.col("k") + 1)
     if titles is None:
         titled = ranges.withColumn("title", number)
     else:
@@ -91,10 +91,14 @@ def choose_chapters(paras: DataFrame, videos: DataFrame, segs: DataFrame, cards:
     return best.select("video_id", "ch", "title", "from_idx", "to_idx", "auto", strategy.alias("strategy"))
 
 
-def chapter_toc(chapters: DataFrame, paras: DataFrame, part: Column | None = None) -> DataFrame:
-    """video_id, ch, title, stamp, chars of each chapter: its first paragraph's time, - without one, and its length."""
+def chapter_toc(chapters: DataFrame, paras: DataFrame) -> DataFrame:
+    """video_id, ch, title, stamp, chars of each chapter: its first paragraph's time, - without one, and its length.
+
+    Where chapters have a part, as those of a series, whose parts' times each begin at 0, its number stands before the time.
+    """
     p = paras.select("video_id", "para_idx", "t", F.length("text").alias("n"))
     met = in_index_range(chapters.select("video_id", "ch", "from_idx", "to_idx"), p, "from_idx", "to_idx")
     sums = met.groupBy("video_id", "ch").agg(F.min_by("t", "para_idx").alias("first"), F.sum("n").alias("chars"))
-    every = chapters.select("video_id", "ch", "title").join(sums, ["video_id", "ch"], "left")
-    return every.select("video_id", "ch", "title", F.coalesce("first", F.lit("-")).alias("stamp"), F.coalesce("chars", F.lit(0).cast("long")).alias("chars"))
+    part = F.when(F.col("part") != 0, F.format_string("P%d ", "part")) if "part" in chapters.columns else F.lit(None).cast("string")
+    every = chapters.select("video_id", "ch", "title", F.coalesce(part, F.lit("")).alias("part")).join(sums, ["video_id", "ch"], "left")
+    return every.select("video_id", "ch", "title", F.coalesce(F.concat("part", "first"), F.lit("-")).alias("stamp"), F.coalesce("chars", F.lit(0).cast("long")).alias("chars"))

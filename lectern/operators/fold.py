@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
@@ -21,21 +22,24 @@ class Fold(Protocol):
     def end(self) -> list[dict[str, Any]]: ...
 
 
-def fold_by_key(rows: DataFrame, key: str, order: list[str], start: Callable[[Any], Fold], schema: str) -> DataFrame:
-    """Result rows of a fold for each key over its rows in order.
+def fold_by_key(rows: DataFrame, key: str | list[str], order: list[str], start: Callable[[Any], Fold], schema: str) -> DataFrame:
+    """Result rows of a fold for each key (of several columns, a tuple) over its rows in order.
 
     A key's rows are never gathered: they are sorted by Spark, which may spill, and pass one by one.
     """
     kinds = to_arrow_schema(StructType.fromDDL(schema))
+    keys = [key] if isinstance(key, str) else key
+    key_of = operator.itemgetter(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, fold, out, begun = None, None, [], False
         for batch in batches:
             for row in batch.to_pylist():
-                if not begun or row[key] != now:
+                if not begun or key_of(row) != now:
                     if fold:
                         out += fold.end()
-                    now, begun, fold = row[key], True, start(row[key])
+                    now, begun = key_of(row), True
+                    fold = start(now)
                 out += fold.step(row)
             if len(out) >= FLUSH:
                 yield pa.RecordBatch.from_pylist(out, kinds)
@@ -44,4 +48,4 @@ def fold_by_key(rows: DataFrame, key: str, order: list[str], start: Callable[[An
             out += fold.end()
         yield pa.RecordBatch.from_pylist(out, kinds)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

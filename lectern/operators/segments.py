@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.functions import text as T
+from lectern.functions.search import automaton
 from lectern.operators.fold import fold_by_key
 
 
@@ -58,23 +62,61 @@ def to_paragraphs(segments: DataFrame, max_len: int = 200, min_sentence: int = 1
     return made.withColumn("t", T.hms("start"))
 
 
+class Corrector:
+    """A term list: which of its terms a text holds is found at once, and only those are applied, in order."""
+
+    def __init__(self, terms: list[tuple[str, str]]):
+        self.terms = terms
+        self.places: dict[str, list[int]] = {}
+        for place, (term, _) in enumerate(terms):
+            self.places.setdefault(term.casefold(), []).append(place)
+        self.patterns: dict[int, re.Pattern] = {}
+        names = [n for n in self.places if n]
+        self.names, self.find = names, automaton(names).iter if names else None
+
+    def _pattern(self, place: int) -> re.Pattern:
+        """A Latin term may not stand inside a longer Latin word, any other matches as it is; compiled when first met."""
+        if place not in self.patterns:
+            term = self.terms[place][0]
+            latin = re.fullmatch(r"[A-Za-z0-9 ._\-]+", term)
+            before, after = ("(?<![A-Za-z0-9])", "(?![A-Za-z0-9])") if latin else ("", "")
+            self.patterns[place] = re.compile(before + re.escape(term) + after, re.I)
+        return self.patterns[place]
+
+    def _held(self, text: str, after: int) -> list[int]:
+        found = {i for _, i in self.find(text.casefold())}
+        return sorted(p for i in found for p in self.places[self.names[i]] if p > after)
+
+    def __call__(self, text: str) -> tuple[str, int]:
+        """The corrected text and the number of corrections; a term sees what those before it have made."""
+        hits, waiting = 0, self._held(text, -1) if self.find else []
+        while waiting:
+            place = waiting.pop(0)
+            by = self.terms[place][1]
+            text, n = self._pattern(place).subn(lambda m: by, text)
+            if n:
+                hits += n
+                waiting = self._held(text, place)
+        return text, hits
+
+
 def apply_terms(rows: DataFrame, terms: DataFrame, most_terms: int = 10_000) -> DataFrame:
     """rows with corrected text and hits, the number of corrections. terms: ord, term, replacement, applied in order.
 
-    The term list is collected into one array; a list beyond most_terms is refused.
+    The term list is brought to the driver and to each task; a list beyond most_terms is refused. A null text stays; a term without
+    text or replacement is left out.
     """
-    if terms.count() > most_terms:
+    listed = terms.filter("term <> '' AND replacement IS NOT NULL").select("ord", "term", "replacement").limit(most_terms + 1).collect()
+    if len(listed) > most_terms:
         raise ValueError(f"more than {most_terms} terms")
-    one = F.struct("ord", F.lower("term").alias("low"), T.term_pattern("term").alias("pattern"), T.quote_replacement("replacement").alias("by"))
-    listed = terms.agg(F.array_sort(F.collect_list(one)).alias("terms_"))
-    start = F.struct(F.col("text").alias("text"), F.lit(0).alias("hits"))
+    ordered = [(r["term"], r["replacement"]) for r in sorted(listed, key=lambda r: r["ord"])]
 
-    def step(a: F.Column, t: F.Column) -> F.Column:
-        found = F.contains(F.lower(a["text"]), t["low"])
-        changed = F.struct(F.regexp_replace(a["text"], t["pattern"], t["by"]).alias("text"), (a["hits"] + F.regexp_count(a["text"], t["pattern"])).alias("hits"))
-        return F.when(found, changed).otherwise(a)
+    def correct(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        corrector = Corrector(ordered)
+        for texts in batches:
+            yield pd.DataFrame([(None, 0) if t is None else corrector(t) for t in texts], columns=["text", "hits"])
 
-    fixed_ = rows.crossJoin(F.broadcast(listed)).withColumn("fixed_", F.aggregate("terms_", start, step))
+    fixed_ = rows.withColumn("fixed_", F.pandas_udf(correct, "text string, hits int")("text"))
     names = [c for c in rows.columns if c != "text"]
     return fixed_.select(*names, F.col("fixed_.text").alias("text"), F.col("fixed_.hits").alias("hits"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import fixed
 from lectern.functions import text as T
 
 META = """id string, title string, uploader string, channel string, duration double, webpage_url string, description string,
@@ -89,5 +90,5 @@ def series_summary(parts: DataFrame, total: DataFrame) -> DataFrame:
     sums = parts.groupBy("series_id").agg(F.min_by("title", "part").alias("first"), F.count("*").alias("selected"), (F.coalesce(F.sum("duration"), F.lit(0.0)) / 60).alias("minutes"))
     title = F.regexp_replace(F.coalesce("first", F.lit("")), "^[^\\p{L}\\p{N}_]+", "")
     joined = sums.join(total, "series_id")
-    subtitle = F.format_string("%d 集合集 · 共 %d 个分 P · 约 %d 分钟", "selected", "total_parts", F.bround("minutes", 0).cast("long"))
-    return joined.select("series_id", F.when(title == "", "合集").otherwise(title).alias("title"), subtitle.alias("subtitle"), "selected", "total_parts", "minutes")
+    subtitle = F.format_string(fixed.SERIES_SUBTITLE, "selected", "total_parts", F.bround("minutes", 0).cast("long"))
+    return joined.select("series_id", F.when(title == "", fixed.SERIES_TITLE).otherwise(title).alias("title"), subtitle.alias("subtitle"), "selected", "total_parts", "minutes")

@@ -1,92 +1,16 @@
-"""Slides from frames with recognised text: decoration, islands of equal frames, title cards, representatives."""
+"""Slides from frames with clean text (operators.decoration): islands of equal frames, title cards, representatives."""
 
 from __future__ import annotations
 
 from collections import deque
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators.fold import fold_by_key
-from lectern.sources.stages import keep
-
-
-def detect_chrome(frames: DataFrame, ratio: float = 0.4, gram_ratio: float = 0.6, gram_min: int = 2, isolated_ratio: float = 0.3, gram_max: int = 8) -> DataFrame:
-    """video_id, chrome: for each video the items that stand on so many of its frames, and the usual ones.
-
-    An n-gram of Han characters that is frequent enough holds only shortest ones that are; these are counted
-    first, and longer ones only where all shortest ones in them have passed.
-    """
-    rows = frames.select("video_id", F.coalesce("text", F.lit("")).alias("text"))
-    runs = F.regexp_extract_all("text", F.lit(f"{fixed.HAN}{{{gram_min},}}"), F.lit(0))
-    alone = F.filter(F.split("text", T.BLANKS), lambda w: w.rlike(f"^{fixed.HAN}$"))
-    shortest = F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, gram_min))))
-    items = F.concat(_of_kind("word", T.tokens("text")), _of_kind("alone", alone), _of_kind("gram", shortest))
-    seen = _counted(rows.select("video_id", F.explode(items).alias("i")).select("video_id", "i.kind", "i.item"))
-    ratios = F.create_map(*[F.lit(x) for x in ("word", ratio, "alone", isolated_ratio, "gram", gram_ratio)])
-    counts = rows.groupBy("video_id").agg(F.count("*").alias("n"))
-    often = seen.join(counts, "video_id").filter(F.col("seen") >= F.col("n") * ratios[F.col("kind")])
-    often = often.filter((F.col("kind") != "word") | (F.length("item") > 1) | F.col("item").rlike("^[\\x00-\\x7f]*$"))
-    sets = often.groupBy("video_id").agg(
-        F.collect_set(F.when(F.col("kind") == "gram", F.col("item"))).alias("passed"),
-        F.collect_set(F.when(F.col("kind") == "word", F.lower("item")).when(F.col("kind") == "alone", F.col("item"))).alias("others"),
-    )
-    none = F.array().cast("array<string>")
-    # kept, as it is read three times below and small beside the frames
-    found = keep(counts.join(sets, "video_id", "left").select("video_id", "n", F.coalesce("passed", none).alias("passed"), F.coalesce("others", none).alias("others")))
-    # one string of all that passed is searched faster than an array
-    listed = F.concat(F.lit("|"), F.array_join("passed", "|"), F.lit("|"))
-    held = rows.join(found.filter(F.size("passed") > 1).select("video_id", listed.alias("passed")), "video_id")
-    marks = F.transform(runs, lambda r: F.struct(r.alias("run"), _marks(r, gram_min).alias("marks")))
-    marked = held.withColumn("marked", F.filter(marks, lambda m: F.contains(m["marks"], F.lit("11"))))
-    longer = F.array_distinct(F.flatten(F.transform("marked", lambda m: _longer(m["run"], m["marks"], gram_min, gram_max))))
-    counted = _counted(marked.select("video_id", F.explode(longer).alias("item")))
-    long_often = counted.join(found.select("video_id", "n"), "video_id").filter(F.col("seen") >= F.col("n") * gram_ratio)
-    long_sets = long_often.groupBy("video_id").agg(F.collect_set("item").alias("long"))
-    usual = F.array(*map(F.lit, fixed.CHROME_WORDS))
-    every = F.array_distinct(F.concat(usual, "others", "passed", F.coalesce("long", none)))
-    return found.join(long_sets, "video_id", "left").select("video_id", F.array_sort(every).alias("chrome"))
-
-
-def _of_kind(kind: str, items: Column) -> Column:
-    return F.transform(items, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("item")))
-
-
-def _counted(items: DataFrame) -> DataFrame:
-    """items with seen. Counted on all columns, where a large video is many groups, and before anything is moved."""
-    return items.groupBy(*items.columns).agg(F.count("*").alias("seen"))
-
-
-def _grams(run: Column, size: int) -> Column:
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - size + 1))
-    return F.filter(F.transform(places, lambda i: F.substr(run, i, F.lit(size))), lambda g: F.length(g) == size)
-
-
-def _marks(run: Column, size: int) -> Column:
-    """A 1 for each place at which the shortest n-gram has passed, else a 0."""
-    return F.array_join(F.transform(_grams(run, size), lambda g: F.when(F.contains(F.col("passed"), F.concat(F.lit("|"), g, F.lit("|"))), "1").otherwise("0")), "")
-
-
-def _longer(run: Column, marks: Column, least: int, most: int) -> Column:
-    """The n-grams of a run longer than least, in which all shortest ones have passed."""
-
-    def of_size(size: Column) -> Column:
-        ones = F.repeat(F.lit("1"), size - least + 1)
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marks)))
-        return F.transform(F.filter(places, lambda i: F.substr(marks, i, size - least + 1) == ones), lambda i: F.substr(run, i, size))
-
-    return F.flatten(F.transform(F.sequence(F.lit(least + 1), F.lit(most)), of_size))
-
-
-def clean_frames(frames: DataFrame, **ratios: float) -> DataFrame:
-    """frames with clean, their text without the video's decoration."""
-    joined = frames.join(detect_chrome(frames, **ratios), "video_id")
-    # exploding one value keeps Spark from copying the long expression into each later use of it
-    return joined.select(*frames.columns, F.explode(F.array(T.clean_slide("text", "chrome"))).alias("clean"))
 
 
 def _islands(cleaned: DataFrame, sim: float) -> DataFrame:

@@ -46,9 +46,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A description with the time of each turn for two videos of three."""
+    """A description with the time and first sentence of each turn for two videos of three."""
     first = segments(spark, sf_dir).groupBy("video_id", "turn").agg(F.min_by("start", "seq").alias("start"), F.min_by("piece", "seq").alias("piece"))
-    line = F.format_string("· %02d:%02d - %s", F.floor(F.col("start") / 60).cast("int"), (F.floor("start") % 60).cast("int"), F.substring("piece", 1, 24))
+    line = F.format_string("· %02d:%02d - %s", F.floor(F.col("start") / 60).cast("int"), (F.floor("start") % 60).cast("int"), "piece")
     lines = F.array_join(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))["line"], "\n")
     listed = first.groupBy("video_id").agg(lines.alias("lines"))
     return listed.select("video_id", F.when(F.col("video_id").cast("long") % 3 == 2, "no times").otherwise(F.concat(F.lit("intro\n"), "lines")).alias("description"))
@@ -65,10 +65,10 @@ def segs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source as the parts of a series."""
+    """Documents of a source as the parts of a series, named by their first sentence."""
     docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
     place = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    title = F.format_string("%d-%d.%s-1080P 高清-AVC", F.col("doc_id") % 7, F.col("doc_id") % 5, F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 20))
+    title = F.format_string("%d-%d.%s-1080P 高清-AVC", F.col("doc_id") % 7, F.col("doc_id") % 5, F.regexp_replace(F.regexp_extract("text", "^[^.\n]*", 0), "[^A-Za-z ]", ""))
     return docs.select(F.col("source").alias("series_id"), (place - 1).alias("pos"), place.alias("index"), title.alias("title"), (F.col("n_chars") / F.lit(10.0)).alias("duration"), "doc_id")
 
 
@@ -108,7 +108,7 @@ VIEWS = {
     ),
     "videos": (
         ["segments"],
-        """SELECT video_id, CASE WHEN CAST(video_id AS BIGINT) % 3 = 2 THEN 'no times' ELSE 'intro' || chr(10) || string_agg(printf('· %02d:%02d - %s', CAST(floor(start / 60) AS INT), CAST(floor(start) AS INT) % 60, substr(piece, 1, 24)), chr(10) ORDER BY turn) END AS description
+        """SELECT video_id, CASE WHEN CAST(video_id AS BIGINT) % 3 = 2 THEN 'no times' ELSE 'intro' || chr(10) || string_agg(printf('· %02d:%02d - %s', CAST(floor(start / 60) AS INT), CAST(floor(start) AS INT) % 60, piece), chr(10) ORDER BY turn) END AS description
   FROM (SELECT video_id, turn, min_by(start, seq) AS start, min_by(piece, seq) AS piece FROM segments GROUP BY ALL) GROUP BY video_id""",
     ),
     "segs": (
@@ -120,7 +120,7 @@ VIEWS = {
     "parts": (
         [],
         """SELECT source AS series_id, CAST(row_number() OVER w - 1 AS INT) AS pos, CAST(row_number() OVER w AS INT) AS index,
-    printf('%d-%d.%s-1080P 高清-AVC', doc_id % 7, doc_id % 5, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 20)) AS title, CAST(n_chars AS DOUBLE) / 10.0::DOUBLE AS duration, doc_id
+    printf('%d-%d.%s-1080P 高清-AVC', doc_id % 7, doc_id % 5, regexp_replace(regexp_extract(text, '^[^.\n]*', 0), '[^A-Za-z ]', '', 'g')) AS title, CAST(n_chars AS DOUBLE) / 10.0::DOUBLE AS duration, doc_id
   FROM documents WHERE source IS NOT NULL WINDOW w AS (PARTITION BY source ORDER BY doc_id)""",
     ),
     "files": (

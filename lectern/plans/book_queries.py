@@ -14,11 +14,11 @@ from lectern.operators import chapters as C
 from lectern.operators import hygiene as H
 from lectern.operators import ledger as L
 from lectern.operators import series as SE
-from lectern.operators import slides as SL
 from lectern.plans import adapters as A
 from lectern.plans.adapters import with_views
 from lectern.plans.catalog import query
 from lectern.plans.chapter_queries import TOC, by_time
+from lectern.plans.slide_queries import CLEANED, TEXT_PICKS, representatives
 from lectern.plans.text_queries import part_title_sql, tidy_sql, ui_sql
 from lectern.sources.stages import keep
 
@@ -78,29 +78,26 @@ def placed_sql(rows: str, time: str) -> str:
     return f"placed AS (SELECT r.*, CAST(greatest(coalesce({stop}, r.hi) - 1, r.lo) AS INT) AS para_index FROM {rows} r)"
 
 
-FIGURES = f"""chapters AS (SELECT * FROM by_time), {TIMES},
+def figures_sql(most: int) -> str:
+    """placed: at most so many slides of spoken a chapter, each in one chapter, with paragraph."""
+    return f"""chapters AS (SELECT * FROM by_time), {TIMES},
   inside AS MATERIALIZED (SELECT c.video_id, c.ch, list(s.t0 ORDER BY s.t0) FILTER (s.t0 IS NOT NULL) AS cand FROM times c LEFT JOIN spoken s ON s.video_id = c.video_id AND s.t0 >= c.t_lo - 5 AND s.t0 <= c.t_hi AND length(s.title) >= 6 WHERE c.lo < c.n GROUP BY ALL),
   ur AS (
     SELECT video_id, 0 AS ch, []::DOUBLE[] AS used, []::DOUBLE[] AS picks FROM inside WHERE ch = 1
     UNION ALL
     SELECT i.video_id, i.ch, list_concat(ur.used, k.picks), k.picks FROM ur JOIN inside i ON i.video_id = ur.video_id AND i.ch = ur.ch + 1,
       LATERAL (SELECT list_filter(coalesce(i.cand, []), lambda t: NOT list_contains(ur.used, t)) AS free) AS f,
-      LATERAL (SELECT CASE WHEN len(f.free) > 2 THEN list_transform(range(2), lambda x: f.free[CAST(floor(x * (len(f.free) / 2.0::DOUBLE)) AS INT) + 1]) ELSE f.free END AS picks) AS k
+      LATERAL (SELECT CASE WHEN len(f.free) > {most} THEN list_transform(range({most}), lambda x: f.free[CAST(floor(x * (len(f.free) / {most}.0::DOUBLE)) AS INT) + 1]) ELSE f.free END AS picks) AS k
   ), picked AS (SELECT video_id, ch, unnest(range(1, len(picks) + 1)) AS k, unnest(picks) AS t0 FROM ur WHERE ch > 0),
   pt AS (SELECT picked.*, lo, hi FROM picked JOIN times USING (video_id, ch)), {placed_sql("pt", "t0")}"""
 
 
-@query(
-    "w9_j5_j6_to_figures",
-    with_views(
-        ["frames", "segments", "paras"],
-        f""", {SLIDES}, {SPOKEN}, {by_time(None)}, {FIGURES}
-    SELECT p.video_id, p.ch AS chapter, CAST(p.k AS INT) AS k, p.para_index, 'before' AS pos, s.file, p.t0 AS t, s.t1, {A._hms("p.t0")} AS t_str, s.title,
+FIGURE_ROWS = f"""SELECT p.video_id, p.ch AS chapter, CAST(p.k AS INT) AS k, p.para_index, 'before' AS pos, s.file, p.t0 AS t, s.t1, {A._hms("p.t0")} AS t_str, s.title,
       CASE WHEN {ui_sql("s.title")} THEN printf('图 %d-%d　视频 %s 处画面', p.ch, p.k, {A._hms("p.t0")}) ELSE printf('图 %d-%d　%s', p.ch, p.k, s.title) END AS caption, {ui_sql("s.title")} AS caption_fallback,
-      round(s.t1 - p.t0, 1) AS span, s.dup_to_prev, substr(s.text, 1, 160) AS ocr, substr(s.speech, 1, 600) AS speech FROM placed p JOIN spoken s USING (video_id, t0)""",
-        recursive=True,
-    ),
-)
+      round(s.t1 - p.t0, 1) AS span, s.dup_to_prev, substr(s.text, 1, 160) AS ocr, substr(s.speech, 1, 600) AS speech FROM placed p JOIN spoken s USING (video_id, t0)"""
+
+
+@query("w9_j5_j6_to_figures", with_views(["frames", "segments", "paras"], f", {SLIDES}, {SPOKEN}, {by_time(None)}, {figures_sql(2)} {FIGURE_ROWS}", recursive=True))
 def w9(spark: SparkSession, d: str) -> DataFrame:
     return AL.to_figures(spoken(spark, d), by_minutes(spark, d), A.paragraphs(spark, d), most=2)
 
@@ -143,7 +140,7 @@ def j7(spark: SparkSession, d: str) -> DataFrame:
     return shown(spark, d)
 
 
-GLOSSARY = """glossary AS MATERIALIZED (SELECT video_id, 1 AS ord, substr(text, 5, 4) || '（x）' AS term, 'desc ' || para_idx AS desc_, CASE WHEN CAST(video_id AS BIGINT) % 5 = 0 THEN '00:00:09' ELSE '' END AS given FROM paras WHERE para_idx = 1
+GLOSSARY = """glossary AS MATERIALIZED (SELECT video_id, 1 AS ord, regexp_extract(text, '[^ ]*$', 0) || '（x）' AS term, 'desc ' || para_idx AS desc_, CASE WHEN CAST(video_id AS BIGINT) % 5 = 0 THEN '00:00:09' ELSE '' END AS given FROM paras WHERE para_idx = 1
     UNION ALL SELECT video_id, 2, 'nowhere/' || video_id, 'none', NULL FROM paras WHERE para_idx = 2),
   mentioned AS MATERIALIZED (SELECT g.video_id, g.ord, term, desc_, coalesce(nullif(given, ''), CASE WHEN trim(regexp_extract(term, '^([^（(/]*)', 1)) <> '' THEN (SELECT min_by(t, para_idx) FROM paras p WHERE p.video_id = g.video_id AND contains(p.text, trim(regexp_extract(term, '^([^（(/]*)', 1)))) END, '') AS said FROM glossary g)"""
 
@@ -151,7 +148,7 @@ GLOSSARY = """glossary AS MATERIALIZED (SELECT video_id, 1 AS ord, substr(text,
 def glossary(spark: SparkSession, d: str) -> DataFrame:
     paras = A.paragraphs(spark, d)
     given = F.when(F.col("video_id").cast("long") % 5 == 0, "00:00:09").otherwise("")
-    one = paras.filter("para_idx = 1").select("video_id", F.lit(1).alias("ord"), F.concat(F.substring("text", 5, 4), F.lit("（x）")).alias("term"), F.concat(F.lit("desc "), F.col("para_idx").cast("string")).alias("desc"), given.alias("at"))
+    one = paras.filter("para_idx = 1").select("video_id", F.lit(1).alias("ord"), F.concat(F.regexp_extract("text", "[^ ]*$", 0), F.lit("（x）")).alias("term"), F.concat(F.lit("desc "), F.col("para_idx").cast("string")).alias("desc"), given.alias("at"))
     two = paras.filter("para_idx = 2").select("video_id", F.lit(2).alias("ord"), F.concat(F.lit("nowhere/"), "video_id").alias("term"), F.lit("none").alias("desc"), F.lit(None).cast("string").alias("at"))
     return one.unionByName(two)
 
@@ -162,8 +159,8 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def book_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    paras, chapters = A.paragraphs(spark, d), by_minutes(spark, d)
-    number = F.col("video_id").cast("long")
+    paras, number = A.paragraphs(spark, d), F.col("video_id").cast("long")
+    chapters = by_minutes(spark, d).withColumn("intro", F.when(F.col("ch") % 2 == 0, F.format_string("about %d", "ch")))
     meta = paras.filter("para_idx = 0").select(
         "video_id",
         F.concat(F.lit('Book "'), "video_id", F.lit('"')).alias("title"),
@@ -176,7 +173,7 @@ def book_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
         F.when(number % 2 == 1, "http://v?x=1").alias("time_link"),
         F.when(number % 7 == 0, 4).alias("content_frames"),
     )
-    quotes = paras.filter("para_idx = 3").select("video_id", F.lit(1).alias("ord"), F.substring("text", 1, 20).alias("text"), F.col("t").alias("at"))
+    quotes = paras.filter("para_idx = 3").select("video_id", F.lit(1).alias("ord"), "text", F.col("t").alias("at"))
     return meta, chapters, paras, shown(spark, d), glossary(spark, d), quotes
 
 
@@ -189,13 +186,13 @@ LINES = f"""meta AS (SELECT video_id, CAST(video_id AS BIGINT) AS v FROM paras W
     UNION ALL SELECT video_id, [2, -1, 0], ['# 目录与时间轴', '', '| 章 | 标题 | 视频时间 | 字数 |', '|---|---|---|---|'] FROM meta
     UNION ALL SELECT video_id, [2, ch, 0], [printf('| %d | %s | %s | %d |', ch, title, stamp, chars)] FROM toc
     UNION ALL SELECT video_id, [2, 1000000, 0], [''] FROM meta
-    UNION ALL SELECT video_id, [3, ch, -1], list_concat([printf('# 第%d章 %s', ch, title), ''], CASE WHEN stamp <> '-' THEN ['> 视频时间点：' || stamp || ' 起' || CASE WHEN CAST(video_id AS BIGINT) % 2 = 1 THEN '（[跳转原片](http://v?x=1&t=' || CAST(trunc(start) AS BIGINT) || ')）' ELSE '' END, ''] ELSE [] END) FROM cs
+    UNION ALL SELECT video_id, [3, ch, -1], list_concat([printf('# 第%d章 %s', ch, title), ''], CASE WHEN stamp <> '-' THEN ['> 视频时间点：' || stamp || ' 起' || CASE WHEN CAST(video_id AS BIGINT) % 2 = 1 THEN '（[跳转原片](http://v?x=1&t=' || CAST(trunc(start) AS BIGINT) || ')）' ELSE '' END, ''] ELSE [] END, CASE WHEN ch % 2 = 0 THEN ['【本章导读】about ' || ch, ''] ELSE [] END) FROM cs
     UNION ALL SELECT p.video_id, [3, c.ch, p.para_idx * 4 + 1], [p.text, ''] FROM paras p JOIN chapters c ON c.video_id = p.video_id AND p.para_idx >= c.from_idx AND p.para_idx < c.to_idx
     UNION ALL SELECT video_id, [3, ch, para_index * 4 + CASE WHEN pos = 'before' THEN 0 ELSE 2 END], flatten(list([line, ''] ORDER BY k, line)) FROM cf GROUP BY video_id, ch, para_index, pos
     UNION ALL SELECT DISTINCT video_id, [4, -1, 0], ['# 附录A · 术语表', '', '| 术语 | 说明 | 出现位置 |', '|---|---|---|'] FROM mentioned
     UNION ALL SELECT video_id, [4, ord, 0], ['| ' || term || ' | ' || desc_ || ' | ' || said || ' |'] FROM mentioned
     UNION ALL SELECT DISTINCT video_id, [4, 1000000, 0], [''] FROM mentioned
-    UNION ALL SELECT video_id, [5, 0, 0], ['# 附录B · 金句集', '', '- ' || substr(text, 1, 20) || '（' || t || '）', ''] FROM paras WHERE para_idx = 3
+    UNION ALL SELECT video_id, [5, 0, 0], ['# 附录B · 金句集', '', '- ' || text || '（' || t || '）', ''] FROM paras WHERE para_idx = 3
     UNION ALL SELECT video_id, [6, 0, 0], ['# 附录C · 版权与来源说明', '', 'from', 'there', ''] FROM meta WHERE v % 3 = 0
   ), lx AS (SELECT video_id, o, unnest(range(len(l))) AS n, unnest(l) AS line FROM ln),
   books AS MATERIALIZED (SELECT video_id, string_agg(line, chr(10) ORDER BY o, n) AS book FROM lx GROUP BY video_id)"""
@@ -238,7 +235,7 @@ def f20(spark: SparkSession, d: str) -> DataFrame:
         ["frames", "paras"],
         f""", {BOOKS}, {RENDERED}, doc AS (SELECT video_id, regexp_replace(string_agg(body, '' ORDER BY ch), '<[^>]+>', '', 'g') AS plain FROM rendered GROUP BY video_id),
     cv AS (SELECT p.video_id, CAST(sum(length(p.text)) AS BIGINT) AS src_chars, count(*) AS paragraphs, count(*) FILTER (contains(coalesce(plain, ''), substr(p.text, 1, 24))) AS covered FROM paras p LEFT JOIN doc USING (video_id) GROUP BY p.video_id)
-    SELECT video_id, src_chars, paragraphs, covered, round(covered / paragraphs * 100, 1) AS coverage, round(covered / paragraphs * 100, 1) >= 98 AS ok, n AS chapters FROM cv JOIN (SELECT video_id, count(*) AS n FROM by_time GROUP BY video_id) USING (video_id)""",
+    SELECT video_id, src_chars, paragraphs, covered, round(covered / paragraphs * 100, 1) AS coverage, round(covered / paragraphs * 100, 1) >= 98 AS ok, n AS chapters, coalesce(images, 0) AS images FROM cv LEFT JOIN (SELECT video_id, count(DISTINCT src) AS images FROM (SELECT video_id, unnest(regexp_extract_all(body, '<img src="([^"]*)"', 1)) AS src FROM rendered) GROUP BY video_id) USING (video_id) JOIN (SELECT video_id, count(*) AS n FROM by_time GROUP BY video_id) USING (video_id)""",
     ),
 )
 def a6(spark: SparkSession, d: str) -> DataFrame:
@@ -363,10 +360,16 @@ def mark(spark: SparkSession, d: str) -> DataFrame:
     return L.mark(ledger(spark, d), done, "clean")
 
 
-@query("wb_slides_to_figures")
+GATED = "spoken AS MATERIALIZED (SELECT * FROM said WHERE video_id IN (SELECT video_id FROM said GROUP BY video_id HAVING count(*) >= 5))"
+
+
+@query(
+    "wb_slides_to_figures",
+    with_views(["frames", "segments", "paras"], f", {CLEANED}, {TEXT_PICKS}, slides AS MATERIALIZED (SELECT * FROM picks), {SPOKEN.replace('spoken AS', 'said AS', 1)}, {GATED}, {by_time(None)}, {figures_sql(8)} {FIGURE_ROWS}", recursive=True),
+)
 def wb(spark: SparkSession, d: str) -> DataFrame:
     """From frames by decoration, representatives, speech and gate to figures."""
-    picks = keep(SL.select_representatives(SL.clean_frames(A.frames(spark, d))))
+    picks = keep(representatives(spark, d))
     said = keep(AL.attach_speech(picks, A.segments(spark, d)))
     gate = AL.talking_head_gate(A.frames(spark, d).select("video_id").distinct(), said)
     free = AL.figure_free(said, gate)

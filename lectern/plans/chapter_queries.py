@@ -11,7 +11,7 @@ from lectern.operators import slides as SL
 from lectern.plans import adapters as A
 from lectern.plans.adapters import with_views
 from lectern.plans.catalog import query
-from lectern.plans.slide_queries import CARDS
+from lectern.plans.slide_queries import CARDS, FOLDED
 from lectern.plans.text_queries import MARK, tidy_sql
 
 TIMED = r"^\s*[(\[]?((?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2})[)\]]?\s*[-–—:：]?\s*(.+?)\s*$"
@@ -109,7 +109,7 @@ def wa(spark: SparkSession, d: str) -> DataFrame:
     return C.chapter_toc(C.chapters_by_time(paras, minutes=0.5), paras)
 
 
-@query("wa_speech_to_toc")
+@query("wa_speech_to_toc", with_views(["segments"], f", {FOLDED}, paras AS MATERIALIZED (SELECT * FROM folded), {by_time(None)}, chapters AS (SELECT * FROM by_time), {TOC} SELECT * FROM toc", recursive=True))
 def wa_speech(spark: SparkSession, d: str) -> DataFrame:
     """From segments by the fold to paragraphs, their chapters by time and contents."""
     paras = S.to_paragraphs(A.segments(spark, d))

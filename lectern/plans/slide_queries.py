@@ -6,30 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
+from lectern.operators import decoration as D
 from lectern.operators import segments as S
 from lectern.operators import slides as SL
 from lectern.plans import adapters as A
 from lectern.plans.adapters import with_views
 from lectern.plans.catalog import query
-from lectern.plans.text_queries import FILLER, HAN, MARK, jaccard_sql, ngrams_sql, signatures, signatures_sql, tidy_sql, tokens_lower_sql, tokens_sql, ui_sql
+from lectern.plans.text_queries import FILLER, HAN, MARK, jaccard_sql, signatures, signatures_sql, tidy_sql, tokens_lower_sql, tokens_sql, ui_sql
 
 
-@query(
-    "w1_to_paragraphs",
-    with_views(
-        ["segments"],
-        f""", k AS MATERIALIZED (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS n, start, "end", trim(text) AS text FROM segments WHERE NOT regexp_matches(trim(text), '{FILLER}')),
-    r AS (
-      SELECT video_id, n, 0 AS para_idx, start, "end", text, false AS closed FROM k WHERE n = 1
-      UNION ALL
-      SELECT k.video_id, k.n, CASE WHEN r.closed THEN r.para_idx + 1 ELSE r.para_idx END, CASE WHEN r.closed THEN k.start ELSE r.start END, k."end", CASE WHEN r.closed THEN k.text ELSE r.text || k.text END,
-        NOT r.closed AND (k.start - r."end" > 0.9::DOUBLE OR length(r.text || k.text) >= 200 OR (length(r.text || k.text) >= 110 AND right(k.text, 1) IN ('。', '！', '？', '”')))
-      FROM r JOIN k ON k.video_id = r.video_id AND k.n = r.n + 1
-    ), last AS (SELECT *, row_number() OVER (PARTITION BY video_id, para_idx ORDER BY n DESC) AS back FROM r)
-    SELECT video_id, para_idx, start, "end", trim(text) AS text, {A._hms("start")} AS t FROM last WHERE back = 1""",
-        recursive=True,
-    ),
-)
+#: Paragraphs of segments, one recursive step a segment.
+FOLDED = f"""k AS MATERIALIZED (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS n, start, "end", trim(text) AS text FROM segments WHERE NOT regexp_matches(trim(text), '{FILLER}')),
+  r AS (
+    SELECT video_id, n, 0 AS para_idx, start, "end", text, false AS closed FROM k WHERE n = 1
+    UNION ALL
+    SELECT k.video_id, k.n, CASE WHEN r.closed THEN r.para_idx + 1 ELSE r.para_idx END, CASE WHEN r.closed THEN k.start ELSE r.start END, k."end", CASE WHEN r.closed THEN k.text ELSE r.text || k.text END,
+      NOT r.closed AND (k.start - r."end" > 0.9::DOUBLE OR length(r.text || k.text) >= 200 OR (length(r.text || k.text) >= 110 AND right(k.text, 1) IN ('。', '！', '？', '”')))
+    FROM r JOIN k ON k.video_id = r.video_id AND k.n = r.n + 1
+  ), last AS (SELECT *, row_number() OVER (PARTITION BY video_id, para_idx ORDER BY n DESC) AS back FROM r),
+  folded AS MATERIALIZED (SELECT video_id, para_idx, start, "end", trim(text) AS text, {A._hms("start")} AS t FROM last WHERE back = 1)"""
+
+
+@query("w1_to_paragraphs", with_views(["segments"], f", {FOLDED} SELECT * FROM folded", recursive=True))
 def w1(spark: SparkSession, d: str) -> DataFrame:
     return S.to_paragraphs(A.segments(spark, d))
 
@@ -61,12 +59,12 @@ CLEANED = rf"""{CHROME},
 
 @query("a1_detect_chrome", with_views(["frames"], f", {CHROME} SELECT video_id, chrome FROM chrome"))
 def a1(spark: SparkSession, d: str) -> DataFrame:
-    return SL.detect_chrome(A.frames(spark, d))
+    return D.detect_chrome(A.frames(spark, d))
 
 
 @query("f11_clean_slide", with_views(["frames"], f", {CLEANED} SELECT video_id, index, clean FROM cleaned"))
 def f11(spark: SparkSession, d: str) -> DataFrame:
-    return SL.clean_frames(A.frames(spark, d)).select("video_id", "index", "clean")
+    return D.clean_frames(A.frames(spark, d)).select("video_id", "index", "clean")
 
 
 ISLANDS = f"""tk AS (SELECT *, {tokens_sql("clean")} AS toks FROM cleaned),
@@ -77,7 +75,7 @@ ISLANDS = f"""tk AS (SELECT *, {tokens_sql("clean")} AS toks FROM cleaned),
 
 @query("w2_slide_segments", with_views(["frames"], f", {CLEANED}, {ISLANDS} SELECT video_id, seg, min_by(t, index) AS t, any_value(trim(longest)) AS text, CAST(any_value(length(trim(longest))) AS INT) AS chars FROM best GROUP BY video_id, seg"))
 def w2(spark: SparkSession, d: str) -> DataFrame:
-    return SL.slide_segments(SL.clean_frames(A.frames(spark, d)))
+    return SL.slide_segments(D.clean_frames(A.frames(spark, d)))
 
 
 @query(
@@ -89,7 +87,7 @@ def w2(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def w3(spark: SparkSession, d: str) -> DataFrame:
-    return SL.slide_intervals(SL.clean_frames(A.frames(spark, d)))
+    return SL.slide_intervals(D.clean_frames(A.frames(spark, d)))
 
 
 @query(
@@ -128,28 +126,48 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
     return SL.pick_title_cards(A.segs(spark, d))
 
 
+def picks_sql(candidates: str, img: str) -> str:
+    """picks of candidates (cleaned frames with threshold and sig). Likeness to all earlier frames of a video is counted first, so that the recursion holds numbers only."""
+    return rf"""qk AS MATERIALIZED (SELECT *, regexp_replace(clean, '[^\x{{4e00}}-\x{{9fff}}A-Za-z0-9]', '', 'g') AS kept FROM ({candidates}) WHERE length(clean) >= 8 AND NOT {ui_sql("clean")}),
+  q0 AS (SELECT *, list_distinct(list_transform(range(1, length(kept) - 2), lambda i: substr(kept, i, 4))) AS grams FROM qk),
+  q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY index) AS k FROM q0 WHERE len(grams) > 0),
+  qg AS (SELECT video_id, k, unnest(grams) AS g FROM q),
+  qc AS (SELECT a.video_id, a.k, b.k AS k0, count(*) AS both_ FROM qg a JOIN qg b ON b.video_id = a.video_id AND b.g = a.g AND b.k < a.k GROUP BY ALL),
+  ql AS MATERIALIZED (SELECT a.video_id, a.k, list(CAST(coalesce(both_, 0) AS DOUBLE) / greatest(1, len(a.grams) + len(b.grams) - coalesce(both_, 0)) ORDER BY b.k) AS dups, list({img} ORDER BY b.k) AS imgs
+    FROM q a JOIN q b ON b.video_id = a.video_id AND b.k < a.k LEFT JOIN qc ON qc.video_id = a.video_id AND qc.k = a.k AND qc.k0 = b.k GROUP BY a.video_id, a.k),
+  qn AS MATERIALIZED (SELECT video_id, k, threshold, sig IS NULL AS blind, dups, imgs FROM q LEFT JOIN ql USING (video_id, k)),
+  rr AS (
+    SELECT video_id, k, true AS picked, 0.0::DOUBLE AS dup, 0.0::DOUBLE AS img, [k] AS recent FROM qn WHERE k = 1
+    UNION ALL
+    SELECT qn.video_id, qn.k, ok, d.dup, i.img, CASE WHEN ok THEN list_concat(rr.recent, [qn.k])[-4:] ELSE rr.recent END
+    FROM rr JOIN qn ON qn.video_id = rr.video_id AND qn.k = rr.k + 1,
+      LATERAL (SELECT list_max(list_transform(rr.recent, lambda x: qn.dups[x])) AS dup) AS d,
+      LATERAL (SELECT CASE WHEN qn.blind THEN 0.0 ELSE greatest(0.0, coalesce(list_max(list_transform(rr.recent, lambda x: qn.imgs[x])), 0.0)) END AS img) AS i,
+      LATERAL (SELECT d.dup <= 0.35 AND (qn.blind OR i.img <= qn.threshold) AS ok) AS o
+  ), pk AS (SELECT q.*, dup, rr.img AS img FROM rr JOIN q USING (video_id, k) WHERE picked),
+  picks AS MATERIALIZED (SELECT video_id, CAST(row_number() OVER w - 1 AS INT) AS pick, t AS t0, coalesce(lead(t) OVER w, t + 10) AS t1, file, clean AS text, {tidy_sql("clean")} AS title, CAST(length(clean) AS INT) AS chars, round(dup, 6) AS dup_to_prev, round(img, 4) AS img_dup
+    FROM pk WINDOW w AS (PARTITION BY video_id ORDER BY index))"""
+
+
 @query(
     "w6_select_representatives",
     with_views(
         ["frames"],
         f""", {CLEANED}, {signatures_sql()},
     th AS (SELECT video_id, greatest(near, 0.66::DOUBLE) AS threshold FROM (SELECT video_id, near, row_number() OVER (PARTITION BY video_id ORDER BY near, index) - 1 AS place, count(*) OVER (PARTITION BY video_id) AS m FROM n WHERE index > 0) WHERE place = m // 2),
-    q0 AS (SELECT cleaned.*, s.sig, coalesce(th.threshold, 0.66::DOUBLE) AS threshold, {ngrams_sql("clean")} AS grams FROM cleaned LEFT JOIN s USING (video_id, index) LEFT JOIN th USING (video_id) WHERE length(clean) >= 8 AND NOT {ui_sql("clean")}),
-    q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY index) AS k FROM q0 WHERE len(grams) > 0),
-    rr AS (
-      SELECT video_id, k, true AS picked, 0.0::DOUBLE AS dup, 0.0::DOUBLE AS img, [{{'g': grams, 's': sig}}] AS recent FROM q WHERE k = 1
-      UNION ALL
-      SELECT q.video_id, q.k, ok, d.dup, i.img, CASE WHEN ok THEN list_concat(rr.recent, [{{'g': q.grams, 's': q.sig}}])[-4:] ELSE rr.recent END
-      FROM rr JOIN q ON q.video_id = rr.video_id AND q.k = rr.k + 1,
-        LATERAL (SELECT list_max(list_transform(rr.recent, lambda x: {jaccard_sql("x.g", "q.grams")})) AS dup) AS d,
-        LATERAL (SELECT CASE WHEN q.sig IS NULL THEN 0.0 ELSE greatest(0.0, coalesce(list_max(list_transform(rr.recent, lambda x: list_sum(list_transform(list_zip(x.s, q.sig), lambda p: p[1] * p[2])) / len(q.sig))), 0.0)) END AS img) AS i,
-        LATERAL (SELECT d.dup <= 0.35 AND (q.sig IS NULL OR i.img <= q.threshold) AS ok) AS o
-    ), pk AS (SELECT q.*, dup, img FROM rr JOIN q USING (video_id, k) WHERE picked)
-    SELECT video_id, CAST(row_number() OVER w - 1 AS INT) AS pick, t AS t0, coalesce(lead(t) OVER w, t + 10) AS t1, file, clean AS text, {tidy_sql("clean")} AS title, CAST(length(clean) AS INT) AS chars, round(dup, 6) AS dup_to_prev, round(img, 4) AS img_dup
-    FROM pk WINDOW w AS (PARTITION BY video_id ORDER BY index)""",
+    {picks_sql("SELECT cleaned.*, s.sig, coalesce(th.threshold, 0.66::DOUBLE) AS threshold FROM cleaned LEFT JOIN s USING (video_id, index) LEFT JOIN th USING (video_id)", "list_sum(list_transform(list_zip(a.sig, b.sig), lambda p: p[1] * p[2])) / len(a.sig)")}
+    SELECT * FROM picks""",
         recursive=True,
     ),
 )
 def w6(spark: SparkSession, d: str) -> DataFrame:
-    found = SL.select_representatives(SL.clean_frames(A.frames(spark, d)), signatures(spark, d))
+    return representatives(spark, d, signatures(spark, d))
+
+
+def representatives(spark: SparkSession, d: str, signatures: DataFrame | None = None) -> DataFrame:
+    found = SL.select_representatives(D.clean_frames(A.frames(spark, d)), signatures)
     return found.withColumns({"dup_to_prev": F.round("dup_to_prev", 6), "img_dup": F.round("img_dup", 4)})
+
+
+#: picks without signatures.
+TEXT_PICKS = picks_sql("SELECT *, NULL::DOUBLE[] AS sig, 0.66::DOUBLE AS threshold FROM cleaned", "0.0::DOUBLE")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import align as AL
 from lectern.operators import book as B
 from lectern.operators import chapters as C
+from lectern.operators import decoration as D
 from lectern.operators import hygiene as H
 from lectern.operators import ordered as O
 from lectern.operators import segments as S
@@ -55,9 +56,9 @@ def frames(spark, texts, step=10.0):
 def test_chrome_and_islands(spark):
     texts = ["向量检索是这样的方法", "向量检索是这样的方法呀", "完全另外的一页内容", "第四页讲到如何切章", "最末页致谢再会"]
     df = frames(spark, ["导航栏 Gen0 " + t for t in texts])
-    chrome = SL.detect_chrome(df).first()["chrome"]
+    chrome = D.detect_chrome(df).first()["chrome"]
     assert "gen0" in chrome and "导航栏" in chrome and "导航" in chrome
-    segs = SL.slide_segments(SL.clean_frames(df)).orderBy("seg").collect()
+    segs = SL.slide_segments(D.clean_frames(df)).orderBy("seg").collect()
     assert [(r["t"], r["text"]) for r in segs] == [(5.0, texts[1]), (25.0, texts[2]), (35.0, texts[3]), (45.0, texts[4])]
 
 
