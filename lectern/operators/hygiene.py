@@ -52,41 +52,57 @@ def flag_large(files: DataFrame, max_mb: float = 5.0) -> DataFrame:
     return files.filter(F.col("size") > max_mb * 1048576).select(_finding("large", "warning", F.format_string("%.1f MB", F.col("size") / 1048576)))
 
 
+def _outside(files: DataFrame) -> DataFrame:
+    """files with folders, those of the path, and risky, the first risky one and its place."""
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    named = F.transform("folders_", lambda f, i: F.struct(i.alias("i"), f.alias("f")))
+    return files.withColumn("folders_", folders).withColumn("risky_", F.get(F.filter(named, lambda x: x["f"].rlike(fixed.RISKY_FOLDER)), F.lit(0)))
+
+
+def _not_silent(rows: DataFrame, ignored: DataFrame) -> DataFrame:
+    """rows (root, path) without those in a folder at the root that is ignored."""
+    top = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1))
+    silent = ignored.select(F.col("root").alias("root_"), F.col("name").alias("name_")).distinct()
+    return rows.withColumn("top_", top).join(silent, (F.col("root") == F.col("root_")) & (F.col("top_") == F.col("name_")), "left_anti").drop("top_")
+
+
 def prune_folders(files: DataFrame, ignored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files outside of ignored and risky folders, and a finding for each risky folder.
+    """root, path, size of files outside of ignored and risky folders, and a finding for each risky folder.
 
-    ignored: root, name. A folder at the root that is ignored goes silently; a risky one, the first on a
-    path, is blocking, but a warning at the root or if its name is ignored; what is inside is not looked at.
+    ignored: root, name. A folder at the root that is ignored goes silently; a risky one, the first on a path, is
+    blocking, but a warning at the root or if its name is ignored; what is inside is not looked at. Texts are not read.
     """
-    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    names = ignored.groupBy("root").agg(F.collect_set("name").alias("ignored"))
-    listed = files.withColumn("folders", folders).join(names, "root", "left").withColumn("ignored", F.coalesce("ignored", F.array().cast("array<string>")))
-    silent = F.coalesce(F.array_contains("ignored", F.get("folders", F.lit(0))), F.lit(False))
-    risky = F.filter(F.transform("folders", lambda f, i: F.struct(i.alias("i"), f.alias("f"))), lambda x: x["f"].rlike(fixed.RISKY_FOLDER))
-    listed = listed.filter(~silent).withColumn("risky", F.get(risky, F.lit(0)))
-    clean = listed.filter("risky IS NULL").select(*files.columns)
-    level = F.when((F.col("risky.i") == 0) | F.array_contains("ignored", F.col("risky.f")), "warning").otherwise("blocking")
-    at = F.array_join(F.slice("folders", 1, F.col("risky.i") + 1), "/")
-    found = listed.filter("risky IS NOT NULL").select("root", at.alias("path"), level.alias("level")).distinct()
-    return clean, found.select(_finding("folder", F.col("level"), F.lit("")))
+    listed = _outside(_not_silent(files.select("root", "path", "size"), ignored))
+    clean = listed.filter("risky_ IS NULL").select("root", "path", "size")
+    at = F.array_join(F.slice("folders_", 1, F.col("risky_.i") + 1), "/")
+    found = listed.filter("risky_ IS NOT NULL").select("root", at.alias("path"), F.col("risky_.f").alias("name"), (F.col("risky_.i") == 0).alias("top")).distinct()
+    known = found.join(ignored.select("root", "name").distinct().withColumn("known", F.lit(True)), ["root", "name"], "left")
+    level = F.when(F.col("top") | F.coalesce("known", F.lit(False)), "warning").otherwise("blocking")
+    return clean, known.select(_finding("folder", level, F.lit("")))
 
 
-def scan(files: DataFrame, ignored: DataFrame, max_mb: float = 5.0) -> DataFrame:
-    """All findings."""
-    clean, folders = prune_folders(files, ignored)
-    return reduce(DataFrame.unionByName, [folders, flag_names(clean), flag_secrets(clean), flag_copyright(clean), flag_large(clean, max_mb)])
+def scan(files: DataFrame, ignored: DataFrame, max_mb: float = 5.0, secret: str = fixed.SECRET, copyright_hint: str = fixed.COPYRIGHT_HINT) -> DataFrame:
+    """All findings. Texts are searched where they lie, and only what is found meets the ignored folders, so no text moves."""
+    seen = _outside(files).filter("risky_ IS NULL")
+    checks = [flag_names(seen), flag_secrets(seen, secret), flag_copyright(seen, copyright_hint), flag_large(seen, max_mb)]
+    return prune_folders(files, ignored)[1].unionByName(_not_silent(reduce(DataFrame.unionByName, checks), ignored))
 
 
 def report(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """root, files, bytes, blocking, warnings, passed."""
+    """root, files, bytes, blocking, warnings, passed; a root whose files all lie in pruned folders has its findings, too."""
     sums = files.groupBy("root").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
     counts = findings.groupBy("root").agg(F.count_if(F.col("level") == "blocking").alias("blocking"), F.count_if(F.col("level") == "warning").alias("warnings"))
-    joined = sums.join(counts, "root", "left").na.fill(0, ["blocking", "warnings"])
+    joined = sums.join(counts, "root", "full").na.fill(0, ["files", "bytes", "blocking", "warnings"])
     return joined.withColumn("passed", F.col("blocking") == 0)
 
 
 def top_findings(findings: DataFrame, most: int = 40) -> DataFrame:
-    """The first findings of each list of a root, and how many more there are."""
-    each = W.partitionBy("root", "level")
-    ranked = findings.withColumns({"place": F.row_number().over(each.orderBy("path", "kind")), "more": F.greatest(F.lit(0), F.count("*").over(each) - most)})
-    return ranked.filter(F.col("place") <= most)
+    """The first findings of each list of a root, and how many more there are.
+
+    Each task keeps its first most rows of a list before any move (Spark's group limit of a window), and
+    counts are sums of counts, so that a root with very many findings is no large group anywhere.
+    """
+    place = F.row_number().over(W.partitionBy("root", "level").orderBy("path", "kind"))
+    first = findings.withColumn("place", place).filter(F.col("place") <= most)
+    counts = findings.groupBy("root", "level").agg(F.greatest(F.lit(0), F.count("*") - most).alias("more"))
+    return first.join(counts, ["root", "level"]).select(*findings.columns, "place", "more")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.functions.search import automaton
-from lectern.operators.fold import fold_by_key
+from lectern.operators.fold import fold_in_chunks
 
 
 def drop_fillers(segments: DataFrame) -> DataFrame:
@@ -53,12 +53,19 @@ class Paragraphs:
     def end(self) -> list[dict[str, Any]]:
         return [self.close()] if self.open else []
 
+    def state(self) -> Any:
+        return self.open and [*self.open[:2], "".join(self.open[2])]
 
-def to_paragraphs(segments: DataFrame, max_len: int = 200, min_sentence: int = 110, gap: float = 0.9) -> DataFrame:
-    """video_id, para_idx, start, end, text, t of the paragraphs that segments merge into."""
+    def resume(self, state: Any) -> None:
+        self.open = state and [*state[:2], [state[2]]]
+        self.length = len(state[2]) if state else 0
+
+
+def to_paragraphs(segments: DataFrame, max_len: int = 200, min_sentence: int = 110, gap: float = 0.9, chunk: int = 16384) -> DataFrame:
+    """video_id, para_idx, start, end, text, t of the paragraphs that segments merge into; chunk: segments of a video in one task."""
     kept = drop_fillers(segments).select("video_id", "seq", "start", "end", "text")
     schema = "video_id string, para_idx int, start double, end double, text string"
-    made = fold_by_key(kept, "video_id", ["seq"], lambda v: Paragraphs(v, max_len, min_sentence, gap), schema)
+    made = fold_in_chunks(kept, "video_id", ["seq"], lambda v: Paragraphs(v, max_len, min_sentence, gap), schema, "para_idx", chunk)
     return made.withColumn("t", T.hms("start"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.fold import fold_by_key
+from lectern.operators.fold import fold_by_key, fold_in_chunks
 
 
 def _islands(cleaned: DataFrame, sim: float) -> DataFrame:
@@ -67,12 +67,21 @@ class Grouped:
         named = {k: self.best[k] for k in ("t", "file", "text", "chars")}
         return [{"video_id": self.video_id, "seg": self.seg, **named, "first_t": self.first, "last_t": self.last, "n_frames": self.frames}]
 
+    def state(self) -> Any:
+        best = {k: self.best[k] for k in ("t", "file", "text", "chars")} if self.tokens is not None else None
+        return best and [sorted(self.tokens), best, self.first, self.last, self.frames]
 
-def group_slides(frames: DataFrame, min_chars: int = 20, min_span: float = 5.0, sim: float = 0.5, tail: float = 10.0) -> DataFrame:
+    def resume(self, state: Any) -> None:
+        if state:
+            tokens, self.best, self.first, self.last, self.frames = state
+            self.tokens = set(tokens)
+
+
+def group_slides(frames: DataFrame, min_chars: int = 20, min_span: float = 5.0, sim: float = 0.5, tail: float = 10.0, chunk: int = 16384) -> DataFrame:
     """video_id, seg, t, file, text, chars, span, n_frames of slides with text enough; the frame with most characters stands for one."""
     rows = frames.select("video_id", "index", "t", "file", F.coalesce("text", F.lit("")).alias("text"), "chars").withColumn("toks", F.array_join(T.tokens_lower("text"), " "))
     schema = "video_id string, seg int, t double, file string, text string, chars int, first_t double, last_t double, n_frames int"
-    slides = fold_by_key(rows, "video_id", ["index"], lambda v: Grouped(v, sim), schema)
+    slides = fold_in_chunks(rows, "video_id", ["index"], lambda v: Grouped(v, sim), schema, "seg", chunk)
     span = F.col("last_t") - F.col("first_t") + tail
     return slides.filter((F.col("chars") >= min_chars) & (span >= min_span)).select("video_id", "seg", "t", "file", "text", "chars", F.bround(span, 1).alias("span"), "n_frames")
 
@@ -137,6 +146,14 @@ class Picked:
         self.recent.append((grams, sig))
         return out
 
+    def state(self) -> Any:
+        return self.last and [{k: v for k, v in self.last.items() if k != "pick"}, [[sorted(grams), sig] for grams, sig in self.recent]]
+
+    def resume(self, state: Any) -> None:
+        if state:
+            self.last = state[0]
+            self.recent.extend((set(grams), sig) for grams, sig in state[1])
+
     def close(self, until: float) -> list[dict[str, Any]]:
         return [self.last | {"t1": until}] if self.last else []
 
@@ -144,7 +161,7 @@ class Picked:
         return self.close(self.last["t0"] + self.tail) if self.last else []
 
 
-def select_representatives(cleaned: DataFrame, signatures: DataFrame | None = None, max_sim: float = 0.35, min_chars: int = 8, tail: float = 10.0, window: int = 4, max_img_sim: float = 0.66, size: int = 4) -> DataFrame:
+def select_representatives(cleaned: DataFrame, signatures: DataFrame | None = None, max_sim: float = 0.35, min_chars: int = 8, tail: float = 10.0, window: int = 4, max_img_sim: float = 0.66, size: int = 4, chunk: int = 16384) -> DataFrame:
     """video_id, pick, t0, t1, file, text, title, chars, dup_to_prev, img_dup of frames unlike the last ones picked.
 
     Frames with little text or a program's frame are left out before; signatures: video_id, index, sig. The
@@ -158,7 +175,7 @@ def select_representatives(cleaned: DataFrame, signatures: DataFrame | None = No
         rows = rows.join(signatures.select("video_id", "index", "sig"), ["video_id", "index"], "left")
         rows = rows.join(visual_baseline(signatures, max_img_sim).select("video_id", "threshold"), "video_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(max_img_sim)))
     schema = "video_id string, pick int, t0 double, t1 double, file string, text string, dup_to_prev double, img_dup double"
-    picks = fold_by_key(rows, "video_id", ["index"], lambda v: Picked(v, max_sim, tail, window, size), schema)
+    picks = fold_in_chunks(rows, "video_id", ["index"], lambda v: Picked(v, max_sim, tail, window, size), schema, "pick", chunk)
     return picks.withColumn("title", T.tidy_title("text")).withColumn("chars", F.length("text"))
 
 

@@ -319,9 +319,8 @@ FINDINGS = rf"""sf AS (SELECT *, list_slice(string_split(path, '/'), 1, len(stri
 
 def findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ignored = A.table(spark, d, "documents").filter("source IS NOT NULL").select(F.col("source").alias("root"), F.lit("build").alias("name")).distinct()
-    clean, folders = H.prune_folders(A.files(spark, d), ignored)
-    every = folders.unionByName(H.flag_names(clean)).unionByName(H.flag_secrets(clean, SECRET_LIKE)).unionByName(H.flag_copyright(clean, "(?i)(geekbang|stupid)")).unionByName(H.flag_large(clean, 0.02))
-    return clean, every
+    files = A.files(spark, d)
+    return H.prune_folders(files, ignored)[0], H.scan(files, ignored, 0.02, SECRET_LIKE, "(?i)(geekbang|stupid)")
 
 
 @query("h1_h5_findings", with_views(["files"], f", {FINDINGS} SELECT * FROM findings"))
@@ -329,8 +328,8 @@ def h1(spark: SparkSession, d: str) -> DataFrame:
     return findings(spark, d)[1]
 
 
-@query("a9_hygiene_report", with_views(["files"], f""", {FINDINGS} SELECT c.root, any_value(files_) AS files, any_value(bytes) AS bytes, count(*) FILTER (level = 'blocking') AS blocking, count(*) FILTER (level = 'warning') AS warnings, count(*) FILTER (level = 'blocking') = 0 AS passed
-    FROM (SELECT root, count(*) AS files_, CAST(sum(size) AS BIGINT) AS bytes FROM clean GROUP BY root) c LEFT JOIN findings f ON f.root = c.root GROUP BY c.root"""))
+@query("a9_hygiene_report", with_views(["files"], f""", {FINDINGS} SELECT coalesce(c.root, f.root) AS root, coalesce(any_value(files_), 0) AS files, coalesce(any_value(bytes), 0) AS bytes, count(*) FILTER (level = 'blocking') AS blocking, count(*) FILTER (level = 'warning') AS warnings, count(*) FILTER (level = 'blocking') = 0 AS passed
+    FROM (SELECT root, count(*) AS files_, CAST(sum(size) AS BIGINT) AS bytes FROM clean GROUP BY root) c FULL JOIN findings f ON f.root = c.root GROUP BY coalesce(c.root, f.root)"""))
 def a9(spark: SparkSession, d: str) -> DataFrame:
     return H.report(*findings(spark, d))
 

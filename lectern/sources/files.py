@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +50,17 @@ def term_rows(raw: DataFrame) -> DataFrame:
 
 
 def load_term_map(spark: SparkSession, path: str | None) -> DataFrame:
-    """term_rows of a file; no path gives no terms."""
+    """term_rows of a file; no path, or one that does not exist, gives no terms."""
+    none = spark.createDataFrame([], "ord int, term string, replacement string")
     if not path:
-        return spark.createDataFrame([], "ord int, term string, replacement string")
-    return term_rows(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
+        return none
+    try:
+        found = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
+    return term_rows(found.withColumnRenamed("value", "json"))
 
 
 def write_stage(df: DataFrame, path: str, buckets: int | None = None, form: str = "parquet") -> None:
