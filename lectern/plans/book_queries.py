@@ -258,7 +258,7 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
 def series_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """The frames' lines of each part's document as its paragraphs."""
     parts = SE.select_parts(A.parts(spark, d)).select("series_id", "part", F.col("doc_id").cast("string").alias("video_id"))
-    return A.frames(spark, d).join(parts, "video_id").select("series_id", "part", F.col("index").alias("para_idx"), F.col("t").alias("start"), "text")
+    return A.frames(spark, d).join(parts, "video_id").select("series_id", "part", F.col("index").alias("para_idx"), F.col("t").alias("start"), "text", "file")
 
 
 SERIES = f"""sp AS MATERIALIZED (SELECT series_id, index AS part, {part_title_sql()} AS chapter_title, title, duration, doc_id FROM parts),
@@ -268,7 +268,7 @@ SERIES = f"""sp AS MATERIALIZED (SELECT series_id, index AS part, {part_title_sq
 
 @query("w11_u1_merge_paragraphs", with_views(["frames", "parts"], f", {SERIES} SELECT series_id, part, part AS part_index, CAST(base + index AS INT) AS para_idx, t AS start, text FROM sb JOIN frames f ON f.video_id = CAST(sb.doc_id AS VARCHAR)"))
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    return SE.merge_paragraphs(SE.select_parts(A.parts(spark, d)), series_paragraphs(spark, d))[0]
+    return SE.merge_paragraphs(SE.select_parts(A.parts(spark, d)), series_paragraphs(spark, d).drop("file"))[0]
 
 
 @query("w11_merge_chapters", with_views(["frames", "parts"], f", {SERIES} SELECT series_id, part AS ch, chapter_title AS title, base AS from_idx, CAST(base + n AS INT) AS to_idx, part, duration FROM sb"))
@@ -299,6 +299,49 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
     return SE.series_summary(SE.select_parts(parts), total).withColumn("minutes", F.round("minutes", 6))
 
 
+SERIES_BOOKS = f"""sparas AS MATERIALIZED (SELECT series_id AS video_id, part, CAST(base + index AS INT) AS para_idx, index, file, text, {A._hms("t")} AS t FROM sb JOIN frames f ON f.video_id = CAST(sb.doc_id AS VARCHAR)),
+  sl AS (
+    SELECT DISTINCT series_id AS video_id, [2, -1, 0] AS o, ['---', 'head', '---', '', '# 目录与时间轴', '', ''] AS l FROM sb
+    UNION ALL SELECT series_id, [3, part, -1], list_concat([printf('# 第%d章 %s', part, chapter_title), ''], CASE WHEN n > 0 THEN [printf('> 视频时间点：P%d %s 起', part, (SELECT t FROM sparas p WHERE p.video_id = series_id AND p.para_idx = base)), ''] ELSE [] END) FROM sb
+    UNION ALL SELECT video_id, [3, part, para_idx * 4 + 1], [text, ''] FROM sparas
+    UNION ALL SELECT video_id, [3, part, para_idx * 4 + 2], [printf('![%d](part-%03d/frames/%s){{width=6.5in}}', index, part, file), ''] FROM sparas WHERE index % 10 = 0
+  ), sx AS (SELECT video_id, o, unnest(range(len(l))) AS n, unnest(l) AS line FROM sl),
+  books AS MATERIALIZED (SELECT video_id, string_agg(line, chr(10) ORDER BY o, n) AS book FROM sx GROUP BY video_id)"""
+
+
+@query(
+    "wc_series_to_audit",
+    with_views(
+        ["frames", "parts"],
+        f""", {SERIES}, {SERIES_BOOKS}, {RENDERED}, plain AS MATERIALIZED (SELECT video_id, regexp_replace(body, '<[^>]+>', '', 'g') AS plain FROM rendered),
+    held AS (SELECT video_id, text, EXISTS (SELECT 1 FROM plain d WHERE d.video_id = p.video_id AND contains(d.plain, substr(p.text, 1, 24))) AS covered FROM sparas p),
+    cv AS (SELECT video_id, CAST(sum(length(text)) AS BIGINT) AS src_chars, count(*) AS paragraphs, count(*) FILTER (covered) AS covered FROM held GROUP BY video_id)
+    SELECT video_id, src_chars, paragraphs, covered, round(covered / paragraphs * 100, 1) AS coverage, coalesce(images, 0) AS images, round(covered / paragraphs * 100, 1) >= 98 AS ok, (SELECT count(*) FROM sb WHERE series_id = video_id) AS chapters
+    FROM cv LEFT JOIN (SELECT video_id, count(DISTINCT src) AS images FROM (SELECT video_id, unnest(regexp_extract_all(body, '<img src="([^"]*)"', 1)) AS src FROM rendered) GROUP BY video_id) USING (video_id)""",
+    ),
+)
+def wc(spark: SparkSession, d: str) -> DataFrame:
+    """From parts of a series by the merge to its book, the book's chapters and their audit; every tenth line has a figure."""
+    parts = keep(SE.select_parts(A.parts(spark, d)))
+    own = keep(series_paragraphs(spark, d))
+    merged, chapters = SE.merge_paragraphs(parts, own)
+    paras = keep(merged.withColumnRenamed("series_id", "video_id").withColumn("t", T.hms("start")))
+    chapters = keep(chapters.withColumnRenamed("series_id", "video_id"))
+    taken = own.filter("para_idx % 10 = 0").select("series_id", "part", F.col("para_idx").alias("para_index"), "file", F.col("para_idx").cast("string").alias("caption"))
+    figures = SE.merge_figures(parts, chapters.withColumnRenamed("video_id", "series_id"), taken).withColumnRenamed("series_id", "video_id").withColumns({"pos": F.lit(None).cast("string"), "k": F.col("part")})
+    placed = B.place_figures(figures, figures.select("video_id", "file"))
+    total = parts.groupBy("series_id").agg(F.count("*").alias("total_parts"))
+    text = lambda c: F.lit(c).cast("string")
+    meta = SE.series_summary(parts, total).select(
+        F.col("series_id").alias("video_id"), "title", "subtitle", text(None).alias("author"), text(None).alias("lang"), text(None).alias("rights"), text("").alias("about"), text("").alias("source_note"), text(None).alias("time_link"), F.lit(None).cast("int").alias("content_frames")
+    )
+    none = spark.createDataFrame([], "video_id string, ord int, term string, desc string, text string, at string")
+    lines = B.book_lines(meta, chapters, paras, placed.select("video_id", "para_index", "pos", "k", "caption", "rel"), none.drop("text"), none.select("video_id", "ord", "text", "at"))
+    there = figures.filter("file NOT LIKE '%1.jpg'").select("video_id", F.col("rel").alias("file"))
+    bodies = keep(B.render_xhtml(keep(B.assemble_book(lines)), there))
+    return B.coverage_audit(paras, bodies.select("video_id", F.col("body").alias("html")), chapters)
+
+
 NAME, EXT = "regexp_extract(path, '([^/]*)$', 1)", r"lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '[^.](\.[^.]*)$', 1))"
 RISKY = fixed.RISKY_NAME.replace("tokens?(?![a-z])", "tokens?(?:[^a-z]|$)").replace("'", "''")
 SECRET_LIKE = "token = \"[^\"]+\""
