@@ -3,11 +3,12 @@
 A page is cut into flat blocks at its block-level tags. A block is described by its number of words and
 link density, those of its neighbours, and what stands around it; a decision tree, trained on the small
 labelled table EXAMPLES when the operator is set up, tells main text from the rest. In the table, lists of links
-are no main text even in an article, long text with few links is, even outside of it, and what stands around a
-block settles the rest: short blocks, and long ones of the page's frame such as comments.
+are no main text outside of an article, long text with few links is, even there, and what stands around a
+block settles the rest: all of an article's, short blocks, and long ones of the page's frame such as comments.
 
 Defined results: null, empty and markup-only pages give an empty text; broken or cut markup is read as far
-as it goes; text of any length is kept whole; repeated rows are read each; an empty table gives an empty result.
+as it goes; text of any length is kept whole; repeated rows are read each; an empty table gives an empty result; extract
+is a column, so that further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -21,20 +22,28 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Comments, elements that hold no text (to their end tag or the page's end), tags and declarations.
+#: Comments, elements that hold no text, tags and declarations. Raw text goes on to its end tag or the page's end; other
+#: elements end at their end tag, or, if there is none before the next of their name, with the text up to the next tag.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|title|textarea|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<held>noscript|template|iframe|svg|math|object|canvas|audio|video|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:(?:(?!<(?P=held)\b).)*?</(?P=held)\s*>|[^<]*)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and words of class, id and role that stand for the page's frame.
+#: Elements, and words that make up names in class, id and role, that stand for the page's frame.
 FRAME_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 FRAME_WORDS = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|respond|replies|disqus|cookies?|consent|gdpr|notice|alert|disclaimer|dialog|footer|foot|header|masthead|menu|modal|nav\w*|newsletter|overlay|pag(?:er|ination)|popup|promo\w*|related|recommended|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget)(?=$|[\s_-])"
+    r"(?i)ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|respond|replies|disqus|cookies?|consent|gdpr|notice|alert|disclaimer|dialog|footer|foot|header|masthead|menu|modal|nav\w*|newsletter|overlay|pag(?:er|ination)|popup|promo\w*|related|recommended|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget"
 )
-NAMES = re.compile(r"""(?is)\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: What may stand beside such a word in a name of several parts; with other parts, as in side-effects, it is no frame.
+CONTAINER_WORDS = frozenset("area articles bar block body bottom box button buttons col column container content group icons inner item items left links list main page panel posts primary right secondary section site slot stories thread top unit wrap wrapper 1 2 3".split())
+#: Elements whose id names what they are about.
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
+FOLLOWED = re.compile(r"\s*[^<\s]")
+HREF = re.compile(r"(?i)(?:^|\s)href\b")
+NAMES = re.compile(r"""(?is)\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: A paragraph's end tag may be left out before these.
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -45,8 +54,10 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 BESIDE = [(0, 0.0, 0, 0.0), (3, 1.0, 4, 1.0), (70, 0.0, 90, 0.0), (80, 0.1, 2, 1.0), (6, 0.0, 60, 0.0)]
 BETWEEN_LINKS = [(0, 0.0, 1, 1.0), (2, 1.0, 3, 1.0), (1, 1.0, 9, 0.0), (6, 0.9, 70, 0.0), (90, 0.0, 2, 1.0), (250, 0.0, 2, 1.0)]
 ALIKE = [
-    # lists of links, wherever they stand
-    ([(1, 1.0), (2, 1.0), (3, 1.0), (5, 1.0), (8, 0.9), (15, 0.8), (40, 0.7)], BETWEEN_LINKS, (0, 1), (0, 1, 2), 0),
+    # lists of links, but for those of an article
+    ([(1, 1.0), (2, 1.0), (3, 1.0), (5, 1.0), (8, 0.9), (15, 0.8), (40, 0.7)], BETWEEN_LINKS, (0, 1), (0, 1), 0),
+    ([(1, 1.0), (3, 1.0), (8, 0.9), (40, 0.7)], BETWEEN_LINKS, (0,), (2,), 1),
+    ([(3, 1.0), (15, 0.8)], BETWEEN_LINKS, (1,), (2,), 0),
     # long text with few links; it must be longer where another part of the page is the article
     ([(28, 0.0), (45, 0.1), (90, 0.0), (200, 0.2), (400, 0.1)], BESIDE, (0,), (1, 2), 1),
     ([(200, 0.0), (400, 0.1), (900, 0.0)], BESIDE, (0,), (0,), 1),
@@ -97,7 +108,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, framed, in the article
-    anchors = at = 0
+    at, anchor = 0, -1  # anchor: depth at which a link has begun
     marked = False
 
     def flush() -> None:
@@ -112,32 +123,39 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
             linked.clear()
 
     def close(i: int) -> None:
+        nonlocal anchor
         flush()
         del stack[i:]
+        if anchor > len(stack):  # a link without end tag ends with the block that it began in
+            anchor = -1
 
     for m in MARKUP.finditer(page):
         if m.start() > at:
             text.append(page[at : m.start()])
-            if anchors:
+            if anchor >= 0:
                 linked.append(text[-1])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[4] or m[7] or "").lower()
         if not tag:
-            if m[1] and m[1].lower() not in ("button", "select"):
+            if m["raw"] or m["held"] and m["held"].lower() not in ("button", "select"):
                 flush()
             continue
-        end = bool(m[2] or m[5])
+        end = bool(m[3] or m[6])
         if tag == "a":
-            anchors = max(0, anchors - 1) if end else 1
+            # without href it is a place, not a link
+            anchor = len(stack) if not end and HREF.search(m[5] or m[8] or "") else -1
         elif tag == "br":
             text.append(" ")
         elif tag in INLINE:
             # amid a block's text, a word of the frame is only a name
-            if not end and tag not in ("img", "wbr") and not "".join(text).strip() and FRAME_WORDS.search(_names(m)):
+            if not end and tag not in ("img", "wbr") and not "".join(text).strip() and _is_frame(m, tag):
                 flush()
                 stack.append((tag, True, bool(stack and stack[-1][2])))
             elif end and stack and stack[-1][0] == tag:
-                close(len(stack) - 1)
+                if FOLLOWED.match(page, at):
+                    stack.pop()
+                else:
+                    close(len(stack) - 1)
         elif end:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -148,11 +166,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
         else:
             flush()
             if tag in CLOSES_P and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
+                close(len(stack) - 1)
             if tag not in VOID and tag not in ("html", "body"):
                 framed, inside = stack[-1][1:] if stack else (False, False)
-                # main ends the frame around it, such as a wrapper named for its sidebar; an article's header holds its headline
-                framed = framed and tag != "main" or tag in FRAME_TAGS and not (inside and tag == "header") or bool(FRAME_WORDS.search(_names(m)))
+                # main, or the page's first article, ends the frame around it, such as a wrapper named for its sidebar
+                framed = framed and tag != "main" and not (tag == "article" and not marked)
+                # an article's header holds its headline
+                framed = framed or tag in FRAME_TAGS and not (inside and tag == "header") or _is_frame(m, tag)
                 article = tag in ("article", "main") and not framed
                 marked |= article
                 stack.append((tag, framed, inside or article))
@@ -162,9 +182,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
     return out if marked else [(*b[:4], 1) for b in out]
 
 
-def _names(m: re.Match) -> str:
-    given = m[4] or m[7]
-    return " ".join(a or b or c for a, b, c in NAMES.findall(given)) if given else ""
+def _is_frame(m: re.Match, tag: str) -> bool:
+    """Whether one of a tag's names is made of words of the page's frame, and of containers' beside them."""
+    for kind, *values in NAMES.findall(m[5] or m[8] or ""):
+        if kind.lower() == "id" and tag in TITLED:
+            continue
+        for name in "".join(values).split():
+            parts = [p for p in re.split("[-_]+", name.lower()) if p]
+            words = [p for p in parts if FRAME_WORDS.fullmatch(p)]
+            if words and all(p in words or p in CONTAINER_WORDS for p in parts):
+                return True
+    return False
 
 
 def main_text(page: str, tree: tuple | int) -> str:

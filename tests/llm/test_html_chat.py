@@ -30,7 +30,17 @@ def test_tree_fits_its_table():
         ('<article><p>See <span class="tags">alpha</span> here</p></article>', "See alpha here"),
         ("<article><header><h1>Headline</h1></header><p>Text of it.</p></article>", "Headline\n\nText of it."),
         (f"<div><p>{LONG}</p></div><article><p>A card.</p></article><div><p>Short and outside.</p></div>", f"{LONG}\n\nA card."),
-        (f"<article><p>{LONG}</p><ul><li><a href=a>one</a></li><li><a href=b>two more</a></li><li><a href=c>three</a></li></ul></article>", LONG),
+        (f"<article><p>{LONG}</p><ul><li><a href=a>one</a></li><li><a href=b>two more</a></li><li><a href=c>three</a></li></ul></article>", f"{LONG}\n\none\n\ntwo more\n\nthree"),
+        (f"<p>{LONG}</p><ul><li><a href=a>one</a></li><li><a href=b>two more</a></li><li><a href=c>three</a></li></ul>", LONG),
+        ('<div class="left side"><article><p>Kept whole.</p></article></div>', "Kept whole."),
+        ('<div class="post comments open"><article><p>Kept, too.</p></article></div>', "Kept, too."),
+        (f'<article><p>Said.</p></article><div class="comments"><article><p>{LONG}</p></article></div>', "Said."),
+        ('<article><section id="related-work"><h2 id="social">Work</h2><p class="side-effects">Effects.</p></section><div class="related-posts">No.</div></article>', "Work\n\nEffects."),
+        ("<article><p><a name=top>First of all.</p><p>Then more.</p></article>", "First of all.\n\nThen more."),
+        (f"<p><a href=x>Open link</p><p>{LONG}</p>", LONG),
+        ("<article><p>Before.</p><button>Go<p>After.</p><noscript><p>And on.</p><iframe src=x><p>End.</p></article>", "Before.\n\nAfter.\n\nAnd on.\n\nEnd."),
+        ("<article><button>Go</button><noscript><p>off</p></noscript><p>After.</p><button>Go<p>More.</p></article><button>x</button>", "After.\n\nMore."),
+        ('<article><p><b class="notice">Note:</b> it holds.</p><p><span class="tags">alpha</span> beta</p><p><span class="share">Share</span></p></article>', "Note: it holds.\n\nalpha beta"),
         (f"<article><p>{LONG}</p><p><a href=a>a linked line</a></p><p>{LONG}</p></article>", f"{LONG}\n\na linked line\n\n{LONG}"),
         (f"<h1>Title of it</h1><p>{LONG}</p><div class=comments><article class=comment><p>{LONG}</p></article></div>", f"Title of it\n\n{LONG}"),
         ("<div class='page has-sidebar'><main><p>Body here.</p></main><div class=sidebar>x y z</div></div>", "Body here."),
@@ -118,7 +128,13 @@ def test_root_of_tree_is_the_best_split():
         return sum(len(s) * (sum(s) / len(s)) * (1 - sum(s) / len(s)) for s in sides if s)
 
     every = [impurity(f, at) for f in range(8) for at in {r[f] for r in rows}]
-    assert abs(impurity(feature, threshold) - min(every)) < 1e-9 and feature == 1  # link density
+    assert abs(impurity(feature, threshold) - min(every)) < 1e-9
+
+    def used(tree):
+        return set() if isinstance(tree, int) else {tree[0]} | used(tree[2]) | used(tree[3])
+
+    # words and link density of a block and of a neighbour, and what stands around it
+    assert used(TREE) >= {0, 1, 6, 7} and used(TREE) & {2, 3, 4, 5}
 
 
 def test_html_odd_rows(spark):
