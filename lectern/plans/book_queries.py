@@ -36,10 +36,6 @@ def spoken(spark: SparkSession, d: str) -> DataFrame:
     return AL.attach_speech(slides(spark, d), A.segments(spark, d))
 
 
-def by_minutes(spark: SparkSession, d: str) -> DataFrame:
-    return C.chapters_by_time(A.paragraphs(spark, d), minutes=0.5)
-
-
 @query("j1_attach_speech", with_views(["frames", "segments"], f", {SLIDES}, {SPOKEN} SELECT video_id, t0, t1, speech, CAST(length(speech) AS INT) AS speech_chars, t0 AS speech_start FROM spoken"))
 def j1(spark: SparkSession, d: str) -> DataFrame:
     return spoken(spark, d).select("video_id", "t0", "t1", "speech", "speech_chars", "speech_start")
@@ -99,7 +95,8 @@ FIGURE_ROWS = f"""SELECT p.video_id, p.ch AS chapter, CAST(p.k AS INT) AS k, p.p
 
 @query("w9_j5_j6_to_figures", with_views(["frames", "segments", "paras"], f", {SLIDES}, {SPOKEN}, {by_time(None)}, {figures_sql(2)} {FIGURE_ROWS}", recursive=True))
 def w9(spark: SparkSession, d: str) -> DataFrame:
-    return AL.to_figures(spoken(spark, d), by_minutes(spark, d), A.paragraphs(spark, d), most=2)
+    paras = keep(A.paragraphs(spark, d))
+    return AL.to_figures(keep(spoken(spark, d)), keep(C.chapters_by_time(paras, minutes=0.5)), paras, most=2)
 
 
 ASSIGNED = f"""whole AS (SELECT video_id, ch, from_idx, to_idx FROM by_time WHERE CAST(video_id AS BIGINT) % 4 > 0),
@@ -108,9 +105,10 @@ ASSIGNED = f"""whole AS (SELECT video_id, ch, from_idx, to_idx FROM by_time WHER
   at_ AS (SELECT *, row_number() OVER (PARTITION BY video_id, ch ORDER BY t) AS k FROM ai WHERE m <= 3 OR list_contains(list_transform(range(3), lambda i: CAST(floor(i * (m / 3.0::DOUBLE)) AS BIGINT)), place)), {placed_sql("at_", "t")}"""
 
 
-def assigned(spark: SparkSession, d: str) -> DataFrame:
-    some = by_minutes(spark, d).filter(F.col("video_id").cast("long") % 4 > 0)
-    return AL.assign_to_chapters(slides(spark, d).withColumnRenamed("t0", "t"), some, A.paragraphs(spark, d))
+def assigned(spark: SparkSession, d: str, paras: DataFrame | None = None) -> DataFrame:
+    paras = keep(A.paragraphs(spark, d)) if paras is None else paras
+    some = keep(C.chapters_by_time(paras, minutes=0.5).filter(F.col("video_id").cast("long") % 4 > 0))
+    return AL.assign_to_chapters(slides(spark, d).withColumnRenamed("t0", "t"), some, paras)
 
 
 @query(
@@ -129,9 +127,9 @@ SHOWN = f"""shown AS (SELECT video_id, para_index, CASE WHEN k % 2 = 0 THEN 'bef
   fig AS MATERIALIZED (SELECT video_id, para_index, coalesce(pos, 'after') AS pos, k, caption, file, rel FROM shown WHERE file NOT LIKE '%7.jpg')"""
 
 
-def shown(spark: SparkSession, d: str) -> DataFrame:
+def shown(spark: SparkSession, d: str, paras: DataFrame | None = None) -> DataFrame:
     pos = F.when(F.col("k") % 2 == 0, "before").when(F.col("k") % 3 == 0, None).otherwise("after")
-    given = assigned(spark, d).select("video_id", "para_index", pos.alias("pos"), "k", "caption", "file", F.concat(F.lit("frames/"), "file").alias("rel"))
+    given = assigned(spark, d, paras).select("video_id", "para_index", pos.alias("pos"), "k", "caption", "file", F.concat(F.lit("frames/"), "file").alias("rel"))
     return B.place_figures(given, A.frames(spark, d).filter("file NOT LIKE '%7.jpg'").select("video_id", "file")).select("video_id", "para_index", "pos", "k", "caption", "file", "rel")
 
 
@@ -145,8 +143,7 @@ GLOSSARY = """glossary AS MATERIALIZED (SELECT video_id, 1 AS ord, regexp_extrac
   mentioned AS MATERIALIZED (SELECT g.video_id, g.ord, term, desc_, coalesce(nullif(given, ''), CASE WHEN trim(regexp_extract(term, '^([^（(/]*)', 1)) <> '' THEN (SELECT min_by(t, para_idx) FROM paras p WHERE p.video_id = g.video_id AND contains(p.text, trim(regexp_extract(term, '^([^（(/]*)', 1)))) END, '') AS said FROM glossary g)"""
 
 
-def glossary(spark: SparkSession, d: str) -> DataFrame:
-    paras = A.paragraphs(spark, d)
+def glossary(paras: DataFrame) -> DataFrame:
     given = F.when(F.col("video_id").cast("long") % 5 == 0, "00:00:09").otherwise("")
     one = paras.filter("para_idx = 1").select("video_id", F.lit(1).alias("ord"), F.concat(F.regexp_extract("text", "[^ ]*$", 0), F.lit("（x）")).alias("term"), F.concat(F.lit("desc "), F.col("para_idx").cast("string")).alias("desc"), given.alias("at"))
     two = paras.filter("para_idx = 2").select("video_id", F.lit(2).alias("ord"), F.concat(F.lit("nowhere/"), "video_id").alias("term"), F.lit("none").alias("desc"), F.lit(None).cast("string").alias("at"))
@@ -155,12 +152,14 @@ def glossary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j8_first_mention", with_views(["paras"], f", {GLOSSARY} SELECT video_id, ord, term, desc_ AS \"desc\", said AS \"at\" FROM mentioned"))
 def j8(spark: SparkSession, d: str) -> DataFrame:
-    return B.first_mention(glossary(spark, d), A.paragraphs(spark, d))
+    paras = keep(A.paragraphs(spark, d))
+    return B.first_mention(glossary(paras), paras)
 
 
 def book_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    paras, number = A.paragraphs(spark, d), F.col("video_id").cast("long")
-    chapters = by_minutes(spark, d).withColumn("intro", F.when(F.col("ch") % 2 == 0, F.format_string("about %d", "ch")))
+    # kept, as a book reads them many times
+    paras, number = keep(A.paragraphs(spark, d)), F.col("video_id").cast("long")
+    chapters = keep(C.chapters_by_time(paras, minutes=0.5).withColumn("intro", F.when(F.col("ch") % 2 == 0, F.format_string("about %d", "ch"))))
     meta = paras.filter("para_idx = 0").select(
         "video_id",
         F.concat(F.lit('Book "'), "video_id", F.lit('"')).alias("title"),
@@ -174,7 +173,7 @@ def book_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
         F.when(number % 7 == 0, 4).alias("content_frames"),
     )
     quotes = paras.filter("para_idx = 3").select("video_id", F.lit(1).alias("ord"), "text", F.col("t").alias("at"))
-    return meta, chapters, paras, shown(spark, d), glossary(spark, d), quotes
+    return meta, chapters, paras, keep(shown(spark, d, paras)), glossary(paras), quotes
 
 
 LINES = f"""meta AS (SELECT video_id, CAST(video_id AS BIGINT) AS v FROM paras WHERE para_idx = 0), {TOC},
@@ -239,8 +238,10 @@ def f20(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def a6(spark: SparkSession, d: str) -> DataFrame:
-    html = rendered(spark, d).groupBy("video_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ch", "body")))["body"], "").alias("html"))
-    return B.coverage_audit(A.paragraphs(spark, d), html, by_minutes(spark, d))
+    paras = keep(A.paragraphs(spark, d))
+    bodies = keep(rendered(spark, d))
+    html = bodies.groupBy("video_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ch", "body")))["body"], "").alias("html"))
+    return B.coverage_audit(paras, html, C.chapters_by_time(paras, minutes=0.5))
 
 
 @query("j9_select_parts", with_views(["parts"], f""", s AS (SELECT * FROM parts WHERE index IN (SELECT DISTINCT CAST(item_id AS INT) * 2 + 1 FROM benchmark))
@@ -414,5 +415,5 @@ def wb(spark: SparkSession, d: str) -> DataFrame:
     picks = keep(representatives(spark, d))
     said = keep(AL.attach_speech(picks, A.segments(spark, d)))
     gate = AL.talking_head_gate(A.frames(spark, d).select("video_id").distinct(), said)
-    free = AL.figure_free(said, gate)
-    return AL.to_figures(free, keep(by_minutes(spark, d)), A.paragraphs(spark, d))
+    paras = keep(A.paragraphs(spark, d))
+    return AL.to_figures(AL.figure_free(said, gate), keep(C.chapters_by_time(paras, minutes=0.5)), paras)
