@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import durable
+from lectern.llm.common import durable, without
 from lectern.llm.components import connected_components
+from lectern.llm.simhash import fingerprint
 
 BANDS, ROWS = 20, 6
 #: Shingles whose permutations are made at a time.
@@ -59,17 +60,18 @@ def band_keys(hashes: np.ndarray, odd: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """id_, root_, n (size of the set), key for each band."""
+def signatures(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, fp (the SimHash fingerprint), n (size of the set of shingles), keys (one for each band), in one pass over the texts."""
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         odd = _permutations()
         for texts in batches:
             sets = [shingles(t) for t in texts]
-            yield pd.DataFrame({"n": [len(s) for s in sets], "keys": [band_keys(s, odd) for s in sets]})
+            prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pd.DataFrame({"fp": prints, "n": [len(s) for s in sets], "keys": [band_keys(s, odd) for s in sets]})
 
-    made = F.pandas_udf(each, "n int, keys array<long>")(F.coalesce("text", F.lit("")))
-    return docs.select("id_", "root_", made.alias("m")).select("id_", "root_", "m.n", F.explode("m.keys").alias("key"))
+    made = F.pandas_udf(each, "fp long, n int, keys array<long>")(F.coalesce("text", F.lit("")))
+    return docs.select(*ids, made.alias("m")).select(*ids, "m.fp", "m.n", "m.keys")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -98,23 +100,30 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     Sets of sizes n <= m share at least c = 2 least / (1 + least) n shingles, and least m, if they are. Whatever
     the order, one of the shared ones is among the first n - c + 1 of the smaller and m - least m + 1 of the larger.
+    Similar sets share least / (1 + least) (n + m) or more, all but the first of them after the first one in both,
+    so where that is, both sets must have as many left.
     """
     held = sets.join(nodes, "id_").select("id_", "root_", "n", F.explode("set").alias("shingle"))
     seen = held.groupBy("shingle").agg(F.count("*").alias("held_by"))
     place = F.row_number().over(W.partitionBy("id_").orderBy("held_by", "shingle"))
     first = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
     placed = held.join(seen, "shingle").withColumn("place", place).filter(F.col("place") <= first(least)).filter("held_by > 1")
-    kept = durable(_mixed(placed.withColumn("early", F.col("place") <= first(2 * least / (1 + least))).drop("place", "held_by"), "shingle"))
-    x = kept.filter("early").select("shingle", F.col("id_").alias("x"), F.col("root_").alias("a"), F.col("n").alias("n_x"))
-    y = kept.select("shingle", F.col("id_").alias("y"), F.col("root_").alias("b"), F.col("n").alias("n_y"))
+    kept = durable(_mixed(placed.withColumn("early", F.col("place") <= first(2 * least / (1 + least))).withColumn("left", F.col("n") - F.col("place") + 1).drop("place", "held_by"), "shingle"))
+    x = kept.filter("early").select("shingle", F.col("id_").alias("x"), F.col("root_").alias("a"), F.col("n").alias("n_x"), F.col("left").alias("left_x"))
+    y = kept.select("shingle", F.col("id_").alias("y"), F.col("root_").alias("b"), F.col("n").alias("n_y"), F.col("left").alias("left_y"))
     met = x.join(y, "shingle").filter("a <> b AND (n_x < n_y OR n_x = n_y AND x < y)").filter(F.col("n_x") >= F.lit(least) * F.col("n_y"))
-    return met.select("x", "y", "a", "b").distinct()
+    enough = F.least("left_x", "left_y") >= F.ceil(F.lit(least / (1 + least)) * (F.col("n_x") + F.col("n_y")) - 1e-9)
+    return met.filter(enough).select("x", "y", "a", "b").distinct()
 
 
-def similar_roots(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """node, root of the components of docs (id_, unique; root_; text) that similarity joins with others."""
-    first = durable(_mixed(_keyed(docs)))
-    sets = durable(_sets(docs.join(first.select("id_").distinct(), "id_", "left_semi")))
+def similar_roots(keyed: DataFrame, docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """node, root of the components that similarity joins with others.
+
+    keyed: id_ (unique), root_ (a number for each component), n and keys of each row, without texts; docs: id_, text.
+    Only texts of rows that stand beside another component at a key are looked at again.
+    """
+    first = durable(_mixed(keyed.select("id_", "root_", "n", F.explode("keys").alias("key"))))
+    sets = durable(_sets(without(docs.select("id_", "text"), first.select("id_").distinct(), "id_", "left_semi")))
     sized = lambda n, m: F.least(n, m) >= F.lit(least) * F.greatest(n, m)
     low = F.min(F.struct("root_", "id_", "n")).over(W.partitionBy("key"))
     stars = first.withColumn("low", low).filter("root_ <> low.root_").filter(sized(F.col("n"), F.col("low.n")))

@@ -133,7 +133,11 @@ def _crowd_links(crowded: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links) of each row of docs."""
-    prints = durable(fingerprints(docs, shingle, seed))
+    return grouped(durable(fingerprints(docs, shingle, seed)))
+
+
+def grouped(prints: DataFrame) -> DataFrame:
+    """component_id (smallest doc_id reachable over links) beside each row of prints (doc_id, fp, others), a table."""
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = durable(near_components(nodes.select("fp")))
     least = roots.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
@@ -141,4 +145,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     # on two keys, both sides are dealt anew, and Spark can split the rows of a fingerprint with many copies
     low = F.col("fp").bitwiseAND(0xFFFF)
-    return prints.withColumn("low", low).join(every.withColumn("low", low), ["low", "fp"]).select("doc_id", "fp", "component_id")
+    return prints.withColumn("low", low).join(every.withColumn("low", low), ["low", "fp"]).select(*prints.columns, "component_id")
