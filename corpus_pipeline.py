@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import exact, minhash, mixing, packing, quality, simhash
-from lectern.llm.common import durable, free_name, numbered, read
+from lectern.llm.common import durable, free_name, numbered, read, without
 
 THRESHOLD = 0.3
 
@@ -29,12 +29,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts: the most code points, then smallest doc_id, then first row.
 
-    Only what is dropped is joined with the documents, so that their texts stay where they are as long as
-    that is small enough for Spark to broadcast it.
+    All is decided on numbers of rows; texts are shuffled once, where the dropped rows leave.
     """
     rows, row = numbered(docs)
     dropped = exact.exact_groups(rows, [row]).filter("NOT kept").select(row)
-    return rows.join(durable(dropped), row, "left_anti").drop(row)
+    return without(rows, durable(dropped), row).drop(row)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,19 +43,19 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     more, which mostly differ in more bits than fingerprints may. Texts without words are one group.
     """
     rows, row = numbered(docs)
-    texts = rows.select(F.col(row).alias("doc_id"), "text")
-    roots = durable(simhash.near_duplicates(texts).select(F.col("doc_id").alias("id_"), F.col("component_id").alias("root_")))
-    near = minhash.similar_roots(texts.withColumnRenamed("doc_id", "id_").join(roots, "id_"))
-    tops = roots.join(near.withColumnsRenamed({"node": "root_", "root": "top_"}), "root_", "left")
-    tops = tops.select("id_", F.coalesce("top_", "root_").alias("top"))
+    signed = minhash.signatures(rows.select(F.col(row).alias("id_"), F.col("doc_id").alias("given_"), "text"), ["id_", "given_"])
+    signed = durable(signed.withColumnRenamed("id_", "doc_id"))
+    keyed = durable(simhash.grouped(signed).withColumnsRenamed({"doc_id": "id_", "component_id": "root_"}))
+    near = minhash.similar_roots(keyed, rows.select(F.col(row).alias("id_"), "text"))
+    tops = keyed.select("id_", "given_", "root_").join(near.withColumnsRenamed({"node": "root_", "root": "top_"}), "root_", "left")
+    tops = tops.select("id_", F.col("given_").alias("doc_id"), F.coalesce("top_", "root_").alias("top"))
     # what stands alone stays: only rows of larger groups are looked up
     groups = tops.groupBy("top").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     members = durable(tops.join(groups, "top"))
-    ids = rows.select(F.col(row).alias("id_"), "doc_id")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "id_")
-    first = members.join(ids, "id_").groupBy("top").agg(F.min(order).alias("first")).select(F.col("first.id_").alias("id_"))
+    first = members.groupBy("top").agg(F.min(order).alias("first")).select(F.col("first.id_").alias("id_"))
     dropped = durable(members.join(first, "id_", "left_anti").select(F.col("id_").alias(row)))
-    return rows.join(dropped, row, "left_anti").drop(row)
+    return without(rows, dropped, row).drop(row)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +65,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     n = free_name(rows, "copies")
     changed = durable(copies.filter("n <> 1").withColumnRenamed("n", n))
     times = F.array_repeat(F.lit(0), F.coalesce(n, F.lit(1)))
-    return rows.join(changed, row, "left").withColumn(n, F.explode(times)).drop(row, n)
+    return rows.join(changed.hint("shuffle_hash"), row, "left").withColumn(n, F.explode(times)).drop(row, n)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
