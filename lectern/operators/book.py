@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,10 +18,13 @@ from lectern.functions.search import automaton
 from lectern.operators.chapters import chapter_toc
 from lectern.operators.fold import fold_by_key
 from lectern.operators.ordered import in_index_range
+from lectern.sources.stages import keep
 
 
 BLOCK = 256
-SLICE = 20_000
+#: Characters of a video's texts that one block holds about, that are searched at once, and an odd number.
+BLOCK_CHARS, HELD_CHARS = 1 << 24, 1 << 20
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Mentions:
@@ -69,8 +75,8 @@ def _lines(df: DataFrame, part: int, at: Column, sub: Column, lines: Column) ->
     return rows.filter(F.col("line").isNotNull())
 
 
-def book_lines(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures: DataFrame, glossary: DataFrame, quotes: DataFrame) -> DataFrame:
-    """video_id, ord, line of each book: head, about, contents, chapters, glossary, quotes, source; empty parts are left out.
+def book_rows(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures: DataFrame, glossary: DataFrame | None, quotes: DataFrame | None) -> DataFrame:
+    """video_id, part, at, sub, n, line of each book, in that order: head, about, contents, chapters, glossary, quotes, source; empty parts are left out.
 
     meta: video_id, title, subtitle, author, lang, rights, about, source_note, time_link, content_frames (null
     if the book has figures). chapters may have part, told before times, and intro. figures: video_id, para_index, pos, k, caption, rel, placed already.
@@ -100,17 +106,24 @@ def book_lines(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures:
     image = F.concat(F.lit("!["), "caption", F.lit("]("), "rel", F.lit("){width=6.5in}"))
     ordered = shown.groupBy("video_id", "ch", "para_idx", "pos").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", image.alias("line")))), lambda x: F.array(x["line"], F.lit("")))).alias("lines"))
     parts.append(_lines(ordered, 3, F.col("ch"), F.col("para_idx") * 4 + F.when(F.col("pos") == "before", 0).otherwise(2), F.col("lines")))
-    terms = first_mention(glossary, paras)
+    terms = None if glossary is None else first_mention(glossary, paras)
     for part, rows, title, lines in (
         (4, terms, fixed.GLOSSARY_HEAD, F.format_string("| %s | %s | %s |", "term", "desc", "at")),
         (5, quotes, fixed.QUOTES_HEAD, F.format_string("- %s（%s）", "text", "at")),
     ):
+        if rows is None:
+            continue
         held = rows.select("video_id").distinct()
         parts += [_lines(held, part, F.lit(-1), none, F.array(*map(F.lit, title))), _lines(rows, part, F.col("ord"), none, F.array(lines)), _lines(held, part, F.lit(2**40), none, F.array(F.lit("")))]
     source = F.concat(F.array(*map(F.lit, fixed.SOURCE_HEAD)), F.split("source_note", "\n", -1), F.array(F.lit("")))
     parts.append(_lines(meta.filter("source_note <> ''"), 6, none, none, source))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def book_lines(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures: DataFrame, glossary: DataFrame | None, quotes: DataFrame | None) -> DataFrame:
+    """video_id, ord, line: the rows of each book (book_rows), numbered."""
     order = W.partitionBy("video_id").orderBy("part", "at", "sub", "n")
-    return reduce(DataFrame.unionByName, parts).select("video_id", F.row_number().over(order).alias("ord"), "line")
+    return book_rows(meta, chapters, paras, figures, glossary, quotes).select("video_id", F.row_number().over(order).alias("ord"), "line")
 
 
 def assemble_book(lines: DataFrame) -> DataFrame:
@@ -127,7 +140,37 @@ def render_xhtml(books: DataFrame, files: DataFrame | None = None) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace("book", "(?s)^---\n.*?\n---\n", ""), "(?m)^\\|[^\n]*\\|[^\\S\n]*$", "")
     blocks = F.split(plain, "(?m)^# ", -1)
     docs = books.select("video_id", F.posexplode(F.slice(blocks, 2, F.greatest(F.lit(0), F.size(blocks) - 1))).alias("i", "block"))
-    lines = docs.select("video_id", (F.col("i") + 1).alias("ch"), F.posexplode(F.split("block", "\n", -1)).alias("n", "raw")).withColumn("line", F.regexp_replace("raw", "(?U)\\s+$", ""))
+    lines = docs.select("video_id", (F.col("i") + 1).alias("ch"), F.posexplode(F.split("block", "\n", -1)).alias("n", "raw"))
+    return _documents(lines, ["n"], F.col("n") == 0, files).select("video_id", "ch", "title", "body")
+
+
+def render_rows(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """What render_xhtml makes of the book that rows (of book_rows) are, without the book as one text.
+
+    Headings are counted by part and place, so that a chapter's rows are sorted by themselves, and only counts by book.
+    """
+    place = ["video_id", "part", "at"]
+    order = W.partitionBy(*place).orderBy("sub", "n", "m")
+    flat = rows.select(*place, "sub", "n", F.posexplode(F.split("line", "\n", -1)).alias("m", "raw"))
+    ruled = F.coalesce(F.sum((F.col("raw") == "---").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    headless = flat.filter("part = 0").withColumn("ruled", ruled).filter("ruled >= 2").drop("ruled")
+    kept = flat.filter("part > 0").unionByName(headless).withColumn("opens", F.startswith("raw", F.lit("# ")).cast("int"))
+    in_book = W.partitionBy("video_id").orderBy("part", "at")
+    counts = kept.groupBy(*place).agg(F.sum("opens").alias("heads"))
+    before = counts.select(*place, F.coalesce(F.sum("heads").over(in_book.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("heads").over(W.partitionBy("video_id")).alias("last"))
+    opened = kept.withColumn("nth", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    numbered = opened.join(before, place).withColumn("ch", (F.col("before") + F.col("nth")).cast("int")).filter("ch > 0")
+    title = F.col("opens") == 1
+    line = F.when(title, F.substr("raw", F.lit(3))).when(F.col("raw").rlike("^\\|[^\n]*\\|[^\\S\n]*\\z"), "").otherwise(F.col("raw"))
+    made = _documents(numbered.withColumn("title_", title).withColumn("raw", line), ["part", "at", "sub", "n", "m"], F.col("title_"), files, F.max("last").alias("last"))
+    # what ends before the next heading ends with a line break
+    body = F.when((F.col("ch") < F.col("last")) & (F.col("shown") > 0), F.concat("body", F.lit("\n"))).otherwise(F.col("body"))
+    return made.select("video_id", "ch", "title", body.alias("body"))
+
+
+def _documents(lines: DataFrame, order: list[str], title: Column, files: DataFrame | None, *more: Column) -> DataFrame:
+    """video_id, ch, title, body, shown (lines in body) of lines (video_id, ch, raw and order), of which each chapter has one title."""
+    lines = lines.withColumns({"titled": title, "line": F.regexp_replace("raw", "(?U)\\s+$", "")})
     image = "^!\\[([^\\]]*)\\]\\(([^)]+)\\)(?:\\{width=[^}]*\\})?\\s*$"
     lines = lines.withColumns({"image": F.col("line").rlike(image), "alt": F.regexp_extract("line", image, 1), "src": F.regexp_extract("line", image, 2)})
     if files is None:
@@ -144,45 +187,95 @@ def render_xhtml(books: DataFrame, files: DataFrame | None = None) -> DataFrame:
         .when(F.startswith("line", F.lit("> ")), wrap("blockquote", T.escape_html(F.substr("line", F.lit(3)))))
         .otherwise(wrap("p", T.escape_html("line")))
     )
-    body = F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("n", shown.alias("shown")))))["shown"], "\n")
-    return lines.groupBy("video_id", "ch").agg(F.max(F.when(F.col("n") == 0, T.strip("raw"))).alias("title"), body.alias("body"))
+    body = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("titled"), F.struct(*order, shown.alias("shown")))))["shown"], "\n")
+    return lines.groupBy("video_id", "ch").agg(F.max(F.when(F.col("titled"), T.strip("raw"))).alias("title"), body.alias("body"), F.count_if(~F.col("titled")).alias("shown"), *more)
 
 
-class Covered:
-    """Beginnings of one book's paragraphs, told first with their number, and how many of them its documents hold."""
+def _spelled(texts: list[str]) -> np.ndarray:
+    """The characters of texts as numbers; after each text stands one that is in none."""
+    return np.concatenate([np.append(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4"), np.uint32(0xFFFFFFFF)) for t in texts]).astype(np.uint64)
 
-    def __init__(self, video_id: Any):
-        self.video_id, self.waiting, self.covered = video_id, {}, 0
 
-    def step(self, row: dict[str, Any]) -> list[dict[str, Any]]:
-        if row["plain"] is None:
-            if row["prefix"]:
-                self.waiting[row["prefix"]] = row["n"]
-            else:
-                self.covered += row["n"]  # the empty text is held by any
-            return []
-        names = list(self.waiting)
-        for some in (names[i : i + SLICE] for i in range(0, len(names), SLICE)):
-            for k in {i for _, i in automaton(some).iter(row["plain"])}:
-                self.covered += self.waiting.pop(some[k])
-        return []
+def _marks(signs: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
+    """For each of sizes, rising, and each place a number that tells of so many characters from there on; equal ones may, though hardly ever do, differ."""
+    out, length = np.zeros(len(signs) + 1, np.uint64), 0
+    for size in sizes:
+        while length < size:
+            n = max(0, len(signs) - length)
+            out = out[:n] * FACTOR + signs[length : length + n]
+            length += 1
+        yield out
 
-    def end(self) -> list[dict[str, Any]]:
-        return [{"video_id": self.video_id, "covered": self.covered}]
+
+def _begun_elsewhere(sought: DataFrame, texts: DataFrame) -> DataFrame:
+    """video_id, prefix of sought (distinct ones, not empty) that stand somewhere in texts (video_id, plain).
+
+    A video's texts are dealt to blocks of about BLOCK_CHARS characters. Each block is told the marks of all that is sought; what has
+    such a mark is compared as text.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(p), int(next(_marks(_spelled([p]), [len(p)]))[0].view(np.int64))) for p in batch.column("prefix").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64())], ["video_id", "size", "mark"])
+
+    marks = sought.select("video_id", "prefix").mapInArrow(mark, "video_id string, size int, mark long")
+    told = marks.groupBy("video_id", "size").agg(F.collect_set("mark").alias("marks")).groupBy("video_id").agg(F.collect_list(F.struct("size", "marks")).alias("told"))
+    sizes = texts.groupBy("video_id").agg(F.ceil(F.sum(F.length("plain")) / BLOCK_CHARS).alias("blocks")).filter("blocks > 0")
+    to_blocks = told.join(sizes, "video_id").select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "told")
+    # block counts are as few as videos; texts stay where they lie until they are dealt
+    dealt = texts.join(sizes, "video_id").select("video_id", F.pmod(F.xxhash64("plain"), "blocks").alias("block"), "plain")
+    rows = dealt.unionByName(to_blocks, allowMissingColumns=True).repartition("video_id", "block").sortWithinPartitions("video_id", "block", F.col("told").isNull())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, marks, held, size = None, [], [], 0
+
+        def found() -> pa.RecordBatch:
+            out = set()
+            if marks and held:
+                signs = _spelled(held)
+                for (n, sought), m in zip(marks, _marks(signs, [n for n, _ in marks])):
+                    likely = np.flatnonzero(np.isin(m >> np.uint64(44), sought >> np.uint64(44), kind="table") if len(sought) < 1 << 18 else np.ones(len(m), bool))
+                    for i in likely[np.isin(m[likely], sought)].tolist():
+                        out.add(signs[i : i + n].astype("<u4").tobytes())
+            texts = [t.decode("utf-32-le", "surrogatepass") for t in out if b"\xff\xff\xff\xff" not in t]
+            return pa.RecordBatch.from_arrays([pa.array([now and now[0]] * len(texts), pa.string()), pa.array(texts, pa.string())], ["video_id", "prefix"])
+
+        for batch in batches:
+            for video, block, plain, told in zip(*(batch.column(c).to_pylist() for c in ("video_id", "block", "plain", "told"))):
+                if (video, block) != now:
+                    yield found()
+                    now, marks, held, size = (video, block), [], [], 0
+                if told is not None:
+                    marks = sorted(((x["size"], np.array(x["marks"], np.int64).view(np.uint64)) for x in told), key=lambda x: x[0])
+                elif marks:
+                    held.append(plain)
+                    size += len(plain)
+                    if size > HELD_CHARS:
+                        yield found()
+                        held, size = [], 0
+        yield found()
+
+    likely = rows.mapInArrow(search, "video_id string, prefix string").distinct()
+    return sought.select("video_id", "prefix").join(likely, ["video_id", "prefix"], "left_semi")
 
 
 def coverage_audit(paras: DataFrame, rendered: DataFrame, chapters: DataFrame | None = None, prefix: int = 24, least: float = 98.0) -> DataFrame:
     """video_id, src_chars, paragraphs, covered, coverage, images, ok: paragraphs whose first characters stand in the rendered text.
 
-    rendered: video_id, html, one row a document, a video's rows being parts of its book. Beginnings are told to the
-    document and searched for all at once, unescaped as it is: signs that rendering escapes make a paragraph
+    rendered: video_id, html, one row a document, a video's rows being parts of its book. Beginnings meet the beginnings of lines;
+    those that begin no line are searched for everywhere, unescaped as they are: signs that rendering escapes make a paragraph
     count as lost. images: different image files shown. A book without paragraphs, or without a document, has a row, too.
     """
     sums = paras.groupBy("video_id").agg(F.sum(F.length("text")).alias("src_chars"), F.count("*").alias("paragraphs"))
     begun = paras.groupBy("video_id", F.substring(F.coalesce("text", F.lit("")), 1, prefix).alias("prefix")).agg(F.count("*").alias("n"))
-    plain = T.strip_tags(F.coalesce("html", F.lit("")))
-    rows = begun.unionByName(rendered.select("video_id", plain.alias("plain")), allowMissingColumns=True)
-    covered = fold_by_key(rows.withColumn("part", F.col("plain").isNotNull()), "video_id", ["part"], Covered, "video_id string, covered long")
+    plain = rendered.select("video_id", T.strip_tags(F.coalesce("html", F.lit(""))).alias("plain"))
+    lines = plain.select("video_id", F.explode(F.split("plain", "\n", -1)).alias("line")).select("video_id", F.substring("line", 1, prefix).alias("prefix")).distinct()
+    # the empty text is held by any
+    met = keep(begun.join(lines.withColumn("held", F.lit(True)), ["video_id", "prefix"], "left").withColumn("held", F.coalesce("held", F.col("prefix") == "")))
+    elsewhere = _begun_elsewhere(met.filter("NOT held"), plain).withColumn("found", F.lit(True))
+    held = met.join(elsewhere, ["video_id", "prefix"], "left").filter("held OR found").groupBy("video_id").agg(F.sum("n").alias("covered"))
+    covered = begun.select("video_id").union(rendered.select("video_id")).distinct().join(held, "video_id", "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long")))
     shown = rendered.select("video_id", F.explode_outer(F.regexp_extract_all("html", F.lit('<img src="([^"]*)"'), F.lit(1))).alias("src"))
     images = shown.groupBy("video_id").agg(F.count_distinct("src").alias("images"))
     joined = covered.join(sums, "video_id", "left").join(images, "video_id", "left").na.fill(0, ["src_chars", "paragraphs", "images"])

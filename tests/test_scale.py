@@ -1,10 +1,12 @@
 """What grows with the tables: no text sorted or moved where a row is enough, and work in proportion to a text."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import book as B
 from lectern.operators import slides as SL
 from lectern.plans import adapters as A
 from lectern.plans import text_queries as TQ
@@ -44,3 +46,36 @@ def test_grams_of_a_long_line(spark):
 def test_text_of_a_programs_frame_by_four_signs(spark):
     df = spark.createDataFrame([("一二三a",), ("一a二b三 四",), ("",), (None,), ("甲" * 3 + "x" * 100_000,)], "text string")
     assert [r[0] for r in df.select(T.looks_like_ui_chrome("text")).collect()] == [True, False, True, True, True]
+
+
+def test_rows_of_a_book_render_as_its_text(spark):
+    """Without the book in one value; headings and rules inside paragraphs, table rows, and chapters without text included."""
+    rnd = random.Random(4)
+    texts = ["plain", "# heading", "---", "| a | b |  ", "a\n# two\n---\nb  ", "> said", "![x](f1.jpg){width=6.5in}", "![y](f2.jpg)", "<b> & 'c'", "", "# "]
+    meta = [(v, v, "", None, None, None, rnd.choice(["", "# about\nit"]), "", None, None) for v in "abc"]
+    m = spark.createDataFrame(meta, "video_id string, title string, subtitle string, author string, lang string, rights string, about string, source_note string, time_link string, content_frames int")
+    c = spark.createDataFrame([(v, i, f"ch {i}", i * 10 - 10, i * 10) for v in "abc" for i in range(1, 4)], "video_id string, ch int, title string, from_idx int, to_idx int")
+    p = spark.createDataFrame([(v, i, float(i), i + 1.0, rnd.choice(texts), "00:00:01") for v in "abc" for i in range(0 if v == "a" else 5, 25)], "video_id string, para_idx int, start double, end double, text string, t string")
+    f = spark.createDataFrame([("a", 3, "before", 1, "cap", "f1.jpg"), ("a", 3, "before", 2, "cap", "f2.jpg"), ("b", 7, "after", 1, "cap", "f1.jpg")], "video_id string, para_index int, pos string, k int, caption string, rel string")
+    q = spark.createDataFrame([("a", 1, "quote", "00:00:01")], "video_id string, ord int, text string, at string")
+    there = spark.createDataFrame([("a", "f1.jpg"), ("b", "f2.jpg")], "video_id string, file string")
+    rows = lambda df: sorted(map(tuple, df.select("video_id", "ch", "title", "body").collect()))
+    args = (m, c, p, f, None, q)
+    assert rows(B.render_rows(B.book_rows(*args), there)) == rows(B.render_xhtml(B.assemble_book(B.book_lines(*args)), there))
+
+
+def test_audit_of_a_book_of_many_documents(spark):
+    """Beginnings that no document holds are not searched for anew in each of them."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("ab字 &") for _ in range(n))
+    docs = [("v", "<p>" + "</p>\n<p>".join(word(rnd.randint(0, 40)) for _ in range(3)) + "</p>") for _ in range(300)] + [("w", "<p>x</p>"), ("only", None)]
+    paras = [("v", word(rnd.randint(0, 30))) for _ in range(400)] + [("v", d[1][4 : 4 + rnd.randint(1, 60)]) for d in docs[:300]] + [("w", "y"), ("w", ""), ("w", "x"), ("none", "z"), ("none", "")]
+    plain = [(v, "" if h is None else __import__("re").sub("<[^>]+>", "", h)) for v, h in docs]
+    want = {v: sum(any(v == d and t[:24] in h for d, h in plain) or t == "" for x, t in paras if x == v) for v in ("v", "w", "none", "only")}
+    got = B.coverage_audit(spark.createDataFrame(paras, "video_id string, text string"), spark.createDataFrame(docs, "video_id string, html string"))
+    assert {r["video_id"]: r["covered"] for r in got.collect()} == want
+    start = time.monotonic()
+    many = spark.range(20_000).selectExpr("'v' AS video_id", "concat('lost beginning ', id) AS text")
+    html = spark.range(4000).selectExpr("'v' AS video_id", "concat('<p>document ', id, '</p>') AS html")
+    assert B.coverage_audit(many, html).first()["covered"] == 0
+    assert time.monotonic() - start < 60
