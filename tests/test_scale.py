@@ -79,3 +79,20 @@ def test_audit_of_a_book_of_many_documents(spark):
     html = spark.range(4000).selectExpr("'v' AS video_id", "concat('<p>document ', id, '</p>') AS html")
     assert B.coverage_audit(many, html).first()["covered"] == 0
     assert time.monotonic() - start < 60
+
+
+def test_signatures_move_no_text(spark):
+    """Signatures are told to the fold; no join holds a frame's text."""
+    rows = [("v", i, i * 10.0, f"{i}.jpg", f"第{i}页讲的是向量检索的方法{'甲乙丙丁'[i % 4] * 9}") for i in range(6)] + [(None, 0, 0.0, "n.jpg", "没有编号的视频也有内容页")]
+    clean = spark.createDataFrame(rows, "video_id string, index int, t double, file string, clean string")
+    sigs = spark.createDataFrame([("v", i, [1.0, -1.0] if i in (0, 3) else [1.0, 1.0] if i == 2 else None) for i in range(9)] + [(None, 0, [1.0, 1.0])], "video_id string, index int, sig array<double>")
+    seen = []
+    whole = SL.fold_in_chunks
+    try:
+        SL.fold_in_chunks = lambda rows, *a: seen.append(rows) or whole(rows, *a)
+        got = SL.select_representatives(clean, sigs, max_sim=0.99)
+    finally:
+        SL.fold_in_chunks = whole
+    plan = plan_of(seen[0])
+    assert "Join" not in "".join(line for line in plan.split("Union", 1)[0]) and "clean#" not in plan[plan.index("Join") :]
+    assert {(r["video_id"], r["file"]) for r in got.collect()} == {("v", f"{i}.jpg") for i in (0, 1, 2, 4, 5)} | {(None, "n.jpg")}
