@@ -96,3 +96,12 @@ def test_signatures_move_no_text(spark):
     plan = plan_of(seen[0])
     assert "Join" not in "".join(line for line in plan.split("Union", 1)[0]) and "clean#" not in plan[plan.index("Join") :]
     assert {(r["video_id"], r["file"]) for r in got.collect()} == {("v", f"{i}.jpg") for i in (0, 1, 2, 4, 5)} | {(None, "n.jpg")}
+
+
+def test_a_programs_frame_in_a_fold_and_as_expression(spark):
+    rnd = random.Random(6)
+    words = ["百度", "BiliBili", "1688", "12306", "58同城", "另存为", "工具箱", "批注", "页眉", "文件", "开始", "插入", "的", "了", "字", "甲", "www.", "HTTPS://", ".CN", "vpn", "ＶＰＮ", "K", "ſ", "x", " ", "\n"]
+    texts = ["".join(rnd.choices(words[:16] if rnd.random() < 0.7 else words, k=rnd.randint(0, 14))) + "字" * rnd.choice([0, 4, 90]) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    said = [(r["text"], r["ui"]) for r in df.select("text", T.looks_like_ui_chrome("text").alias("ui")).collect()]
+    assert {ui for _, ui in said} == {True, False} and [t for t, ui in said if SL.ui_chrome(t) != ui] == []
