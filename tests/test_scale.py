@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import book as B
+from lectern.operators import decoration as D
 from lectern.operators import slides as SL
 from lectern.plans import adapters as A
 from lectern.plans import text_queries as TQ
@@ -105,3 +106,34 @@ def test_a_programs_frame_in_a_fold_and_as_expression(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     said = [(r["text"], r["ui"]) for r in df.select("text", T.looks_like_ui_chrome("text").alias("ui")).collect()]
     assert {ui for _, ui in said} == {True, False} and [t for t, ui in said if SL.ui_chrome(t) != ui] == []
+
+
+def test_slides_are_parted_as_frames_are_cleaned(spark):
+    """One pass over the frames that cleans and compares them; what is sorted by video is slides. Chunks make no difference."""
+    rnd = random.Random(7)
+    words = ["检索", "方法", "甲乙", "丙丁", "GEN 1", "Abc-d", "x1", "字", "&", ""]
+    rows = []
+    for v in range(30):
+        text = ""
+        for i in range(rnd.randint(1, 30)):
+            text = text if rnd.random() < 0.4 else " ".join(["导航栏", *rnd.choices(words, k=rnd.randint(0, 5))])
+            rows.append((f"v{v}", i, i * 10.0, f"{i}.jpg", text + " " * rnd.randint(0, 1), i))
+    df = spark.createDataFrame(rows, "video_id string, index int, t double, file string, text string, chars int")
+    tokens = lambda t: set(__import__("re").findall("[一-鿿]|[A-Za-z][A-Za-z0-9_\\-]*", t))
+    want, last = {}, {}
+    for r in sorted(D.clean_frames(df).collect(), key=lambda r: (r["video_id"], r["index"])):
+        v, now = r["video_id"], tokens(r["clean"])
+        if v not in last or len(last[v] & now) / max(1, len(last[v] | now)) < 0.5:
+            want.setdefault(v, []).append([])
+        last[v] = now
+        want[v][-1].append(r)
+    longest = lambda s: max(s, key=lambda r: (len(r["clean"]), -r["index"]))["clean"].strip()
+    whole = {(v, i, s[0]["t"], s[-1]["t"] + 10, s[0]["file"], longest(s), len(s)) for v, all_ in want.items() for i, s in enumerate(all_)}
+    names = ["video_id", "seg", "t0", "t1", "file", "text", "frames"]
+    for given in (df, D.clean_frames(df)):
+        for chunk in (3, 256):
+            got = SL.slide_intervals(given, chunk=chunk)
+            assert {tuple(r) for r in got.select(names).collect()} == whole
+            assert {(r["video_id"], r["seg"], r["t"], r["text"]) for r in SL.slide_segments(given, chunk=chunk).collect()} == {(w[0], w[1], w[2], w[5]) for w in whole}
+    plan = plan_of(SL.slide_intervals(df))
+    assert plan.count("RepartitionByExpression") == 1 and "regexp_extract_all(clean" not in plan
