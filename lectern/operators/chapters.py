@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators.ordered import as_of, in_index_range
+from lectern.sources.stages import keep
 
 
 def parse_description(videos: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def choose_chapters(paras: DataFrame, videos: DataFrame, segs: DataFrame, cards:
 
     Titles of chapters by time come from short slides, and only where no description was used.
     """
-    marks = parse_description(videos)
+    marks = keep(parse_description(videos))
     many = marks.groupBy("video_id").agg(F.count("*").alias("m")).filter("m >= 3").select("video_id")
     ways = [
         marks_to_ranges(marks.join(many, "video_id", "left_semi"), paras).withColumn("rank", F.lit(1)),

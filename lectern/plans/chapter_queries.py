@@ -13,6 +13,7 @@ from lectern.plans.adapters import with_views
 from lectern.plans.catalog import query
 from lectern.plans.slide_queries import CARDS, FOLDED
 from lectern.plans.text_queries import MARK, tidy_sql
+from lectern.sources.stages import keep
 
 TIMED = r"^\s*[(\[]?((?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2})[)\]]?\s*[-–—:：]?\s*(.+?)\s*$"
 
@@ -81,8 +82,9 @@ CHOSEN = f"""{MARKS}, {BY_MARKS}, {CARDS}, {BY_CARDS}, {by_time("segs")},
 
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
-    s = A.segs(spark, d)
-    return C.choose_chapters(A.paragraphs(spark, d), A.videos(spark, d), s, SL.pick_title_cards(s), minutes=0.5)
+    # kept, as they are read many times; of slides, what may be a title card or title
+    s, paras = keep(SL.title_marked(A.segs(spark, d))), keep(A.paragraphs(spark, d))
+    return C.choose_chapters(paras, A.videos(spark, d), s, SL.pick_title_cards(s), minutes=0.5)
 
 
 @query("u5_choose_chapters", with_views(["videos", "paras", "segs"], f", {CHOSEN} SELECT * FROM chosen", recursive=True))

@@ -10,6 +10,7 @@ from lectern.operators import book as B
 from lectern.operators import decoration as D
 from lectern.operators import slides as SL
 from lectern.plans import adapters as A
+from lectern.plans import chapter_queries as CQ
 from lectern.plans import text_queries as TQ
 
 
@@ -24,6 +25,14 @@ def test_frames_are_dealt_as_documents(spark, sf_dir):
         assert plan.count("RepartitionByExpression [doc_id") == 1 and "Window" not in plan and "Sort " not in plan
 
 
+def test_short_slides_are_numbered_in_their_document(spark, sf_dir):
+    """One exchange, of whole documents; slides are not sorted to be numbered, and choosing chapters reads documents once."""
+    for df in (A.segs(spark, sf_dir), SL.title_marked(A.segs(spark, sf_dir))):
+        plan = plan_of(df)
+        assert plan.count("RepartitionByExpression [doc_id") == 1 and "Window" not in plan and "Sort " not in plan
+    assert "documents" not in CQ.chosen(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_boxes_of_a_frame_stay_together(spark, sf_dir):
     plan = plan_of(TQ.f23(spark, sf_dir))
     assert "Aggregate" not in plan and "Join" not in plan
