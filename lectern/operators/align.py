@@ -116,17 +116,19 @@ def to_figures(slides: DataFrame, chapters: DataFrame, paras: DataFrame, most: i
 
 
 def assign_to_chapters(slides: DataFrame, chapters: DataFrame, paras: DataFrame, most: int = 3) -> DataFrame:
-    """Figures of slides (t, file, text) by chapter times alone; a video without chapters is one chapter."""
+    """Figures of slides (t, file, and text, if ocr is wanted) by chapter times alone; a video without chapters is one chapter."""
     counts = paras.groupBy("video_id").agg(F.count("*").cast("int").alias("n"))
     whole = counts.join(chapters, "video_id", "left_anti").select("video_id", F.lit(1).alias("ch"), F.lit(0).alias("from_idx"), F.col("n").alias("to_idx"))
     every = chapters.select("video_id", "ch", "from_idx", "to_idx").unionByName(whole)
     times = chapter_times(every, paras).select("video_id", "ch", "lo", "hi", F.coalesce("t_lo", F.lit(0.0)).alias("t_lo"), F.coalesce("t_hi", F.lit(1e9)).alias("t_hi"))
-    inside = in_time_range(times, slides.select("video_id", "t", "file", "text"), "t_lo", "t_hi", "t")
+    # no more of a text moves than is shown
+    ocr = [F.substring("text", 1, 120).alias("ocr")] if "text" in slides.columns else []
+    inside = in_time_range(times, slides.select("video_id", "t", "file", *ocr), "t_lo", "t_hi", "t")
     thin = even_thin(inside, ["video_id", "ch"], ["t"], most)
     placed = figure_paragraphs(thin.withColumn("k", F.row_number().over(W.partitionBy("video_id", "ch").orderBy("t"))), paras, "t")
     t_str = T.hms("t")
     caption = F.format_string(fixed.TIMED_CAPTION, F.col("ch"), F.col("k"), t_str)
-    return placed.select("video_id", F.col("ch").alias("chapter"), "k", "para_index", "file", "t", t_str.alias("t_str"), caption.alias("caption"), F.substring("text", 1, 120).alias("ocr"))
+    return placed.select("video_id", F.col("ch").alias("chapter"), "k", "para_index", "file", "t", t_str.alias("t_str"), caption.alias("caption"), *(["ocr"] if ocr else []))
 
 
 def figure_free(slides: DataFrame, gate: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import time
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import align as AL
 from lectern.operators import book as B
 from lectern.operators import decoration as D
 from lectern.operators import slides as SL
 from lectern.plans import adapters as A
+from lectern.plans import book_queries as BQ
 from lectern.plans import chapter_queries as CQ
 from lectern.plans import text_queries as TQ
 
@@ -146,3 +148,18 @@ def test_slides_are_parted_as_frames_are_cleaned(spark):
             assert {(r["video_id"], r["seg"], r["t"], r["text"]) for r in SL.slide_segments(given, chunk=chunk).collect()} == {(w[0], w[1], w[2], w[5]) for w in whole}
     plan = plan_of(SL.slide_intervals(df))
     assert plan.count("RepartitionByExpression") == 1 and "regexp_extract_all(clean" not in plan
+
+
+def test_books_read_frames_once_and_without_text(spark, sf_dir):
+    """Figures are placed by times alone; a book's rows are made once, then counted and rendered."""
+    assert BQ.listed(spark, sf_dir).columns == ["video_id", "t0", "file"]
+    slides = spark.createDataFrame([("v", 0.0, "a.jpg"), ("v", 3.0, "b.jpg")], "video_id string, t double, file string")
+    chapters = spark.createDataFrame([("v", 1, 0, 1)], "video_id string, ch int, from_idx int, to_idx int")
+    paras = spark.createDataFrame([("v", 0, 0.0, 9.0)], "video_id string, para_idx int, start double, end double")
+    got = AL.assign_to_chapters(slides, chapters, paras)
+    assert "ocr" not in got.columns and [r["file"] for r in got.orderBy("k").collect()] == ["a.jpg", "b.jpg"]
+    long = AL.assign_to_chapters(slides.withColumn("text", F.repeat(F.lit("字"), 200)), chapters, paras)
+    assert {r["ocr"] for r in long.collect()} == {"字" * 120}
+    plan = BQ.f20(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "documents" not in plan and "conversations" not in plan
+    assert "documents" not in BQ.a6(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
