@@ -14,6 +14,7 @@ from lectern.plans import adapters as A
 from lectern.plans import book_queries as BQ
 from lectern.plans import chapter_queries as CQ
 from lectern.plans import text_queries as TQ
+from lectern.plans.queries import QUERIES
 
 
 def plan_of(df):
@@ -163,3 +164,27 @@ def test_books_read_frames_once_and_without_text(spark, sf_dir):
     plan = BQ.f20(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "documents" not in plan and "conversations" not in plan
     assert "documents" not in BQ.a6(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_videos_in_one_row_are_picked_by_themselves(spark, sf_dir, monkeypatch):
+    """Frames of videos of usual length are neither dealt nor folded by chunks, and give what frames that are dealt give."""
+    rnd = random.Random(8)
+    pieces = ["导航 首页", "第一章的内容", "讲的是向量检索", "Gen1 结论", "甲乙丙丁戊己", "品", "3/12", "&", "图片与文字的说明", ""]
+    rows = [(f"v{v}", i, i * 10.0, f"{i}.jpg", rnd.choice([" ".join(rnd.choices(pieces, k=rnd.randint(1, 6))), None if i % 9 == 8 else "重复的一页内容"])) for v in range(30) for i in range(rnd.randint(1, 40))]
+    frames = spark.createDataFrame(rows, "video_id string, index int, t double, file string, text string")
+    packed = F.array_sort(F.collect_list(F.struct("index", "t", "file", "text")))
+    videos = frames.groupBy("video_id").agg(F.count("*").cast("int").alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), packed.alias("frames"))
+    sigs = spark.createDataFrame([(f"v{v}", i, rnd.choice([[1.0, -1.0], [1.0, 1.0], [-1.0, 1.0], None])) for v in range(0, 40, 2) for i in range(0, 50, 2)] + [(None, 0, [1.0, 1.0])], "video_id string, index int, sig array<double>")
+    got = lambda df: sorted(map(tuple, df.select("video_id", "pick", "t0", "t1", "file", "text", "title", "chars", "dup_to_prev", "img_dup").collect()))
+    for told in (None, sigs):
+        want = got(SL.select_representatives(D.clean_frames(frames), told, min_chars=4))
+        assert len(want) > 60
+        # none are long, some are by frames, some by characters, all are
+        for most in ({}, {"most_frames": 20}, {"most_chars": 150}, {"most_frames": 0}):
+            assert got(SL.representatives_of_videos(videos, told, min_chars=4, **most)) == want
+    monkeypatch.setattr(SL, "fold_in_chunks", None)
+    monkeypatch.setattr(D, "_told", None)
+    df = QUERIES["w6_select_representatives"](spark, sf_dir)
+    plan = plan_of(df)
+    assert plan.count("RepartitionByExpression") == 1 and "RepartitionByExpression [video_id" in plan
+    assert df.count() > 0
