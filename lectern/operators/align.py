@@ -13,6 +13,9 @@ from lectern.functions import text as T
 from lectern.operators.fold import fold_by_key
 from lectern.operators.ordered import as_of, in_index_range, in_time_range
 
+#: Characters of a slide's text that a figure shows.
+SHOWN = 160
+
 
 def attach_speech(slides: DataFrame, segments: DataFrame, min_speech: int = 20, bin_seconds: float = 60.0) -> DataFrame:
     """slides with speech, speech_chars, speech_start: segments that overlap t0 to t1, in order, joined without a separator.
@@ -24,7 +27,10 @@ def attach_speech(slides: DataFrame, segments: DataFrame, min_speech: int = 20,
     g = segments.select("video_id", "seq", "start", "end", T.strip("text").alias("said")).withColumn("bin", F.explode(bins("start", "end")))
     met = s.join(g, ["video_id", "bin"]).filter((F.col("end") > F.col("t0")) & (F.col("start") < F.col("t1"))).drop("bin").dropDuplicates(["video_id", "t0", "t1", "seq"])
     spoken = met.groupBy("video_id", "t0", "t1").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "said")))["said"], "").alias("speech"))
-    every = slides.join(spoken, ["video_id", "t0", "t1"], "left").withColumn("speech", F.coalesce("speech", F.lit("")))
+    if min_speech > 0:
+        every = slides.join(spoken.filter(F.length("speech") >= min_speech), ["video_id", "t0", "t1"])
+    else:
+        every = slides.join(spoken, ["video_id", "t0", "t1"], "left").withColumn("speech", F.coalesce("speech", F.lit("")))
     return every.withColumns({"speech_chars": F.length("speech"), "speech_start": F.col("t0")}).filter(F.col("speech_chars") >= min_speech)
 
 
@@ -110,7 +116,7 @@ def to_figures(slides: DataFrame, chapters: DataFrame, paras: DataFrame, most: i
         T.looks_like_ui_chrome("title").alias("caption_fallback"),
         F.bround(F.col("t1") - F.col("t0"), 1).alias("span"),
         "dup_to_prev",
-        F.substring("text", 1, 160).alias("ocr"),
+        F.substring("text", 1, SHOWN).alias("ocr"),
         F.substring("speech", 1, 600).alias("speech"),
     )
 

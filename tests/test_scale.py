@@ -15,6 +15,7 @@ from lectern.plans import book_queries as BQ
 from lectern.plans import chapter_queries as CQ
 from lectern.plans import text_queries as TQ
 from lectern.plans.queries import QUERIES
+from lectern.sources.stages import keep
 
 
 def plan_of(df):
@@ -188,3 +189,24 @@ def test_videos_in_one_row_are_picked_by_themselves(spark, sf_dir, monkeypatch):
     plan = plan_of(df)
     assert plan.count("RepartitionByExpression") == 1 and "RepartitionByExpression [video_id" in plan
     assert df.count() > 0
+
+
+def test_slides_with_speech_hold_no_more_text_than_figures_show(spark, sf_dir, monkeypatch):
+    """Frames are read once, as whole videos; what is kept of a slide's text is what is shown; slides without speech go in the join."""
+    kept = []
+    monkeypatch.setattr(BQ, "keep", lambda df: kept.append(df) or keep(df))
+    monkeypatch.setattr(A, "frames", None)
+    figures = QUERIES["wb_slides_to_figures"](spark, sf_dir)
+    assert figures.count() > 0
+    assert kept[0].agg(F.max(F.length("text"))).first()[0] <= AL.SHOWN
+    slides = spark.createDataFrame([("v", 0.0, 3.0), ("v", 3.0, 6.0), ("w", 0.0, 3.0)], "video_id string, t0 double, t1 double")
+    said = spark.createDataFrame([("v", 0, 0.0, 1.0, "x" * 12), ("v", 1, 2.0, 4.0, " yy ")], "video_id string, seq int, start double, end double, text string")
+    for least, want in ((3, [("v", 0.0, 14)]), (2, [("v", 0.0, 14), ("v", 3.0, 2)]), (0, [("v", 0.0, 14), ("v", 3.0, 2), ("w", 0.0, 0)])):
+        spoken = AL.attach_speech(slides, said, min_speech=least)
+        assert sorted(map(tuple, spoken.select("video_id", "t0", "speech_chars").collect())) == want
+        assert ("LeftOuter" in plan_of(spoken)) == (least == 0)
+
+
+def test_kept_stages_are_small(spark):
+    df = spark.range(50_000).selectExpr("id", "concat('的是在结章论', id % 97, '和一了规律就也都很把被') AS text")
+    assert all(f.endswith(".zstd.parquet") for f in keep(df).inputFiles())
