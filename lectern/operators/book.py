@@ -24,6 +24,8 @@ from lectern.sources.stages import keep
 BLOCK = 256
 #: Characters of a video's texts that one block holds about, that are searched at once, and an odd number.
 BLOCK_CHARS, HELD_CHARS = 1 << 24, 1 << 20
+#: Marks that are told to all texts, of eight bytes each.
+TOLD_MARKS = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,32 +83,21 @@ def book_rows(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures: D
     meta: video_id, title, subtitle, author, lang, rights, about, source_note, time_link, content_frames (null
     if the book has figures). chapters may have part, told before times, and intro. figures: video_id, para_index, pos, k, caption, rel, placed already.
     """
-    none = F.lit(0)
-    quoted = lambda k, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'{k}: "'), F.replace(c, F.lit('"'), F.lit("'")), F.lit('"')))
-    head = F.array(F.lit("---"), quoted("title", F.coalesce("title", F.lit(fixed.UNTITLED))), quoted("subtitle", F.col("subtitle")), quoted("author", F.col("author")), quoted("lang", F.coalesce("lang", F.lit(fixed.LANGUAGE))), quoted("rights", F.col("rights")), F.lit("---"), F.lit(""))
-    note = F.format_string(fixed.NO_FIGURES, "content_frames")
-    about = F.concat(F.array(*map(F.lit, fixed.ABOUT_HEAD)), F.split("about", "\n", -1), F.when(F.col("content_frames").isNotNull(), F.array(F.lit(""), note)).otherwise(F.array().cast("array<string>")), F.array(F.lit("")))
-    parts = [_lines(meta, 0, none, none, head), _lines(meta.filter("about <> ''"), 1, none, none, about)]
     toc = chapter_toc(chapters, paras)
-    parts.append(_lines(meta, 2, F.lit(-1), none, F.array(*map(F.lit, fixed.CONTENTS_HEAD))))
-    parts.append(_lines(toc, 2, F.col("ch"), none, F.array(F.format_string("| %d | %s | %s | %d |", "ch", "title", "stamp", "chars"))))
-    parts.append(_lines(meta, 2, F.lit(2**40), none, F.array(F.lit(""))))
+    parts = [front_rows(meta, toc)]
     start = paras.select("video_id", F.col("para_idx").alias("from_idx"), "start")
     intro = F.col("intro") if "intro" in chapters.columns else F.lit(None).cast("string")
     opened = chapters.select("video_id", "ch", "from_idx", "to_idx", intro.alias("intro")).join(toc, ["video_id", "ch"]).join(start, ["video_id", "from_idx"], "left").join(meta.select("video_id", "time_link"), "video_id", "left")
-    jump = F.when(F.col("time_link").isNotNull(), F.concat(F.lit(fixed.JUMP), T.jump_link("time_link", "start"), F.lit(")）"))).otherwise("")
-    timed = F.when(F.col("stamp") != "-", F.concat(F.lit(fixed.TIMED[0]), F.col("stamp"), F.lit(fixed.TIMED[1]), jump))
-    led = F.when(F.col("intro") != "", F.concat(F.lit(fixed.INTRODUCTION), F.col("intro")))
-    parts.append(_lines(opened, 3, F.col("ch"), F.lit(-1), F.array(F.format_string(fixed.CHAPTER_HEAD, "ch", "title"), F.lit(""), timed, F.when(timed.isNotNull(), ""), led, F.when(led.isNotNull(), ""))))
+    parts.append(_lines(opened, 3, F.col("ch"), F.lit(-1), _opening(F.col("stamp"), F.col("start"), F.col("time_link"), F.col("intro"))))
     c = chapters.select("video_id", "ch", "from_idx", "to_idx")
     within = lambda df: in_index_range(c, df, "from_idx", "to_idx")
     parts.append(_lines(within(paras.select("video_id", "para_idx", "text")), 3, F.col("ch"), F.col("para_idx") * 4 + 1, F.array("text", F.lit(""))))
     # figures of one paragraph and side follow in order of k
     shown = within(figures.select("video_id", F.col("para_index").alias("para_idx"), "pos", "k", "caption", "rel"))
-    image = F.concat(F.lit("!["), "caption", F.lit("]("), "rel", F.lit("){width=6.5in}"))
-    ordered = shown.groupBy("video_id", "ch", "para_idx", "pos").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", image.alias("line")))), lambda x: F.array(x["line"], F.lit("")))).alias("lines"))
-    parts.append(_lines(ordered, 3, F.col("ch"), F.col("para_idx") * 4 + F.when(F.col("pos") == "before", 0).otherwise(2), F.col("lines")))
+    ordered = shown.groupBy("video_id", "ch", "para_idx", "pos").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", _image("caption", "rel").alias("line")))), lambda x: F.array(x["line"], F.lit("")))).alias("lines"))
+    parts.append(_lines(ordered, 3, F.col("ch"), _beside(F.col("para_idx"), F.col("pos")), F.col("lines")))
     terms = None if glossary is None else first_mention(glossary, paras)
+    none = F.lit(0)
     for part, rows, title, lines in (
         (4, terms, fixed.GLOSSARY_HEAD, F.format_string("| %s | %s | %s |", "term", "desc", "at")),
         (5, quotes, fixed.QUOTES_HEAD, F.format_string("- %s（%s）", "text", "at")),
@@ -115,11 +106,47 @@ def book_rows(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures: D
             continue
         held = rows.select("video_id").distinct()
         parts += [_lines(held, part, F.lit(-1), none, F.array(*map(F.lit, title))), _lines(rows, part, F.col("ord"), none, F.array(lines)), _lines(held, part, F.lit(2**40), none, F.array(F.lit("")))]
-    source = F.concat(F.array(*map(F.lit, fixed.SOURCE_HEAD)), F.split("source_note", "\n", -1), F.array(F.lit("")))
-    parts.append(_lines(meta.filter("source_note <> ''"), 6, none, none, source))
+    parts.append(_source(meta))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def front_rows(meta: DataFrame, toc: DataFrame) -> DataFrame:
+    """The rows of book_rows before the chapters: head, about and contents; toc as chapter_toc has it."""
+    none = F.lit(0)
+    quoted = lambda k, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'{k}: "'), F.replace(c, F.lit('"'), F.lit("'")), F.lit('"')))
+    head = F.array(F.lit("---"), quoted("title", F.coalesce("title", F.lit(fixed.UNTITLED))), quoted("subtitle", F.col("subtitle")), quoted("author", F.col("author")), quoted("lang", F.coalesce("lang", F.lit(fixed.LANGUAGE))), quoted("rights", F.col("rights")), F.lit("---"), F.lit(""))
+    note = F.format_string(fixed.NO_FIGURES, "content_frames")
+    about = F.concat(F.array(*map(F.lit, fixed.ABOUT_HEAD)), F.split("about", "\n", -1), F.when(F.col("content_frames").isNotNull(), F.array(F.lit(""), note)).otherwise(F.array().cast("array<string>")), F.array(F.lit("")))
+    parts = [_lines(meta, 0, none, none, head), _lines(meta.filter("about <> ''"), 1, none, none, about)]
+    parts.append(_lines(meta, 2, F.lit(-1), none, F.array(*map(F.lit, fixed.CONTENTS_HEAD))))
+    parts.append(_lines(toc, 2, F.col("ch"), none, F.array(F.format_string("| %d | %s | %s | %d |", "ch", "title", "stamp", "chars"))))
+    parts.append(_lines(meta, 2, F.lit(2**40), none, F.array(F.lit(""))))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _source(meta: DataFrame) -> DataFrame:
+    """Rows of the note on sources."""
+    source = F.concat(F.array(*map(F.lit, fixed.SOURCE_HEAD)), F.split("source_note", "\n", -1), F.array(F.lit("")))
+    return _lines(meta.filter("source_note <> ''"), 6, F.lit(0), F.lit(0), source)
+
+
+def _opening(stamp: Column, start: Column, time_link: Column, intro: Column) -> Column:
+    """A chapter's (ch, title) lines before its first paragraph; null for those that it has not."""
+    jump = F.when(time_link.isNotNull(), F.concat(F.lit(fixed.JUMP), T.jump_link(time_link, start), F.lit(")）"))).otherwise("")
+    timed = F.when(stamp != "-", F.concat(F.lit(fixed.TIMED[0]), stamp, F.lit(fixed.TIMED[1]), jump))
+    led = F.when(intro != "", F.concat(F.lit(fixed.INTRODUCTION), intro))
+    return F.array(F.format_string(fixed.CHAPTER_HEAD, "ch", "title"), F.lit(""), timed, F.when(timed.isNotNull(), ""), led, F.when(led.isNotNull(), ""))
+
+
+def _image(caption: Column | str, rel: Column | str) -> Column:
+    return F.concat(F.lit("!["), caption, F.lit("]("), rel, F.lit("){width=6.5in}"))
+
+
+def _beside(para_idx: Column, pos: Column) -> Column:
+    """The place of a paragraph's figures among its chapter's rows, where paragraphs are at 4 * para_idx + 1."""
+    return para_idx * 4 + F.when(pos == "before", 0).otherwise(2)
+
+
 def book_lines(meta: DataFrame, chapters: DataFrame, paras: DataFrame, figures: DataFrame, glossary: DataFrame | None, quotes: DataFrame | None) -> DataFrame:
     """video_id, ord, line: the rows of each book (book_rows), numbered."""
     order = W.partitionBy("video_id").orderBy("part", "at", "sub", "n")
@@ -144,6 +171,9 @@ def render_xhtml(books: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return _documents(lines, ["n"], F.col("n") == 0, files).select("video_id", "ch", "title", "body")
 
 
+TABLE_ROW = "^\\|[^\n]*\\|[^\\S\n]*\\z"
+
+
 def render_rows(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """What render_xhtml makes of the book that rows (of book_rows) are, without the book as one text.
 
@@ -161,7 +191,7 @@ def render_rows(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
     opened = kept.withColumn("nth", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
     numbered = opened.join(before, place).withColumn("ch", (F.col("before") + F.col("nth")).cast("int")).filter("ch > 0")
     title = F.col("opens") == 1
-    line = F.when(title, F.substr("raw", F.lit(3))).when(F.col("raw").rlike("^\\|[^\n]*\\|[^\\S\n]*\\z"), "").otherwise(F.col("raw"))
+    line = F.when(title, F.substr("raw", F.lit(3))).when(F.col("raw").rlike(TABLE_ROW), "").otherwise(F.col("raw"))
     made = _documents(numbered.withColumn("title_", title).withColumn("raw", line), ["part", "at", "sub", "n", "m"], F.col("title_"), files, F.max("last").alias("last"))
     # what ends before the next heading ends with a line break
     body = F.when((F.col("ch") < F.col("last")) & (F.col("shown") > 0), F.concat("body", F.lit("\n"))).otherwise(F.col("body"))
@@ -171,26 +201,66 @@ def render_rows(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
 def _documents(lines: DataFrame, order: list[str], title: Column, files: DataFrame | None, *more: Column) -> DataFrame:
     """video_id, ch, title, body, shown (lines in body) of lines (video_id, ch, raw and order), of which each chapter has one title."""
     lines = lines.withColumns({"titled": title, "line": F.regexp_replace("raw", "(?U)\\s+$", "")})
-    image = "^!\\[([^\\]]*)\\]\\(([^)]+)\\)(?:\\{width=[^}]*\\})?\\s*$"
-    lines = lines.withColumns({"image": F.col("line").rlike(image), "alt": F.regexp_extract("line", image, 1), "src": F.regexp_extract("line", image, 2)})
+    lines = lines.withColumns({"image": F.col("line").rlike(IMAGE), "alt": F.regexp_extract("line", IMAGE, 1), "src": F.regexp_extract("line", IMAGE, 2)})
     if files is None:
         lines = lines.withColumn("there", F.lit(True))
     else:
         known = files.select("video_id", F.col("file").alias("src"), F.lit(True).alias("there")).distinct()
         lines = lines.join(known, ["video_id", "src"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
-    wrap = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
-    figure = F.concat(F.lit('<figure><img src="'), F.col("src"), F.lit('" alt="'), T.escape_html("alt"), F.lit('"/><figcaption>'), T.escape_html("alt"), F.lit("</figcaption></figure>"))
-    shown = (
-        F.when(F.col("line") == "", "")
-        .when(F.col("image") & F.col("there"), figure)
-        .when(F.col("image"), wrap("p", F.concat(F.lit(fixed.MISSING_IMAGE), T.escape_html("alt"))))
-        .when(F.startswith("line", F.lit("> ")), wrap("blockquote", T.escape_html(F.substr("line", F.lit(3)))))
-        .otherwise(wrap("p", T.escape_html("line")))
-    )
+    shown = _shown(*map(F.col, ("line", "image", "alt", "src", "there")))
     body = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("titled"), F.struct(*order, shown.alias("shown")))))["shown"], "\n")
     return lines.groupBy("video_id", "ch").agg(F.max(F.when(F.col("titled"), T.strip("raw"))).alias("title"), body.alias("body"), F.count_if(~F.col("titled")).alias("shown"), *more)
 
 
+IMAGE = "^!\\[([^\\]]*)\\]\\(([^)]+)\\)(?:\\{width=[^}]*\\})?\\s*$"
+
+
+def _shown(line: Column, image: Column, alt: Column, src: Column, there: Column) -> Column:
+    """A line that ends without white space as XHTML."""
+    wrap = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    figure = F.concat(F.lit('<figure><img src="'), src, F.lit('" alt="'), T.escape_html(alt), F.lit('"/><figcaption>'), T.escape_html(alt), F.lit("</figcaption></figure>"))
+    return (
+        F.when(line == "", "")
+        .when(image & there, figure)
+        .when(image, wrap("p", F.concat(F.lit(fixed.MISSING_IMAGE), T.escape_html(alt))))
+        .when(F.startswith(line, F.lit("> ")), wrap("blockquote", T.escape_html(F.substr(line, F.lit(3)))))
+        .otherwise(wrap("p", T.escape_html(line)))
+    )
+
+
+def chapter_rows(chapters: DataFrame) -> DataFrame:
+    """video_id, ch, docs (title, body), what render_rows makes of the chapters of a book whose paragraphs come in the chapter's row.
+
+    chapters: video_id, ch, title, stamp, start, time_link, intro, paras (array of para_idx, text), figures (array of para_idx, pos, k, caption,
+    rel), files (array of the images that its lines may show). A chapter is rendered by itself, so that no line is dealt. The line break that ends
+    a body before the next chapter is not there, other columns stay.
+    """
+    at = lambda c: c.cast("long").alias("at")
+    texts = F.transform("paras", lambda p: F.struct(at(p["para_idx"] * 4 + 1), F.lit(0).cast("long").alias("k"), F.lit("").alias("line"), F.array(p["text"], F.lit("")).alias("lines")))
+
+    def placed(x: Column) -> Column:
+        # figures of one paragraph and side follow in order of k
+        image = _image(x["caption"], x["rel"])
+        return F.struct(at(_beside(x["para_idx"], x["pos"])), x["k"].cast("long").alias("k"), image.alias("line"), F.array(image, F.lit("")).alias("lines"))
+
+    def shown(raw: Column) -> Column:
+        line = F.when(raw.rlike(TABLE_ROW), "").otherwise(F.regexp_replace(raw, "(?U)\\s+$", ""))
+        return T.let(line, lambda x: _shown(x, x.rlike(IMAGE), F.regexp_extract(x, IMAGE, 1), F.regexp_extract(x, IMAGE, 2), F.array_contains("files", F.regexp_extract(x, IMAGE, 2))))
+
+    def document(block: Column) -> Column:
+        rest = lambda lines: F.slice(lines, F.lit(2), F.size(lines) - 1)
+        made = lambda lines: F.struct(T.strip(F.get(lines, F.lit(0))).alias("title"), F.array_join(F.transform(rest(lines), shown), "\n").alias("body"))
+        return T.let(F.split(block, "\n", -1), made)
+
+    opening = _opening(F.col("stamp"), F.col("start"), F.col("time_link"), F.col("intro"))
+    placed_rows = F.array_sort(F.concat(texts, F.transform("figures", placed)))
+    lines = F.concat(opening, F.flatten(F.transform(placed_rows, lambda x: x["lines"])))
+    # only a line feed parts lines; what a chapter begins with is a heading
+    blocks = F.split(F.array_join(lines, "\n"), "(?dm)^# ", -1)
+    docs = T.let(blocks, lambda b: F.transform(F.slice(b, F.lit(2), F.size(b) - 1), document))
+    return chapters.withColumn("docs", docs).drop("paras", "figures", "files")
+
+
 def _spelled(texts: list[str]) -> np.ndarray:
     """The characters of texts as numbers; after each text stands one that is in none."""
     return np.concatenate([np.append(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4"), np.uint32(0xFFFFFFFF)) for t in texts]).astype(np.uint64)
@@ -207,11 +277,53 @@ def _marks(signs: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
         yield out
 
 
+def _found_in_place(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """video_id, prefix: what in texts has one of marks (size, mark), of any video; they are numbers, of which few enough for the driver are given."""
+    pairs = marks.select("size", "mark").distinct().toArrow()
+    size, mark = pairs.column("size").to_numpy(), pairs.column("mark").to_numpy().view(np.uint64)
+    sought = [(int(n), np.sort(mark[size == n])) for n in np.unique(size)]
+
+    # a mark's first bits are looked up in a table of some 32 places a mark
+    shifts = [np.uint64(64 - min(24, (32 * len(numbers)).bit_length())) for _, numbers in sought]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = []
+        for (_, numbers), shift in zip(sought, shifts):
+            tables.append(np.zeros(1 << 64 - int(shift), bool))
+            tables[-1][numbers >> shift] = True
+
+        def found() -> pa.RecordBatch:
+            out, signs = set(), _spelled(held)
+            ends = np.cumsum([len(t) + 1 for t in held])
+            for (n, numbers), shift, table, m in zip(sought, shifts, tables, _marks(signs, [n for n, _ in sought])):
+                likely = np.flatnonzero(table[m >> shift])
+                place = np.minimum(np.searchsorted(numbers, m[likely]), len(numbers) - 1)
+                likely = likely[numbers[place] == m[likely]]
+                for i, owner in zip(likely.tolist(), np.searchsorted(ends, likely, "right").tolist()):
+                    out.add((videos[owner], signs[i : i + n].astype("<u4").tobytes()))
+            there = [(v, t.decode("utf-32-le", "surrogatepass")) for v, t in out if b"\xff\xff\xff\xff" not in t]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in there], pa.string()) for i in (0, 1)], ["video_id", "prefix"])
+
+        videos, held, chars = [], [], 0
+        for batch in batches if sought else ():
+            for video, plain in zip(batch.column("video_id").to_pylist(), batch.column("plain").to_pylist()):
+                videos.append(video)
+                held.append(plain)
+                chars += len(plain)
+                if chars > HELD_CHARS:
+                    yield found()
+                    videos, held, chars = [], [], 0
+        if held:
+            yield found()
+
+    return texts.select("video_id", "plain").mapInArrow(search, "video_id string, prefix string").distinct()
+
+
 def _begun_elsewhere(sought: DataFrame, texts: DataFrame) -> DataFrame:
     """video_id, prefix of sought (distinct ones, not empty) that stand somewhere in texts (video_id, plain).
 
-    A video's texts are dealt to blocks of about BLOCK_CHARS characters. Each block is told the marks of all that is sought; what has
-    such a mark is compared as text.
+    Up to TOLD_MARKS are told to all texts where they lie. Where there are more, a video's texts are dealt to blocks of about BLOCK_CHARS
+    characters, and each block is told the marks of all that is sought in it. What has such a mark is compared as text.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +331,15 @@ def _begun_elsewhere(sought: DataFrame, texts: DataFrame) -> DataFrame:
             found = [(len(p), int(next(_marks(_spelled([p]), [len(p)]))[0].view(np.int64))) for p in batch.column("prefix").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("video_id"), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64())], ["video_id", "size", "mark"])
 
-    marks = sought.select("video_id", "prefix").mapInArrow(mark, "video_id string, size int, mark long")
+    marks = keep(sought.select("video_id", "prefix").mapInArrow(mark, "video_id string, size int, mark long"))
+    if marks.count() <= TOLD_MARKS:
+        likely = _found_in_place(texts, marks)
+        return sought.select("video_id", "prefix").join(likely, ["video_id", "prefix"], "left_semi")
     told = marks.groupBy("video_id", "size").agg(F.collect_set("mark").alias("marks")).groupBy("video_id").agg(F.collect_list(F.struct("size", "marks")).alias("told"))
     sizes = texts.groupBy("video_id").agg(F.ceil(F.sum(F.length("plain")) / BLOCK_CHARS).alias("blocks")).filter("blocks > 0")
     to_blocks = told.join(sizes, "video_id").select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "told")
-    # block counts are as few as videos; texts stay where they lie until they are dealt
-    dealt = texts.join(sizes, "video_id").select("video_id", F.pmod(F.xxhash64("plain"), "blocks").alias("block"), "plain")
+    # of videos with several blocks there is one for each BLOCK_CHARS characters at most; texts stay where they lie until they are dealt
+    dealt = texts.join(F.broadcast(sizes.filter("blocks > 1")), "video_id", "left").select("video_id", F.coalesce(F.pmod(F.xxhash64("plain"), "blocks"), F.lit(0)).alias("block"), "plain")
     rows = dealt.unionByName(to_blocks, allowMissingColumns=True).repartition("video_id", "block").sortWithinPartitions("video_id", "block", F.col("told").isNull())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +383,17 @@ def coverage_audit(paras: DataFrame, rendered: DataFrame, chapters: DataFrame |
     count as lost. images: different image files shown. A book without paragraphs, or without a document, has a row, too.
     """
     sums = paras.groupBy("video_id").agg(F.sum(F.length("text")).alias("src_chars"), F.count("*").alias("paragraphs"))
-    begun = paras.groupBy("video_id", F.substring(F.coalesce("text", F.lit("")), 1, prefix).alias("prefix")).agg(F.count("*").alias("n"))
+    begun = paras.groupBy("video_id", beginning("text", prefix).alias("prefix")).agg(F.count("*").alias("n"))
+    return coverage(sums, begun, rendered, chapters, prefix, least)
+
+
+def beginning(text: Column | str, prefix: int = 24) -> Column:
+    """What the audit seeks of a paragraph."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, prefix)
+
+
+def coverage(sums: DataFrame, begun: DataFrame, rendered: DataFrame, chapters: DataFrame | None = None, prefix: int = 24, least: float = 98.0) -> DataFrame:
+    """coverage_audit of paragraphs that are counted already: sums (video_id, src_chars, paragraphs) and begun (video_id, prefix, n), by beginning."""
     plain = rendered.select("video_id", T.strip_tags(F.coalesce("html", F.lit(""))).alias("plain"))
     lines = plain.select("video_id", F.explode(F.split("plain", "\n", -1)).alias("line")).select("video_id", F.substring("line", 1, prefix).alias("prefix")).distinct()
     # the empty text is held by any

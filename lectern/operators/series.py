@@ -62,20 +62,28 @@ def select_parts(parts: DataFrame, wanted: DataFrame | None = None, limit: int |
     return numbered.withColumns({"dir": F.format_string("part-%03d", "part"), "chapter_title": T.clean_part_title("title")})
 
 
+def part_bases(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """parts with n, the paragraphs of each (counts: series_id, part, n; 0 without any), and base, how many are in the parts before."""
+    before = W.partitionBy("series_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sized = parts.join(counts, ["series_id", "part"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return sized.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"))
+
+
+def part_chapters(based: DataFrame) -> DataFrame:
+    """Chapters of each series, one a part, of part_bases."""
+    return based.select("series_id", F.col("part").alias("ch"), F.col("chapter_title").alias("title"), F.col("base").alias("from_idx"), (F.col("base") + F.col("n")).cast("int").alias("to_idx"), F.col("index").alias("part"), "duration")
+
+
 def merge_paragraphs(parts: DataFrame, paras: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Paragraphs of each series with global index, part and part_index, and its chapters, one a part.
 
     parts: series_id, part, index, chapter_title, duration; paras: series_id, part, para_idx and more. Only
     counts of parts are put in order; paragraphs get their part's base by a join.
     """
-    counts = paras.groupBy("series_id", "part").agg(F.count("*").alias("n"))
-    before = W.partitionBy("series_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    sized = parts.join(counts, ["series_id", "part"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    based = sized.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"))
+    based = part_bases(parts, paras.groupBy("series_id", "part").agg(F.count("*").alias("n")))
     moved = paras.join(based.select("series_id", "part", F.col("index").alias("part_index"), "base"), ["series_id", "part"])
     merged = moved.withColumn("para_idx", (F.col("base") + F.col("para_idx")).cast("int")).drop("base")
-    chapters = based.select("series_id", F.col("part").alias("ch"), F.col("chapter_title").alias("title"), F.col("base").alias("from_idx"), (F.col("base") + F.col("n")).cast("int").alias("to_idx"), F.col("index").alias("part"), "duration")
-    return merged, chapters
+    return merged, part_chapters(based)
 
 
 def merge_figures(parts: DataFrame, chapters: DataFrame, figures: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -210,3 +211,54 @@ def test_slides_with_speech_hold_no_more_text_than_figures_show(spark, sf_dir, m
 def test_kept_stages_are_small(spark):
     df = spark.range(50_000).selectExpr("id", "concat('的是在结章论', id % 97, '和一了规律就也都很把被') AS text")
     assert all(f.endswith(".zstd.parquet") for f in keep(df).inputFiles())
+
+
+def test_chapters_in_one_row_render_as_their_book(spark):
+    """Headings, rules, table rows and line breaks inside paragraphs, and figures on either side, included; nothing is dealt."""
+    rnd = random.Random(9)
+    texts = ["plain", "# heading", "---", "| a | b |  ", "a\n# two\n---\nb  ", "a\r# no # no heading", "> said", "![x](f1.jpg){width=6.5in}", "![y](f2.jpg)", "<b> & 'c'", "", "# "]
+    meta = [(v, v, "", None, None, None, "", "", link, None) for v, link in (("a", "http://x?y=1"), ("b", None))]
+    m = spark.createDataFrame(meta, "video_id string, title string, subtitle string, author string, lang string, rights string, about string, source_note string, time_link string, content_frames int")
+    c = spark.createDataFrame([(v, i, f"ch {i}", i * 6 - 6, i * 6 if i < 4 else 18, i, rnd.choice(["led", "", None])) for v in "ab" for i in range(1, 5)], "video_id string, ch int, title string, from_idx int, to_idx int, part int, intro string")
+    p = spark.createDataFrame([(v, i, i + 0.5, i + 1.0, rnd.choice(texts), f"00:00:{i:02}") for v in "ab" for i in range(18)], "video_id string, para_idx int, start double, end double, text string, t string")
+    f = spark.createDataFrame([(v, rnd.randint(0, 17), rnd.choice(["before", "after"]), rnd.randint(1, 2), rnd.choice("xy&"), rnd.choice(["f1.jpg", "f2.jpg"])) for v in "ab" for _ in range(15)], "video_id string, para_index int, pos string, k int, caption string, rel string")
+    there = spark.createDataFrame([("a", "f1.jpg"), ("b", "f1.jpg")], "video_id string, file string")
+    whole = B.render_rows(B.book_rows(m, c, p, f, None, None), there).filter("ch > 1").orderBy("video_id", "ch")
+    want = [(r["video_id"], r["title"], r["body"].rstrip("\n")) for r in whole.collect()]
+    within = lambda x, i: (F.col(f"x.{i}") >= F.col("c.from_idx")) & (F.col(f"x.{i}") < F.col("c.to_idx"))
+    key = ["video_id", "ch"]
+    told = lambda x, i, as_, *names: c.alias("c").join(x.withColumnRenamed("video_id", "v").alias("x"), (F.col("c.video_id") == F.col("v")) & within(x, i)).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(f"x.{i}").alias("para_idx"), *names))).alias(as_))
+    at = p.select("video_id", F.col("para_idx").alias("from_idx"), "start", "t")
+    rows = c.join(told(p, "para_idx", "paras", "text"), key, "left").join(told(f, "para_index", "figures", "pos", "k", "caption", "rel"), key, "left").join(at, ["video_id", "from_idx"], "left").join(m.select("video_id", "time_link"), "video_id")
+    stamp = F.when(F.col("from_idx") < F.col("to_idx"), F.concat(F.format_string("P%d ", "part"), "t")).otherwise("-")
+    empty = {n: F.coalesce(n, F.array().cast(dict(rows.dtypes)[n])) for n in ("paras", "figures")}
+    made = B.chapter_rows(rows.withColumns(empty | {"stamp": stamp, "files": F.array(F.lit("f1.jpg"))}))
+    got = [(r["video_id"], d["title"], d["body"].rstrip("\n")) for r in made.orderBy(*key).collect() for d in r["docs"]]
+    assert got == want and len(want) > 12 and any("<figure>" in b for *_, b in want)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_beginnings_found_in_place_or_in_blocks(spark, monkeypatch, most):
+    rnd = random.Random(10)
+    word = lambda n: "".join(rnd.choice("ab字𝄞 &") for _ in range(n))
+    docs = [(rnd.choice("vw"), "\n".join(word(rnd.randint(0, 30)) for _ in range(3))) for _ in range(200)] + [("x", ""), (None, "ab字")]
+    sought = {(rnd.choice("vwxy"), (word(rnd.randint(1, 9)) if rnd.random() < 0.7 else rnd.choice(docs)[1][3:27]).replace("\n", "a") or "a") for _ in range(400)}
+    monkeypatch.setattr(B, "TOLD_MARKS", most)
+    monkeypatch.setattr(B, "BLOCK_CHARS", 500)
+    got = B._begun_elsewhere(spark.createDataFrame(sorted(sought), "video_id string, prefix string"), spark.createDataFrame(docs, "video_id string, plain string"))
+    want = {(v, p) for v, p in sought if any(v == d and p in t for d, t in docs)}
+    assert set(map(tuple, got.collect())) == want and 50 < len(want) < len(sought)
+
+
+def test_parts_of_a_series_are_rendered_where_they_lie(spark, sf_dir, monkeypatch):
+    """Documents are dealt once, as whole rows; no line of theirs is put in a range, a window or a group, nor kept but as rendered."""
+    monkeypatch.setattr(A, "frames", None)
+    monkeypatch.setattr(B, "in_index_range", None)
+    rendered, kept = [], []
+    whole = B.render_rows
+    monkeypatch.setattr(B, "render_rows", lambda rows, *a: rendered.append(rows) or whole(rows, *a))
+    monkeypatch.setattr(BQ, "keep", lambda df: kept.append(df) or keep(df))
+    assert QUERIES["wc_series_to_audit"](spark, sf_dir).count() > 0
+    assert {r["part"] for r in rendered[0].select("part").distinct().collect()} == {0, 2}
+    assert [df.columns for df in kept if "docs" in df.columns] == [["video_id", "ch", "title", "stamp", "chars", "begins", "docs"]]
+    assert plan_of(kept[-1]).count("RepartitionByExpression") == 1
